@@ -8,15 +8,31 @@ from pyspark.sql import functions as F
 SALT = "_salt"
 
 
+# Rows of (key, number, score) that fit in an executor's memory many times over: some 50 MB.
+BROADCAST_ROWS = 500_000
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has at most ``rows`` rows; reads no more than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], spread: list[str], salts: int = 8, how: str = "inner"
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    spread: list[str],
+    salts: int = 8,
+    how: str = "inner",
+    fits: bool = False,
 ) -> DataFrame:
     """Join ``big`` with ``small`` (``how`` from the side of ``big``), a hot key cut into ``salts`` parts.
 
-    ``spread`` names columns of ``big`` that differ between rows of one key. No broadcast is asked for:
-    Catalyst broadcasts ``small`` where its size estimate is under the threshold, and otherwise the
-    shuffle is on (key, salt).
+    ``spread`` names columns of ``big`` that differ between rows of one key. Where the caller has checked
+    that ``small`` fits, it is broadcast and ``big`` is not shuffled at all.
     """
+    if fits:
+        return big.join(F.broadcast(small), on, how)
     left = big.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, SALT], how).drop(SALT)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns shared with the SQL checks.
@@ -20,12 +20,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def each(df: DataFrame, keep: list[str], items: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per item of an array built from text.
+
+    The outer form is used because Catalyst guards a plain explode with a filter on the size of its array,
+    which would build the array from the text three times.
+    """
+    if position is None:
+        return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(items).alias(position, name)).where(F.col(position).isNotNull())
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), NOT_WORD_CHARS), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), NOT_WORD_CHARS), "")
 
 
 def sentences(text: Column) -> Column:
@@ -43,7 +54,7 @@ def word_term(word: Column) -> Column:
 
 def word_terms(text: Column) -> Column:
     """Terms of the whitespace words of a text, in order, without empty ones."""
-    return F.filter(F.transform(words(text), word_term), lambda t: t != "")
+    return F.array_remove(F.transform(words(text), word_term), "")
 
 
 def normal_answer(text: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import ln_ratio
 from answerloom.functions.skew import lookup_document_frequency
-from answerloom.functions.text import bare_word, let, word_term, word_terms, words
+from answerloom.functions.text import bare_word, each, let, word_term, word_terms, words
 
 # Which sentences give a question and which words may be asked for.
 MIN_WORDS = 5
@@ -30,7 +30,7 @@ def asks(n_words: Column) -> Column:
 
 def word_document_frequency(documents: DataFrame, text: str = "text") -> DataFrame:
     """(t, df) over the word terms of documents; distinct per document before the shuffle."""
-    listed = documents.select(F.explode(F.array_distinct(word_terms(F.col(text)))).alias("t"))
+    listed = each(documents, [], F.array_distinct(word_terms(F.col(text))), "t")
     return listed.groupBy("t").agg(F.count("*").alias("df"))
 
 
@@ -38,7 +38,7 @@ def passage_frequencies(passages: DataFrame, frequencies: DataFrame, n_docs: Col
     """(doc_id, split_id, stats): map from term to (df, idf) for the sentences of a passage that give questions."""
     asking = F.filter("sentences", lambda s: asks(F.size(words(s))))
     terms = F.array_distinct(F.flatten(F.transform(asking, word_terms)))
-    postings = passages.select(*PASSAGE, F.explode(terms).alias("t"))
+    postings = each(passages, PASSAGE, terms, "t")
     known = lookup_document_frequency(postings, frequencies, n_docs)
     stat = F.struct("df", ln_ratio(n_docs + 1, F.col("df") + 1).alias("idf"))
     return known.select(*PASSAGE, "t", stat.alias("stat")).groupBy(*PASSAGE).agg(
@@ -72,7 +72,7 @@ def cloze(sentence_words: Column, stats: Column) -> Column:
                 pick["pos"].alias("pos"),
                 bare_word(F.element_at(sentence_words, pick["pos"] + 1)).alias("answer"),
                 F.concat(F.regexp_replace(F.array_join(kept, " "), r"[.!?]+$", ""), F.lit("?")).alias("question"),
-                F.array_distinct(F.filter(F.transform(others, word_term), lambda t: t != "")).alias("terms"),
+                F.array_distinct(F.array_remove(F.transform(others, word_term), "")).alias("terms"),
             ),
         )
 
@@ -109,9 +109,8 @@ def questions_of(sentences: Column, stats: Column) -> Column:
 def generate_questions(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, split_id, sent, question, answer)."""
     ready = with_frequencies(passages, documents)
-    return ready.select(*PASSAGE, F.explode(questions_of(F.col("sentences"), F.col("stats"))).alias("x")).select(
-        *PASSAGE, "x.sent", "x.question", "x.answer"
-    )
+    asked = each(ready, PASSAGE, questions_of(F.col("sentences"), F.col("stats")), "x")
+    return asked.select(*PASSAGE, "x.sent", "x.question", "x.answer")
 
 
 def best_sentence(terms: Column, prepared: Column, stats: Column) -> Column:
@@ -155,7 +154,7 @@ def generate_pairs(passages: DataFrame, documents: DataFrame) -> DataFrame:
             ),
         ),
     )
-    pairs = ready.select(*PASSAGE, "sentences", F.explode(answered).alias("x"))
+    pairs = each(ready, [*PASSAGE, "sentences"], answered, "x")
     before = F.slice("sentences", 1, F.col("answer_sent"))
     return (
         pairs.select(

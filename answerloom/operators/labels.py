@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import top_k
 from answerloom.functions.skew import salted_join
-from answerloom.functions.text import words
+from answerloom.functions.text import each, words
 
 
 def find_verbatim(items: DataFrame, units: DataFrame) -> DataFrame:
@@ -24,8 +24,8 @@ def find_verbatim(items: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _match_on_inner_word(items: DataFrame, units: DataFrame) -> DataFrame:
-    unit_words = units.select("uid", F.explode(F.array_distinct(words(F.col("content")))).alias("anchor"))
-    inner = items.select("q", F.explode(F.array_distinct(F.slice("ws", 2, F.size("ws") - 2))).alias("anchor"))
+    unit_words = each(units, ["uid"], F.array_distinct(words(F.col("content"))), "anchor")
+    inner = each(items, ["q"], F.array_distinct(F.slice("ws", 2, F.size("ws") - 2)), "anchor")
     found = salted_join(unit_words, inner.select("anchor").distinct(), ["anchor"], ["uid"], how="left_semi")
     counts = found.groupBy("anchor").agg(F.count("*").alias("df"))
     rarest = top_k(inner.join(counts, "anchor"), ["q"], [F.asc("df"), F.asc("anchor")], 1)
@@ -46,7 +46,7 @@ def _match_on_word_part(items: DataFrame, units: DataFrame) -> DataFrame:
 
         return F.array_distinct(F.flatten(F.transform(F.array_distinct(ws), of_word)))
 
-    unit_parts = units.select("uid", F.explode(parts(words(F.col("content")))).alias("anchor"))
+    unit_parts = each(units, ["uid"], parts(words(F.col("content"))), "anchor")
     return _verified(salted_join(unit_parts, anchored, ["anchor"], ["uid"]), units)
 
 

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import ln_ratio, round6, top_k
 from answerloom.functions.skew import salted_join
-from answerloom.functions.text import sentences, word_term, word_terms, words
+from answerloom.functions.text import each, sentences, word_term, word_terms, words
 
 
 def query_idf(queries: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """(q, terms): the distinct terms of a query with their idf, in term order."""
-    asked = queries.select("q", F.explode(F.array_distinct(word_terms(F.col("query")))).alias("t"))
+    asked = each(queries, ["q"], F.array_distinct(word_terms(F.col("query"))), "t")
     vocabulary = asked.select("t").distinct()
-    seen = documents.select("doc_id", F.explode(F.array_distinct(word_terms(F.col(text)))).alias("t"))
+    seen = each(documents, ["doc_id"], F.array_distinct(word_terms(F.col(text))), "t")
     df = salted_join(seen, vocabulary, ["t"], ["doc_id"], how="left_semi").groupBy("t").agg(F.count("*").alias("df"))
     n = documents.agg(F.count("*")).scalar()
     return (
@@ -35,7 +35,7 @@ def query_idf(queries: DataFrame, documents: DataFrame, text: str = "text") -> D
 
 def candidate_spans(retrieved: DataFrame, idf: DataFrame) -> DataFrame:
     """(q, uid, sent, answer, start, score): every sentence of the retrieved texts that shares a term."""
-    spans = retrieved.select("q", "uid", "content", F.posexplode(sentences(F.col("content"))).alias("sent", "answer"))
+    spans = each(retrieved, ["q", "uid", "content"], sentences(F.col("content")), "answer", "sent")
     own = F.transform(words(F.col("answer")), word_term)
     shared = F.filter("terms", lambda x: F.array_contains(F.col("own"), x["t"]))
     scored = (

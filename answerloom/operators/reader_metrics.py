@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import round6
 from answerloom.functions.skew import salted_join
-from answerloom.functions.text import normal_answer, words
+from answerloom.functions.text import each, normal_answer, words
 
 
 def answer_pairs(read: DataFrame, gold: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def overlap_f1(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
     def bag(text: str, name: str) -> DataFrame:
         return (
-            pairs.select(*key, F.explode(words(F.col(text))).alias("token")).groupBy(*key, "token").agg(F.count("*").alias(name))
+            each(pairs, key, words(F.col(text)), "token").groupBy(*key, "token").agg(F.count("*").alias(name))
         )
 
     common = (

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import ln_ratio, round6, top_k
-from answerloom.functions.skew import salted_join
-from answerloom.functions.text import tokens
+from answerloom.functions.skew import fits_broadcast, salted_join
+from answerloom.functions.text import each, tokens
 from answerloom.operators.terms import (
     corpus_size,
     document_frequency,
@@ -25,7 +25,7 @@ B = 0.75
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
-    return queries.select("q", F.explode(F.array_distinct(tokens(F.col(text)))).alias("t"))
+    return each(queries, ["q"], F.array_distinct(tokens(F.col(text))), "t")
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
@@ -36,25 +36,31 @@ def bm25_term_weight(tf: Column, dl: Column, avgdl: Column, idf: Column, k1: flo
     return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
+def matching_counts(units: DataFrame, vocabulary: DataFrame, fits: bool) -> DataFrame:
+    """(uid, t, dl, tf) of the terms in ``vocabulary``.
+
+    Other tokens are dropped before anything is shuffled. Shuffling by unit alone lets the counts, the
+    scores and their sums per (query, unit) all be computed in one place.
+    """
+    found = salted_join(unit_tokens(units, ["uid"], "content"), vocabulary, ["t"], ["uid"], how="left_semi", fits=fits)
+    return found.repartition("uid").groupBy("uid", "t", "dl").agg(F.count("*").alias("tf"))
+
+
 def bm25_scores(queries: DataFrame, units: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(q, uid, score) of every unit that shares a term with the query.
 
-    Tokens that no query asks for are dropped by a semi join before anything is shuffled, so the
-    shuffles carry query terms only. Both joins on a term are salted by unit.
+    Query terms are broadcast if there are few enough of them; otherwise both joins on a term are salted
+    by unit.
     """
     asked = query_terms(queries)
-    vocabulary = asked.select("t").distinct()
-    counts = (
-        salted_join(unit_tokens(units, ["uid"], "content"), vocabulary, ["t"], ["uid"], how="left_semi")
-        .groupBy("uid", "t", "dl")
-        .agg(F.count("*").alias("tf"))
-    )
+    fits = fits_broadcast(asked)
+    counts = matching_counts(units, asked.select("t").distinct(), fits)
     size = corpus_size(units, "content")
     n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
     idf = document_frequency(counts).select("t", bm25_idf(n, F.col("df")).alias("idf"))
     weighted_terms = asked.join(idf, "t")
     return (
-        salted_join(counts, weighted_terms, ["t"], ["uid"])
+        salted_join(counts, weighted_terms, ["t"], ["uid"], fits=fits)
         .select(
             "q", "uid", bm25_term_weight(F.col("tf"), F.col("dl"), avgdl, F.col("idf"), k1, b).alias("part")
         )
@@ -72,7 +78,7 @@ def query_tfidf(queries: DataFrame, units: DataFrame, frequencies: DataFrame) ->
     """(q, t, wq): query weights with the statistics of the indexed units, scaled to length one."""
     n = units.agg(F.count("*")).scalar()
     counts = (
-        queries.select("q", F.explode(tokens(F.col("query"))).alias("t"))
+        each(queries, ["q"], tokens(F.col("query")), "t")
         .groupBy("q", "t")
         .agg(F.count("*").alias("tf"))
         .join(frequencies, "t")
@@ -85,10 +91,10 @@ def query_tfidf(queries: DataFrame, units: DataFrame, frequencies: DataFrame) ->
 def tfidf_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
     """(q, uid, score): cosine of TF-IDF vectors."""
     weights = tfidf_weights(units, ["uid"], "content")
-    frequencies = document_frequency(weights)
+    frequencies = weights.groupBy("t").agg(F.sum((F.col("w") > 0).cast("bigint")).alias("df"))
     asked = query_tfidf(queries, units, frequencies)
     return (
-        salted_join(weights, asked, ["t"], ["uid"])
+        salted_join(weights, asked, ["t"], ["uid"], fits=fits_broadcast(query_terms(queries)))
         .groupBy("q", "uid")
         .agg(round6(F.sum(F.col("w") * F.col("wq"))).alias("score"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.text import let, sentences, words
+from answerloom.functions.text import each, let, sentences, words
 
 
 def word_windows(text: Column, length: int, overlap: int = 0) -> Column:
@@ -29,7 +29,7 @@ def word_windows(text: Column, length: int, overlap: int = 0) -> Column:
 def split_words(df: DataFrame, length: int = 200, overlap: int = 0, text: str = "text") -> DataFrame:
     """Replace ``text`` by one row (split_id, content) per window of words."""
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(word_windows(F.col(text), length, overlap)).alias("split_id", "content"))
+    return each(df, keep, word_windows(F.col(text), length, overlap), "content", "split_id")
 
 
 def sentence_groups(text: Column, length: int) -> Column:
@@ -75,11 +75,11 @@ def split_sentences(
     keep = [c for c in df.columns if c != text]
     groups = sentence_groups(F.col(text), length)
     if keep_sentences:
-        return df.select(*keep, F.posexplode(groups).alias("split_id", "sentences"))
+        return each(df, keep, groups, "sentences", "split_id")
     joined = F.transform(groups, lambda g: F.array_join(g, " "))
     if hard_max:
         joined = F.flatten(F.transform(joined, lambda c: word_windows(c, length)))
-    return df.select(*keep, F.posexplode(joined).alias("split_id", "content"))
+    return each(df, keep, joined, "content", "split_id")
 
 
 def chunk_id(parent: Column, split_id: Column) -> Column:

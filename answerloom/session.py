@@ -50,3 +50,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table that lies in fewer splits than there are cores over all of them.
+
+    Tables with enough splits, which is every large one, are returned as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

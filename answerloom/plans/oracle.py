@@ -81,22 +81,39 @@ TFIDF = """
     select uid, t, tf * (ln((n + 1)::double / (df + 1)::double) + 1) as raw
     from tfs join dfs using (t), corpus),
   weights as (select uid, t, raw / sqrt(sum(raw * raw) over (partition by uid)) as w from raw)"""
-BM25 = f"""
-  asked as (select q, unnest(list_distinct({tokens('query')})) as t from items),
-  bm as (
+def bm25(source: str = "items", out: str = "bm") -> str:
+    """CTE ``out`` (q, uid, score) of the queries in ``source``."""
+    return f"""
+  asked_{out} as (select q, unnest(list_distinct({tokens('query')})) as t from {source}),
+  {out} as (
     select q, uid, {round6('''sum(
       ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
       / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl)))''')} as score
-    from asked join tfs using (t) join dfs using (t) join sizes using (uid), corpus
+    from asked_{out} join tfs using (t) join dfs using (t) join sizes using (uid), corpus
     group by q, uid)"""
-TFIDF_SCORES = f"""
+
+
+BM25 = bm25()
+
+
+def query_weights(source: str) -> str:
+    """CTE ``qw`` (q, t, wq)."""
+    return f"""
   qraw as (
     select q, t, count(*) * (ln((any_value(n) + 1)::double / (any_value(df) + 1)::double) + 1) as raw
-    from (select q, unnest({tokens('query')}) as t from items) join dfs using (t), corpus group by q, t),
-  qw as (select q, t, raw / sqrt(sum(raw * raw) over (partition by q)) as wq from qraw),
+    from (select q, unnest({tokens('query')}) as t from {source}) join dfs using (t), corpus group by q, t),
+  qw as (select q, t, raw / sqrt(sum(raw * raw) over (partition by q)) as wq from qraw)"""
+
+
+def cosine(source: str = "items") -> str:
+    """CTE ``cosine`` (q, uid, score)."""
+    return f"""{query_weights(source)},
   cosine as (select q, uid, {round6('sum(w * wq)')} as score from qw join weights using (t) group by q, uid)"""
 
 
+TFIDF_SCORES = cosine()
+
+
 def ranked(source: str, k: int, name: str) -> str:
     return f"""{name} as (
       select * from (select *, row_number() over (partition by q order by score desc, uid)::int as rank from {source})
@@ -211,11 +228,12 @@ WORD_DF = f"""
     from (select doc_id, unnest({words('text')}) as w from documents)) where t <> ''),
   wdf as (select t, count(*) as df from seen group by t),
   docs_n as (select count(*) as n_docs from documents)"""
-QUESTIONS = rf"""{groups()},
+PLACED = f"""{groups()},
   {WORD_DF},
   placed as (select doc_id, chunk, s, n, sent - first_sent as sent
     from (select *, min(sent) over (partition by doc_id, chunk) as first_sent
-          from packed join sents using (doc_id, sent))),
+          from packed join sents using (doc_id, sent)))"""
+ASKED = rf"""
   ws as (select doc_id, chunk, sent, n, w, {term('w')} as t, pos
     from (select *, unnest(wl) as w, generate_subscripts(wl, 1) as pos
           from (select *, {words('s')} as wl from placed))),
@@ -229,6 +247,7 @@ QUESTIONS = rf"""{groups()},
                      '[.!?]+$', '') || '?' as question,
       regexp_replace(any_value(p.w), '[^\p{{L}}\p{{N}}]+', '', 'g') as answer
     from picks p join ws using (doc_id, chunk, sent) group by p.doc_id, p.chunk, p.sent)"""
+QUESTIONS = f"{PLACED}, {ASKED}"
 PAIRS = f"""{QUESTIONS},
   qterms as (select distinct p.doc_id, p.chunk, p.sent, ws.t from picks p join ws using (doc_id, chunk, sent)
     where ws.pos <> p.pos and ws.t <> ''),
@@ -255,27 +274,33 @@ ORACLE["generate_questions"] = f"""
   with recursive {QUESTIONS}
   select doc_id, chunk::int as split_id, sent::int as sent, question, answer from questions"""
 ORACLE["qa_generation"] = f"with recursive {PAIRS} select * from pairs"
-SPANS = f"""
-  {WORD_DF},
-  qidf as (
+
+
+def spans(source: str = "retrieved", queries: str = "items", suffix: str = "") -> str:
+    """CTEs ``spans`` and ``read_`` (q, uid, sent, answer, start, score, rank). Needs WORD_DF."""
+    n_words = "len(" + words("any_value(c.answer)") + ")"
+    return f"""
+  qidf{suffix} as (
     select q, t, ln((n_docs + 1)::double / (coalesce(df, 0) + 1)::double) as idf
-    from (select distinct q, {term('w')} as t from (select q, unnest({words('query')}) as w from items))
+    from (select distinct q, {term('w')} as t from (select q, unnest({words('query')}) as w from {queries}))
       left join wdf using (t), docs_n where t <> ''),
-  cand as (select q, uid, content, unnest(ss) as answer, generate_subscripts(ss, 1) - 1 as sent
-    from (select q, uid, content, {sentences('content')} as ss from retrieved)),
-  cterms as (select distinct q, uid, sent, {term('w')} as t
-    from (select q, uid, sent, unnest({words('answer')}) as w from cand)),
-  spans as (
+  cand{suffix} as (select q, uid, content, unnest(ss) as answer, generate_subscripts(ss, 1) - 1 as sent
+    from (select q, uid, content, {sentences('content')} as ss from {source})),
+  cterms{suffix} as (select distinct q, uid, sent, {term('w')} as t
+    from (select q, uid, sent, unnest({words('answer')}) as w from cand{suffix})),
+  spans{suffix} as (select * from (
     select c.q, c.uid, c.sent::int as sent, any_value(c.answer) as answer,
       (instr(any_value(c.content), any_value(c.answer)) - 1)::int as start,
-      {round6("sum(idf) / sqrt(greatest(len(" + words('any_value(c.answer)') + "), 1)::double)")} as score
-    from cand c join cterms x on x.q = c.q and x.uid = c.uid and x.sent = c.sent
-      join qidf on qidf.q = c.q and qidf.t = x.t
-    group by c.q, c.uid, c.sent),
-  read_ as (select * from (
+      {round6(f"sum(idf) / sqrt(greatest({n_words}, 1)::double)")} as score
+    from cand{suffix} c join cterms{suffix} x on x.q = c.q and x.uid = c.uid and x.sent = c.sent
+      join qidf{suffix} i on i.q = c.q and i.t = x.t
+    group by c.q, c.uid, c.sent) where score > 0),
+  read_{suffix} as (select * from (
       select *, row_number() over (partition by q order by score desc, uid, sent)::int as rank
-      from spans where score > 0) where rank <= 4)"""
-READ = f"{RETRIEVED}, {SPANS}"
+      from spans{suffix}) where rank <= 4)"""
+
+
+READ = f"{RETRIEVED}, {WORD_DF}, {spans()}"
 ORACLE["extract_answers"] = f"with {READ} select q, uid, sent, answer, start, score, rank from read_"
 
 # --- labels and evaluation --------------------------------------------------------------------------
@@ -292,3 +317,400 @@ REL = f"""{RETRIEVED}, {LABELS},
       as rel
     from retrieved r join labels_ l using (q) group by r.q, r.rank)"""
 ORACLE["retriever_eval"] = f"with {REL} select q, rank, rel from rel"
+
+ANSWERED = f"{LABELS}, answered as (select * from labels_ where answer <> '')"
+PER_QUERY = """
+  numbered as (select *, sum(rel) over (partition by {by}q order by rank) as hit_no from {rel}),
+  per_query as (
+    select {by}q, max(rel)::double as recall_single_hit,
+      coalesce(1::double / min(case when rel = 1 then rank end), 0) as mrr,
+      sum(rel) / count(*) as precision,
+      coalesce(avg(case when rel = 1 then hit_no / rank end), 0) as map
+    from numbered group by {by}q)"""
+FOUR = ["recall_single_hit", "mrr", "precision", "map"]
+
+
+def per_query(rel: str = "rel", by: str = "") -> str:
+    return PER_QUERY.replace("{by}", by).replace("{rel}", rel)
+
+
+def long_metrics(source: str, metrics: list[str], by: str = "") -> str:
+    group = f"group by {by.rstrip(', ')}" if by else ""
+    return " union all ".join(
+        f"select {by}'{m}' as metric, {round6(f'avg({m})')} as value from {source} {group}" for m in metrics
+    )
+
+
+ORACLE["query_scores"] = f"""
+  with {REL}, {per_query()}
+  select q, {', '.join(f"{round6(m)} as {m}" for m in FOUR)} from per_query"""
+REL_ANSWERED = f"""{RETRIEVED}, {ANSWERED},
+  rel as (
+    select r.q, r.rank, max(case when contains(r.content, l.answer) then 1 else 0 end) as rel
+    from retrieved r join answered l using (q) group by r.q, r.rank)"""
+ORACLE["retriever_metrics_all"] = f"""
+  with {REL_ANSWERED}, {per_query()},
+  gold as (select distinct q, uid from answered),
+  multi as (
+    select q, avg(case when (q, uid) in (select (q, uid) from hits) then 1.0::double else 0 end) as recall_multi_hit
+    from gold group by q)
+  {long_metrics('per_query', FOUR)} union all {long_metrics('multi', ['recall_multi_hit'])}"""
+
+
+def norm(x: str) -> str:
+    plain = f"regexp_replace(lower(coalesce({x}, '')), '[!-/:-@\\[-`{{-~]', '', 'g')"
+    return f"array_to_string(list_filter({words(plain)}, lambda w: w not in ('a', 'an', 'the')), ' ')"
+
+
+def overlap(predictions: str, gold: str, out: str = "scored", extra: str = "") -> str:
+    """CTE ``out`` (q, rank, em, f1): best over gold answers; ``extra`` adds columns of both sides to the pairs."""
+    return f"""
+  pair_{out} as (
+    select distinct r.q, r.rank, {norm('r.answer')} as pred, g.gold
+    from {predictions} r join (select distinct q, {norm('answer')} as gold from {gold}) g using (q)),
+  ptok_{out} as (select q, rank, gold, tok, count(*) as c
+    from (select q, rank, gold, unnest({words('pred')}) as tok from pair_{out}) group by all),
+  gtok_{out} as (select q, rank, gold, tok, count(*) as c
+    from (select q, rank, gold, unnest({words('gold')}) as tok from pair_{out}) group by all),
+  common_{out} as (select q, rank, gold, sum(least(p.c, g.c)) as common
+    from ptok_{out} p join gtok_{out} g using (q, rank, gold, tok) group by all),
+  full_{out} as (
+    select q, rank, gold, (pred = gold)::int::double as em,
+      case when len({words('pred')}) = 0 or len({words('gold')}) = 0 then (pred = gold)::int::double
+        else 2 * coalesce(common, 0)::double / (len({words('pred')}) + len({words('gold')})) end as f1
+    from pair_{out} left join common_{out} using (q, rank, gold)),
+  {out} as (select q, rank, max(em) as em, max(f1) as f1 from full_{out} group by q, rank)"""
+
+
+def best(scored: str, gold: str, out: str, n: int | None = None) -> str:
+    where = "" if n is None else f"where rank <= {n}"
+    return f"""
+  {out} as (
+    select q, coalesce(em, 0) as em, coalesce(f1, 0) as f1
+    from (select distinct q from {gold})
+      left join (select q, max(em) as em, max(f1) as f1 from {scored} {where} group by q) using (q))"""
+
+
+def reader_values(source: str) -> str:
+    return f"""
+  select 'exact_match' as metric, {round6('avg(em)')} as value from {source}
+  union all select 'f1', {round6('avg(f1)')} from {source}"""
+
+
+ORACLE["answer_scores"] = f"""
+  with {READ}, {LABELS}, {overlap('read_', 'labels_')} select q, rank, em, {round6('f1')} as f1 from scored"""
+SCORED = f"{READ}, {ANSWERED}, {overlap('read_', 'answered')}, {best('scored', 'answered', 'best')}"
+ORACLE["reader_metrics_all"] = f"with {SCORED} {reader_values('best')}"
+NONE_READ = f"""{READ},
+  with_none as (
+    select q, uid, sent, answer, start, score from spans
+    union all select q, null, null, null, null, 6.5::double from items),
+  none_read as (select * from (
+      select *, row_number() over (partition by q order by score desc, uid nulls last, sent nulls last)::int as rank
+      from with_none) where rank <= 4)"""
+ORACLE["no_answer"] = f"with {NONE_READ} select * from none_read"
+ORACLE["extractive_qa"] = f"""
+  with {NONE_READ} select q, rank, uid, none_read.answer, score, query from none_read join items using (q)"""
+ORACLE["reader_eval"] = f"""
+  with {NONE_READ}, {LABELS}, {overlap('none_read', 'labels_')},
+  {best('scored', 'labels_', 'top1', 1)}, {best('scored', 'labels_', 'top4', 4)},
+  kinds as (select q, max((answer <> '')::int) as has_text from labels_ group by q),
+  j as (select q, has_text, top4.em, top4.f1, top1.em as em1, top1.f1 as f11
+        from kinds join top4 using (q) join top1 using (q)),
+  m as (select avg((f1 > 0)::int) as a, avg(em1) as b, avg(f11) as c,
+      avg((f1 > 0)::int) filter (has_text = 1) as d, avg(em) filter (has_text = 1) as e,
+      avg(f1) filter (has_text = 1) as f from j)
+  {" union all ".join(f"select '{name}' as metric, {round6(col + ' * 100')} as value from m" for name, col in [
+      ("top_n_accuracy", "a"), ("EM", "b"), ("f1", "c"), ("top_n_accuracy_text_answer", "d"),
+      ("top_n_EM_text_answer", "e"), ("top_n_f1_text_answer", "f")])}"""
+FROM_RETRIEVED = f"""{RETRIEVED}, {WORD_DF},
+  once as (select uid, any_value(content) as content from retrieved group by uid),
+  placed as (
+    select uid as doc_id, 0 as chunk, s, len({words('s')}) as n, sent
+    from (select uid, unnest(ss) as s, generate_subscripts(ss, 1) - 1 as sent
+          from (select uid, {sentences('content')} as ss from once))), {ASKED}"""
+ORACLE["retrieve_then_generate"] = f"""
+  with {FROM_RETRIEVED}
+  select q, rank, uid, x.sent::int as sent, x.question, x.answer
+  from retrieved join questions x on x.doc_id = uid"""
+ORACLE["pseudo_labels"] = f"""
+  with {FROM_RETRIEVED},
+  qs as (select distinct doc_id || ':' || md5(question) as q, question as query from questions),
+  {bm25('qs', 'bq')},
+  pos as (select q, uid as pos_uid, score as pos_score from bq where uid = split_part(q, ':', 1)),
+  neg as (select q, uid as neg_uid, score as neg_score from (
+      select *, row_number() over (partition by q order by score desc, uid) as r
+      from bq where uid <> split_part(q, ':', 1)) where r = 1)
+  select q, pos_uid, pos_score, neg_uid, neg_score, {round6('pos_score - coalesce(neg_score, 0)')} as margin
+  from pos left join neg using (q)"""
+ORACLE["hard_pairs"] = f"""
+  with recursive {PAIRS}
+  select doc_id || '-' || split_id || '-' || pairs.sent as id, question, pairs.answer as wrong_answer, b.s as answer
+  from pairs join placed b on b.doc_id = pairs.doc_id and b.chunk = pairs.split_id and b.sent = pairs.sent
+  where b.s <> pairs.answer"""
+DIALOGUE = """
+  dialogue as (
+    select u.conv_id, u.turn, u.text as question, a.text as reply
+    from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
+    where u.role = 'user' and a.role = 'assistant')"""
+ORACLE["split_train_eval"] = f"""
+  with {DIALOGUE}
+  select conv_id, turn, case when ('0x' || substr(md5(question), 1, 6))::bigint % 100 < 20 then 'eval' else 'train' end
+    as part
+  from dialogue"""
+
+
+def ngrams(x: str) -> str:
+    return f"""list_distinct(case when len({x}) >= 3
+      then list_transform(range(1, len({x}) - 1), lambda i: array_to_string({x}[i : i + 2], ' '))
+      else [array_to_string({x}, ' ')] end)"""
+
+
+GOLD = f"""{RETRIEVED}, {ANSWERED},
+  gold as (select a.*, p.source, p.content as gold_context from answered a join passages p using (uid)),
+  context_pairs as (
+    select r.q, r.rank, r.uid as r_uid, r.source as r_source, r.content, g.uid, g.source, g.answer,
+      {ngrams('string_split(r.content, chr(32))')} as x, {ngrams('string_split(g.gold_context, chr(32))')} as y
+    from retrieved r join gold g using (q)),
+  matched as (
+    select *, len(list_intersect(x, y)) / greatest(least(len(x), len(y)), 1) as share from context_pairs)"""
+ORACLE["context_match"] = f"""
+  with {GOLD} select q, rank, uid, {round6('share')} as containment, share >= 0.65 as matched from matched"""
+ANSWER_SCOPES = {"any": "true", "context": "c", "document_id": "i", "document_id_and_context": "i and c"}
+DOCUMENT_SCOPES = {
+    "document_id": "i", "context": "c", "document_id_and_context": "i and c", "document_id_or_context": "i or c",
+    "answer": "h and ({a})", "document_id_or_answer": "i or (h and ({a}))",
+}
+
+
+def scoped(key: str) -> str:
+    cases = " union all ".join(
+        f"select '{an}' as answer_scope, '{dn}' as document_scope, q, rank, gold_key, ({de.replace('{a}', ae)})::int as rel"
+        " from flags"
+        for an, ae in ANSWER_SCOPES.items() for dn, de in DOCUMENT_SCOPES.items()
+    )
+    by = "answer_scope, document_scope, "
+    return f"""{GOLD},
+  flags as (select q, rank, {key} as gold_key, r_{key} = {key} as i, share >= 0.65 as c, contains(content, answer) as h
+    from matched),
+  cases as ({cases}),
+  rows_ as (select answer_scope, document_scope, q, rank, max(rel) as rel from cases group by all),
+  {per_query('rows_', by)},
+  multi as (select answer_scope, document_scope, q, avg(hit) as recall_multi_hit
+    from (select answer_scope, document_scope, q, gold_key, max(rel) as hit from cases group by all) group by all),
+  metrics as ({long_metrics('per_query', FOUR, by)} union all {long_metrics('multi', ['recall_multi_hit'], by)})"""
+
+
+ORACLE["scope_metrics"] = f"with {scoped('uid')} select * from metrics"
+ORACLE["custom_document_id"] = f"""
+  with {scoped('source')} select * from metrics where answer_scope = 'any' and document_scope = 'document_id'"""
+ORACLE["scoped_reader_metrics"] = f"""
+  with {GOLD}, {WORD_DF}, {spans()}, {overlap('read_', 'answered')},
+  flags as (
+    select f.q, f.em, f.f1, m.r_uid = m.uid as i, m.share >= 0.65 as c
+    from full_scored f join read_ r using (q, rank)
+      join (select distinct q, r_uid, uid, answer, share from matched) m
+        on m.q = f.q and m.r_uid = r.uid and {norm('m.answer')} = f.gold),
+  cases as ({" union all ".join(
+      f"select '{n}' as answer_scope, q, em * ({e})::int as em, f1 * ({e})::int as f1 from flags"
+      for n, e in ANSWER_SCOPES.items())}),
+  b as (select answer_scope, q, max(em) as em, max(f1) as f1 from cases group by all)
+  select answer_scope, {round6("sum(em) / (select count(distinct q) from answered)")} as exact_match,
+    {round6("sum(f1) / (select count(distinct q) from answered)")} as f1
+  from b group by answer_scope"""
+ORACLE["eval_isolated"] = f"""
+  with {SCORED},
+  given as (select a.q, a.uid, u.content from answered a join units u using (uid)),
+  {spans('given', 'items', '2')}, {overlap('read_2', 'answered', 'scored2')}, {best('scored2', 'answered', 'best2')},
+  a as ({reader_values('best')}), b as ({reader_values('best2')})
+  select metric, a.value as integrated, b.value as isolated, {round6('b.value - a.value')} as gap
+  from a join b using (metric)"""
+ORACLE["lexical_similarity"] = f"""
+  with {READ}, {ANSWERED},
+  ddf as (select t, count(*) as df from (select distinct doc_id, t from
+    (select doc_id, unnest({tokens('text')}) as t from documents)) group by t),
+  sim_pairs as (select r.q || '-' || r.rank as key, r.answer as a, g.b
+    from read_ r join (select distinct q, answer as b from answered) g using (q)),
+  sides as (select key, 'a' as side, unnest({tokens('a')}) as t from sim_pairs
+    union all select key, 'b', unnest({tokens('b')}) from sim_pairs),
+  sw as (select key, side, t, count(*) * (ln((any_value(n_docs) + 1)::double / (coalesce(any_value(df), 0) + 1)::double) + 1)
+      as w from sides left join ddf using (t), docs_n group by key, side, t),
+  sn as (select key, side, t, w / sqrt(sum(w * w) over (partition by key, side)) as w from sw),
+  cs as (select x.key, sum(x.w * y.w) as s from sn x join sn y on x.key = y.key and x.t = y.t
+    where x.side = 'a' and y.side = 'b' group by x.key)
+  select key, {round6('coalesce(s, 0)')} as similarity from sim_pairs left join cs using (key)"""
+ORACLE["eval_report"] = f"""
+  with {SCORED}, worst as (select q, {round6('f1')} as f1 from best order by 2, q limit 5)
+  select q, f1, rank, read_.answer from worst join read_ using (q)"""
+RUNS = f"""{READ}, {ANSWERED}, {overlap('read_', 'answered')}, {best('scored', 'answered', 'best1', 1)},
+  {best('scored', 'answered', 'best4')}, a as ({reader_values('best1')}), b as ({reader_values('best4')})"""
+ORACLE["compare_runs"] = f"""
+  with {RUNS}
+  select 'Reader' as node, metric, a.value as before, b.value as after, {round6('b.value - a.value')} as delta
+  from a join b using (metric)"""
+ORACLE["score_table"] = f"""
+  with {SCORED}, m as ({reader_values('best')})
+  select metric as "Metrics", {round6('value * 100')} as "Score" from m"""
+
+# --- dense retrieval, routing and merging -----------------------------------------------------------
+
+VECTORS = "vecs as (select vec_id, embedding::double[] as v from embeddings)"
+EXACT = f"""{VECTORS},
+  dots as (select a.vec_id as q, b.vec_id as uid, {round6('list_dot_product(a.v, b.v)')} as score from vecs a, vecs b),
+  {ranked('dots', 5, 'exact')}"""
+ANN = """
+  planes as (
+    select p, list(case when substr(md5('plane-' || p || '-' || i), 1, 1) <= '7' then 1.0::double else -1.0 end
+                   order by i) as s
+    from range(64) x(p), range((select max(len(v)) from vecs)) y(i) group by p),
+  keys as (
+    select vec_id, p // 4 as band, sum(case when list_dot_product(v, s) >= 0 then 2 ** (p % 4) else 0 end) as k
+    from vecs, planes group by all),
+  near as (select distinct a.vec_id as q, b.vec_id as uid from keys a join keys b using (band, k)),
+  near_dots as (select * from dots semi join near using (q, uid))"""
+ORACLE["dense_topk_exact"] = f"with {EXACT} select * from exact"
+ORACLE["dense_topk_ann"] = f"with {EXACT}, {ANN}, {ranked('near_dots', 5, 'approx')} select * from approx"
+ORACLE["ann_recall"] = f"""
+  with {EXACT}, {ANN}, {ranked('near_dots', 5, 'approx')},
+  j as (select exact.q, approx.uid as hit from exact left join approx using (q, uid))
+  select count(*) as pairs, count(hit) as found, {round6('count(hit) / count(*)')} as recall from j"""
+TITLED = f"""{windows(200)},
+  units as (select uid, array_to_string(({words("source || ' ' || content")})[1:256], ' ') as content from passages)"""
+DIM = "('0x' || substr(md5(t), 1, 2))::int"
+SIGN = "case when substr(md5(t), 3, 1) <= '7' then 1.0::double else -1.0 end"
+COMPONENTS = f"""{TITLED}, {INDEX}, {TFIDF},
+  comps as (select uid, {DIM} as dim, sum(w * {SIGN}) as v from weights group by all)"""
+ORACLE["update_embeddings"] = f"""
+  with {COMPONENTS} select * from (select uid, dim, {round6('v')} as value from comps) where value <> 0"""
+ORACLE["dense_topk_dual"] = f"""
+  with {ITEMS}, {COMPONENTS}, {query_weights('items')},
+  qcomps as (select q, {DIM} as dim, sum(wq * {SIGN}) as v from qw group by all),
+  dots as (select q, uid, {round6('sum(qcomps.v * comps.v)')} as score from qcomps join comps using (dim) group by q, uid),
+  {ranked('dots', 5, 'hits')}
+  select q, uid, score, rank from hits"""
+ORACLE["route_queries"] = "select page_id, case when contains(url, '?') then 2 else 1 end as branch from pages"
+BRANCHES = f"""{ITEMS}, {DOC_INDEX}, {BM25}, {ranked('bm', 5, 'one')}, {TFIDF}, {TFIDF_SCORES}, {ranked('cosine', 5, 'two')},
+  both_ as (select q, uid, score, rank from one union all select q, uid, score, rank from two)"""
+ORACLE["merge_by_score"] = f"with {BRANCHES} select q, uid, max(score) as score from both_ group by q, uid"
+ORACLE["merge_by_rank"] = f"""
+  with {BRANCHES},
+  fused as (select q, uid, {round6('sum(1::double / (rank + 60))')} as score from both_ group by q, uid),
+  {ranked('fused', 5, 'hits')}
+  select * from hits"""
+ORACLE["join_answers"] = f"""
+  with {READ},
+  both_ as (
+    select q, answer, score, rank, 0 as branch from read_
+    union all select q, substring(content, 1, 100), null, rank, 1 from retrieved)
+  select *, row_number() over (partition by q order by score desc nulls last, branch, rank)::int as position, true as sorted
+  from both_
+  union all
+  select *, row_number() over (partition by q order by branch, rank)::int as position, false as sorted from both_"""
+ORACLE["filter_query"] = f"""
+  with {RETRIEVED} select q, rank, uid, score from retrieved where query = (select min(query) from items)"""
+ORACLE["head"] = f"with {RETRIEVED} select q, rank, uid, score from retrieved order by q, rank limit 5"
+ORACLE["pipeline_classifier"] = f"""
+  with {ITEMS}, {WORD_DF}, {PASSAGE_INDEX}, {TFIDF},
+  placed as (
+    select q as doc_id, 0 as chunk, s, len({words('s')}) as n, sent
+    from (select q, unnest(ss) as s, generate_subscripts(ss, 1) - 1 as sent
+          from (select q, {sentences('query')} as ss from items))), {ASKED},
+  queries as (select q::varchar as q, query from items
+    union all select doc_id || '-' || sent, question from questions),
+  plain as (select * from queries where not contains(query, '?')),
+  asking as (select * from queries where contains(query, '?')),
+  {bm25('plain', 'bm')}, {ranked('bm', 5, 'one')}, {cosine('asking')}, {ranked('cosine', 5, 'two')},
+  retrieved as (select h.q, h.uid, u.content
+    from (select q, uid from one union all select q, uid from two) h join units u using (uid)),
+  {spans('retrieved', 'queries')}
+  select q, uid, answer, score from read_ where rank = 1"""
+
+# --- sources and sinks ------------------------------------------------------------------------------
+
+ORACLE["corpus_load"] = """
+  select md5(text) || '-0' as id, doc_id, text as content, 'text' as content_type, source as name, lang as meta_lang
+  from documents"""
+ORACLE["gold_labels"] = f"""
+  with {RAW_ITEMS}, {DOC_UNITS}, {LABELS}
+  select q, uid, uid is not null as is_correct_document, 'gold-label' as origin from labels_"""
+SQUAD = f"""{DIALOGUE},
+  sq as (
+    select 'conv-' || conv_id as title, reply as context, conv_id || '-' || turn as id, question,
+      case when len({words('reply')}) > 3 then (
+        select s from (select unnest({sentences('reply')}) as s, generate_subscripts({sentences('reply')}, 1) as i)
+        order by length(s) desc, i limit 1) end as answer
+    from dialogue)"""
+ORACLE["squad_roundtrip"] = f"""
+  with {SQUAD}
+  select *, answer is null as is_impossible, (instr(context, answer) - 1)::int as answer_start from sq"""
+SQUAD_PASSAGES = f"""{SQUAD},
+  ctx as (select md5(context) as context_id, min(title) as title, any_value({words('context')}) as ws from sq group by 1),
+  sqp as (
+    select context_id, title, p::int as split_id, array_to_string(ws[p * 50 + 1 : p * 50 + 50], ' ') as content,
+      case when p = 0 then 0 else length(array_to_string(ws[1 : p * 50], ' ')) + 1 end::int as first_char
+    from (select *, unnest(range(0, ceil(len(ws) / 50.0)::bigint)) as p from ctx))"""
+ORACLE["squad_passages"] = f"with {SQUAD_PASSAGES} select * from sqp"
+ORACLE["squad_labels"] = f"""
+  with {SQUAD_PASSAGES},
+  lab as (
+    select id, question, md5(context) as context_id, {squeeze('answer')} as answer,
+      length({squeeze('before')}) + case when regexp_matches(before, '\\s$') and {squeeze('before')} <> '' then 1 else 0 end as at
+    from (select *, substring(context, 1, instr(context, answer) - 1) as before from sq where answer is not null)),
+  hit as (
+    select l.id, p.split_id, l.at - p.first_char as start from lab l join sqp p using (context_id)
+    where l.at >= p.first_char and l.at + length(l.answer) <= p.first_char + length(p.content))
+  select id, question, answer, context_id, split_id, start::int as start from lab left join hit using (id)"""
+ORACLE["question_list"] = f"with {DIALOGUE} select {squeeze('question')} as question from dialogue"
+
+
+def strip(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+LOG = f"""{DIALOGUE},
+  logged as (
+    select conv_id * 1000000 + turn as doc, {strip('question')} as question,
+      list_transform(case when length(reply) < length(question) then []
+        when len({sentences('reply')}) > 1 then [trim(({sentences('reply')})[1]), reply]
+        else [reply] end, lambda a: {strip('a')}) as answers,
+      case when length(question) * 4 > length(reply) then 100::double / (length(reply) + 1)
+        else (length(reply) + 1) / 100 end as spi,
+      length(question) / 10 as bps
+    from dialogue)"""
+ORACLE["qa_log_parse"] = f"""
+  with {LOG} select doc, 0 as pos, question, array_to_string(answers, '|') as answers, len(answers)::int as n from logged"""
+ORACLE["count_pairs"] = f"with {DIALOGUE} select count(*) as n from dialogue"
+ORACLE["log_throughput"] = f"""
+  with {LOG} select doc, {round6('spi')} as seconds_per_item, bps as batches_per_second from logged"""
+ORACLE["log_throughput_summary"] = f"""
+  with {LOG} select count(*) as blocks, min(bps) as slowest, {round6('avg(bps)')} as mean, max(bps) as fastest,
+    {round6('sum(spi)')} as total_seconds from logged"""
+ORACLE["pair_quality"] = f"""
+  with {LOG}
+  select doc, 0 as pos, question not like '%?' as no_question_mark, len(answers) = 0 as no_answer,
+    len(answers) > 1 as many_answers,
+    row_number() over (partition by lower(regexp_replace(trim(question), '\\s+', ' ', 'g')) order by doc) > 1 as repeated
+  from logged"""
+ORACLE["index_write"] = f"with {windows(200)} select uid as id, content from passages"
+ORACLE["index_upsert"] = f"""
+  with {windows(200)}
+  select uid as id, case when lang = 'en' then substring(content, 1, 100) else content end as content from passages"""
+ORACLE["index_delete"] = "select doc_id, lang from documents where lang <> 'de'"
+ORACLE["index_scan"] = "select vec_id, label from embeddings"
+ORACLE["index_first"] = f"""
+  with {windows(200)}
+  select uid as id, content, (select count(*) from passages) as n from passages order by uid limit 1"""
+ORACLE["export_csv"] = f"with {DIALOGUE} select * from dialogue"
+ORACLE["export_json"] = ORACLE["export_csv"]
+ORACLE["eval_save_load"] = f"with {REL}, {per_query()} {long_metrics('per_query', FOUR)}"
+
+# --- tabular analytics and streams ------------------------------------------------------------------
+
+ORACLE["read_limited"] = "select event_id, ts, value from events order by event_id limit 10000"
+ORACLE["lowercase_columns"] = "select event_id, value from events"
+ORACLE["parse_timestamp"] = """
+  select event_id, case when event_type <> 'error' then floor(epoch(ts))::bigint end as seconds from events"""
+ORACLE["hour_histogram"] = """
+  select h::int as hour, count(event_id) as n from range(24) r(h) left join events on hour(ts) = h group by h"""
+ORACLE["filter_hour"] = "select event_id, event_type from events where hour(ts) = 17"
+ORACLE["upload_stream"] = ORACLE["split_sentences"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.functions.text import words
+from answerloom.functions.text import sentences, words
 from answerloom.operators.labels import find_verbatim, label_rows
 from answerloom.operators.split import split_sentences, split_words
 from answerloom.session import spread
@@ -77,3 +77,48 @@ def dialogue_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     its = items(spark, sf_dir, squeeze=False)
     return label_rows(its, find_verbatim(its.select("q", "answer"), document_units(spark, sf_dir)))
+
+
+def gold_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with the fields scopes compare: (q, query, answer, uid, source, gold_context)."""
+    cut = passages(spark, sf_dir).select("uid", "source", F.col("content").alias("gold_context"))
+    return passage_labels(spark, sf_dir).join(cut, "uid", "left")
+
+
+def squad_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue pairs as SQuAD rows: the reply is the context, its longest sentence the answer.
+
+    Replies of at most three words have no answer.
+    """
+    longest = F.array_max(
+        F.transform(sentences(F.col("reply")), lambda s, i: F.struct(F.length(s).alias("n"), (-i).alias("back"), s.alias("s")))
+    )["s"]
+    return dialogue_pairs(spark, sf_dir).select(
+        F.concat(F.lit("conv-"), "conv_id").alias("title"),
+        F.col("reply").alias("context"),
+        F.concat_ws("-", "conv_id", "turn").alias("id"),
+        "question",
+        F.when(F.size(words(F.col("reply"))) > 3, longest).alias("answer"),
+    ).withColumn("answer_start", F.instr(F.col("context"), F.col("answer")) - 1)
+
+
+def log_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dialogue pairs as blocks of a run log, with progress figures taken from the text lengths.
+
+    Long replies give two answers, their first sentence and the whole; replies of one sentence give one, and
+    replies shorter than the question none.
+    """
+    reply = F.col("reply")
+    answers = (
+        F.when(F.length(reply) < F.length("question"), F.array().cast("array<string>"))
+        .when(F.size(sentences(reply)) > 1, F.array(F.trim(sentences(reply)[0]), reply))
+        .otherwise(F.array(reply))
+    )
+    return dialogue_pairs(spark, sf_dir).select(
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("doc"),
+        reply.alias("content"),
+        F.array(F.struct("question", answers.alias("answers"))).alias("pairs"),
+        (F.length(reply) + 1).alias("rate"),
+        F.when(F.length("question") * 4 > F.length(reply), "it/s").otherwise("s/it").alias("unit"),
+        (F.length("question") * 10).alias("batches"),
+    )

@@ -41,7 +41,7 @@ def salted_join(
 def lookup_document_frequency(
     postings: DataFrame, frequencies: DataFrame, n_units: Column, share: float = 1e-4
 ) -> DataFrame:
-    """Add ``df`` of term ``t`` to postings (rows distinct per unit and term).
+    """Add ``df`` of term ``t`` to postings (rows distinct per unit and term); 0 for terms never seen.
 
     Terms in more than ``share`` of the units are joined by broadcast. Each of them accounts for
     ``share * N`` postings, so there are at most (mean distinct terms per unit) / share of them,
@@ -51,5 +51,5 @@ def lookup_document_frequency(
     hot = F.broadcast(frequencies.where(F.col("df") >= limit))
     cold = frequencies.where(F.col("df") < limit)
     frequent = postings.join(hot, "t")
-    rare = postings.join(hot.select("t"), "t", "left_anti").join(cold, "t")
-    return frequent.unionByName(rare)
+    rare = postings.join(hot.select("t"), "t", "left_anti").join(cold, "t", "left")
+    return frequent.unionByName(rare.withColumn("df", F.coalesce("df", F.lit(0).cast("bigint"))))

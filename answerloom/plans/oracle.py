@@ -85,12 +85,11 @@ def bm25(source: str = "items", out: str = "bm") -> str:
     """CTE ``out`` (q, uid, score) of the queries in ``source``."""
     return f"""
   asked_{out} as (select q, unnest(list_distinct({tokens('query')})) as t from {source}),
-  {out} as (
-    select q, uid, {round6('''sum(
-      ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
-      / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl)))''')} as score
-    from asked_{out} join tfs using (t) join dfs using (t) join sizes using (uid), corpus
-    group by q, uid)"""
+  tw_{out} as materialized (
+    select uid, t, ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
+      / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl)) as part
+    from tfs join dfs using (t) join sizes using (uid), corpus where t in (select t from asked_{out})),
+  {out} as (select q, uid, {round6('sum(part)')} as score from asked_{out} join tw_{out} using (t) group by q, uid)"""
 
 
 BM25 = bm25()
@@ -238,8 +237,8 @@ ASKED = rf"""
     from (select *, unnest(wl) as w, generate_subscripts(wl, 1) as pos
           from (select *, {words('s')} as wl from placed))),
   picks as (select doc_id, chunk, sent, pos, w from (
-      select ws.*, row_number() over (partition by doc_id, chunk, sent order by df, pos) as r
-      from ws join wdf using (t) where n between 5 and 60 and length(t) >= 4)
+      select ws.*, row_number() over (partition by doc_id, chunk, sent order by coalesce(df, 0), pos) as r
+      from ws left join wdf using (t) where n between 5 and 60 and length(t) >= 4)
     where r = 1),
   questions as (
     select p.doc_id, p.chunk, p.sent,
@@ -445,7 +444,7 @@ ORACLE["pseudo_labels"] = f"""
   from pos left join neg using (q)"""
 ORACLE["hard_pairs"] = f"""
   with recursive {PAIRS}
-  select doc_id || '-' || split_id || '-' || pairs.sent as id, question, pairs.answer as wrong_answer, b.s as answer
+  select pairs.doc_id || '-' || split_id || '-' || pairs.sent as id, question, pairs.answer as wrong_answer, b.s as answer
   from pairs join placed b on b.doc_id = pairs.doc_id and b.chunk = pairs.split_id and b.sent = pairs.sent
   where b.s <> pairs.answer"""
 DIALOGUE = """

@@ -61,17 +61,21 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _after_first(items: Column) -> Column:
+    return F.slice(items, 2, F.size(items))
+
+
 def parse_pairs(blocks: DataFrame) -> DataFrame:
     """(doc, pos, question, answers)."""
     closed = F.regexp_replace("body", r"(?s)\n---\s*$", "")
-    listed = F.slice(F.split(closed, r"(?m)^ - Q: "), 2, 2**31 - 1)
+    listed = _after_first(F.split(closed, r"(?m)^ - Q: "))
     rows = blocks.select("doc", F.posexplode(listed).alias("pos", "text"))
     parts = F.split("text", r"(?m)^      A: ")
     return rows.select(
         "doc",
         "pos",
         _clean(parts[0]).alias("question"),
-        F.transform(F.slice(parts, 2, 2**31 - 1), _clean).alias("answers"),
+        F.transform(_after_first(parts), _clean).alias("answers"),
     )
 
 

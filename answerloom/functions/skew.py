@@ -38,18 +38,28 @@ def salted_join(
     return left.join(right, [*on, SALT], how).drop(SALT)
 
 
+HOT_SHARE = 1e-4
+
+
 def lookup_document_frequency(
-    postings: DataFrame, frequencies: DataFrame, n_units: Column, share: float = 1e-4
+    postings: DataFrame, frequencies: DataFrame, n_units: Column | int, share: float = HOT_SHARE
 ) -> DataFrame:
     """Add ``df`` of term ``t`` to postings (rows distinct per unit and term); 0 for terms never seen.
 
-    Terms in more than ``share`` of the units are joined by broadcast. Each of them accounts for
+    Terms in at least ``share`` of the units are joined by broadcast. Each of them accounts for
     ``share * N`` postings, so there are at most (mean distinct terms per unit) / share of them,
-    whatever the size of the corpus. The other terms have few postings each and are shuffled.
+    whatever the size of the corpus. The other terms have few postings each and are shuffled. Where N is
+    known and at most 1 / share, every term is of the first kind.
     """
-    limit = F.lit(share) * n_units
+    if isinstance(n_units, int) and share * n_units <= 1:
+        return _known(postings.join(F.broadcast(frequencies), "t", "left"))
+    limit = (n_units if isinstance(n_units, Column) else F.lit(n_units)) * share
     hot = F.broadcast(frequencies.where(F.col("df") >= limit))
     cold = frequencies.where(F.col("df") < limit)
     frequent = postings.join(hot, "t")
     rare = postings.join(hot.select("t"), "t", "left_anti").join(cold, "t", "left")
-    return frequent.unionByName(rare.withColumn("df", F.coalesce("df", F.lit(0).cast("bigint"))))
+    return frequent.unionByName(_known(rare))
+
+
+def _known(joined: DataFrame) -> DataFrame:
+    return joined.withColumn("df", F.coalesce("df", F.lit(0).cast("bigint")))

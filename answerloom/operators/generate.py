@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import ln_ratio
 from answerloom.functions.skew import lookup_document_frequency
-from answerloom.functions.text import bare_word, each, let, word_term, word_terms, words
+from answerloom.functions.text import aligned_terms, bare_word, each, let, word_terms, words
 
 # Which sentences give a question and which words may be asked for.
 MIN_WORDS = 5
@@ -34,93 +34,102 @@ def word_document_frequency(documents: DataFrame, text: str = "text") -> DataFra
     return listed.groupBy("t").agg(F.count("*").alias("df"))
 
 
-def passage_frequencies(passages: DataFrame, frequencies: DataFrame, n_docs: Column) -> DataFrame:
-    """(doc_id, split_id, stats): map from term to (df, idf) for the sentences of a passage that give questions."""
+def passage_frequencies(passages: DataFrame, frequencies: DataFrame, n_docs: int) -> DataFrame:
+    """(doc_id, split_id, stats): (t, df, idf) of the terms in the sentences of a passage that give questions.
+
+    Only these terms are looked up: a passage holds few of them, whatever the length of its other sentences.
+    """
     asking = F.filter("sentences", lambda s: asks(F.size(words(s))))
-    terms = F.array_distinct(F.flatten(F.transform(asking, word_terms)))
-    postings = each(passages, PASSAGE, terms, "t")
+    postings = each(passages, PASSAGE, F.array_distinct(word_terms(F.array_join(asking, " "))), "t")
     known = lookup_document_frequency(postings, frequencies, n_docs)
-    stat = F.struct("df", ln_ratio(n_docs + 1, F.col("df") + 1).alias("idf"))
-    return known.select(*PASSAGE, "t", stat.alias("stat")).groupBy(*PASSAGE).agg(
-        F.map_from_entries(F.collect_list(F.struct("t", "stat"))).alias("stats")
+    return known.withColumn("idf", ln_ratio(F.lit(n_docs + 1), F.col("df") + 1)).groupBy(*PASSAGE).agg(
+        F.collect_list(F.struct("t", "df", "idf")).alias("stats")
     )
 
 
 def with_frequencies(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """Passages with the document frequencies their questions need. Passages without questions drop out."""
-    n_docs = documents.agg(F.count("*")).scalar()
-    stats = passage_frequencies(passages, word_document_frequency(documents), n_docs)
+    stats = passage_frequencies(passages, word_document_frequency(documents), documents.count())
     return passages.join(stats, PASSAGE)
 
 
-def cloze(sentence_words: Column, stats: Column) -> Column:
-    """Struct (pos, answer, question, terms) of a sentence; null where no word may be asked for."""
+def prepare(sentences: Column, stats: Column) -> Column:
+    """Per sentence (n, words, ids): the number, the words and, for each word, the place of its term in ``stats``.
+
+    0 stands for terms that no question of the passage uses. From here on terms are small numbers.
+    """
+    return let(
+        stats["t"],
+        lambda keys: F.transform(
+            sentences,
+            lambda s: let(
+                words(s),
+                lambda w: F.struct(
+                    F.size(w).alias("n"),
+                    w.alias("words"),
+                    F.transform(aligned_terms(w), lambda t: F.array_position(keys, t).cast("int")).alias("ids"),
+                ),
+            ),
+        ),
+    )
+
+
+def cloze(sentence: Column, stats: Column) -> Column:
+    """Struct (answer, question, ids) of a prepared sentence; null where no word may be asked for."""
     picks = F.transform(
-        sentence_words,
-        lambda w, i: F.when(
-            F.length(word_term(w)) >= MIN_TERM_CHARS,
-            F.struct(F.element_at(stats, word_term(w))["df"].alias("df"), i.alias("pos")),
+        sentence["ids"],
+        lambda t, i: F.when(
+            t > 0,
+            F.when(
+                F.length(F.element_at(stats, t)["t"]) >= MIN_TERM_CHARS,
+                F.struct(F.element_at(stats, t)["df"].alias("df"), i.alias("pos")),
+            ),
         ),
     )
 
     def build(pick: Column) -> Column:
-        kept = F.transform(sentence_words, lambda w, i: F.when(i == pick["pos"], "what").otherwise(w))
-        others = F.filter(sentence_words, lambda w, i: i != pick["pos"])
+        kept = F.transform(sentence["words"], lambda w, i: F.when(i == pick["pos"], "what").otherwise(w))
+        others = F.filter(sentence["ids"], lambda t, i: (i != pick["pos"]) & (t > 0))
         return F.when(
             pick.isNotNull(),
             F.struct(
-                pick["pos"].alias("pos"),
-                bare_word(F.element_at(sentence_words, pick["pos"] + 1)).alias("answer"),
+                bare_word(F.element_at(sentence["words"], pick["pos"] + 1)).alias("answer"),
                 F.concat(F.regexp_replace(F.array_join(kept, " "), r"[.!?]+$", ""), F.lit("?")).alias("question"),
-                F.array_distinct(F.array_remove(F.transform(others, word_term), "")).alias("terms"),
+                F.array_distinct(others).alias("ids"),
             ),
         )
 
     return let(F.array_min(F.filter(picks, lambda p: p.isNotNull())), build)
 
 
-def questions_of(sentences: Column, stats: Column) -> Column:
-    """Array of (sent, pos, answer, question, terms), one per sentence that gives a question."""
+def questions_of(prepared: Column, stats: Column) -> Column:
+    """Array of (sent, answer, question, ids), one per sentence that gives a question."""
 
     def of_sentence(s: Column, i: Column) -> Column:
-        return let(
-            words(s),
-            lambda w: F.when(
-                asks(F.size(w)),
-                let(
-                    cloze(w, stats),
-                    lambda c: F.when(
-                        c.isNotNull(),
-                        F.struct(
-                            i.alias("sent"),
-                            c["pos"].alias("pos"),
-                            c["answer"].alias("answer"),
-                            c["question"].alias("question"),
-                            c["terms"].alias("terms"),
-                        ),
-                    ),
-                ),
-            ),
-        )
+        def placed(c: Column) -> Column:
+            fields = [c[name].alias(name) for name in ("answer", "question", "ids")]
+            return F.when(c.isNotNull(), F.struct(i.alias("sent"), *fields))
+
+        return F.when(asks(s["n"]), let(cloze(s, stats), placed))
 
-    return F.filter(F.transform(sentences, of_sentence), lambda q: q.isNotNull())
+    return F.filter(F.transform(prepared, of_sentence), lambda q: q.isNotNull())
 
 
 def generate_questions(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, split_id, sent, question, answer)."""
     ready = with_frequencies(passages, documents)
-    asked = each(ready, PASSAGE, questions_of(F.col("sentences"), F.col("stats")), "x")
-    return asked.select(*PASSAGE, "x.sent", "x.question", "x.answer")
+    asked = let(prepare(F.col("sentences"), F.col("stats")), lambda p: questions_of(p, F.col("stats")))
+    return each(ready, PASSAGE, asked, "x").select(*PASSAGE, "x.sent", "x.question", "x.answer")
 
 
-def best_sentence(terms: Column, prepared: Column, stats: Column) -> Column:
-    """(score, sent): the sentence sharing the most informative terms; score in millionths, first wins ties."""
+def best_sentence(ids: Column, prepared: Column, stats: Column) -> Column:
+    """(score, back): the sentence sharing the most informative terms; score in millionths, first wins ties."""
     scored = F.transform(
         prepared,
         lambda s, j: F.struct(
             F.floor(
                 F.aggregate(
-                    F.array_intersect(terms, s["terms"]), F.lit(0.0), lambda a, t: a + F.element_at(stats, t)["idf"]
+                    F.array_intersect(ids, s["ids"]), F.lit(0.0), lambda a, t: a + F.element_at(stats, t)["idf"]
                 )
                 / F.sqrt(s["n"].cast("double"))
                 * 1e6
@@ -138,19 +147,15 @@ def generate_pairs(passages: DataFrame, documents: DataFrame) -> DataFrame:
     Everything after the frequency lookup happens inside the row of a passage.
     """
     ready = with_frequencies(passages, documents)
-    prepared = F.transform(
-        "sentences",
-        lambda s: let(words(s), lambda w: F.struct(F.size(w).alias("n"), F.transform(w, word_term).alias("terms"))),
-    )
     answered = let(
-        prepared,
+        prepare(F.col("sentences"), F.col("stats")),
         lambda p: F.transform(
-            questions_of(F.col("sentences"), F.col("stats")),
+            questions_of(p, F.col("stats")),
             lambda q: F.struct(
                 q["sent"].alias("sent"),
                 q["question"].alias("question"),
                 q["answer"].alias("cloze_answer"),
-                best_sentence(q["terms"], p, F.col("stats")).alias("best"),
+                best_sentence(q["ids"], p, F.col("stats")).alias("best"),
             ),
         ),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import top_k
-from answerloom.functions.skew import salted_join
+from answerloom.functions.skew import fits_broadcast, salted_join
 from answerloom.functions.text import each, words
 
 
@@ -24,12 +24,20 @@ def find_verbatim(items: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _match_on_inner_word(items: DataFrame, units: DataFrame) -> DataFrame:
-    unit_words = each(units, ["uid"], F.array_distinct(words(F.col("content"))), "anchor")
+    """Few items: their words are broadcast, and no text of a unit leaves the task that reads it."""
     inner = each(items, ["q"], F.array_distinct(F.slice("ws", 2, F.size("ws") - 2)), "anchor")
-    found = salted_join(unit_words, inner.select("anchor").distinct(), ["anchor"], ["uid"], how="left_semi")
+    fits = fits_broadcast(inner)
+    distinct_words = F.array_distinct(words(F.col("content")))
+    unit_words = each(units, ["uid"], distinct_words, "anchor")
+    found = salted_join(unit_words, inner.select("anchor").distinct(), ["anchor"], ["uid"], how="left_semi", fits=fits)
     counts = found.groupBy("anchor").agg(F.count("*").alias("df"))
-    rarest = top_k(inner.join(counts, "anchor"), ["q"], [F.asc("df"), F.asc("anchor")], 1)
+    known = salted_join(inner, counts, ["anchor"], ["q"], fits=fits)
+    rarest = top_k(known, ["q"], [F.asc("df"), F.asc("anchor")], 1)
     anchored = rarest.select("q", "anchor").join(items.select("q", "answer"), "q")
+    if fits:
+        texts = each(units, ["uid", "content"], distinct_words, "anchor")
+        pairs = texts.join(F.broadcast(anchored), "anchor")
+        return pairs.where(F.col("content").contains(F.col("answer"))).select("q", "uid")
     return _verified(salted_join(found, anchored, ["anchor"], ["uid"]), units)
 
 

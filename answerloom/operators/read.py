@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import ln_ratio, round6, top_k
-from answerloom.functions.skew import salted_join
-from answerloom.functions.text import each, sentences, word_term, word_terms, words
+from answerloom.functions.skew import fits_broadcast, salted_join
+from answerloom.functions.text import aligned_terms, each, sentences, word_terms, words
 
 
 def query_idf(queries: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """(q, terms): the distinct terms of a query with their idf, in term order."""
     asked = each(queries, ["q"], F.array_distinct(word_terms(F.col("query"))), "t")
+    fits = fits_broadcast(asked)
     vocabulary = asked.select("t").distinct()
     seen = each(documents, ["doc_id"], F.array_distinct(word_terms(F.col(text))), "t")
-    df = salted_join(seen, vocabulary, ["t"], ["doc_id"], how="left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    kept = salted_join(seen, vocabulary, ["t"], ["doc_id"], how="left_semi", fits=fits)
+    df = kept.groupBy("t").agg(F.count("*").alias("df"))
     n = documents.agg(F.count("*")).scalar()
     return (
-        asked.join(df, "t", "left")
+        salted_join(asked, df, ["t"], ["q"], how="left", fits=fits)
         .groupBy("q")
         .agg(
             F.sort_array(
@@ -36,7 +38,7 @@ def query_idf(queries: DataFrame, documents: DataFrame, text: str = "text") -> D
 def candidate_spans(retrieved: DataFrame, idf: DataFrame) -> DataFrame:
     """(q, uid, sent, answer, start, score): every sentence of the retrieved texts that shares a term."""
     spans = each(retrieved, ["q", "uid", "content"], sentences(F.col("content")), "answer", "sent")
-    own = F.transform(words(F.col("answer")), word_term)
+    own = aligned_terms(words(F.col("answer")))
     shared = F.filter("terms", lambda x: F.array_contains(F.col("own"), x["t"]))
     scored = (
         spans.withColumn("own", own)

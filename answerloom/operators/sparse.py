@@ -58,7 +58,7 @@ def bm25_scores(queries: DataFrame, units: DataFrame, k1: float = K1, b: float =
     size = corpus_size(units, "content")
     n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
     idf = document_frequency(counts).select("t", bm25_idf(n, F.col("df")).alias("idf"))
-    weighted_terms = asked.join(idf, "t")
+    weighted_terms = salted_join(asked, idf, ["t"], ["q"], fits=fits)
     return (
         salted_join(counts, weighted_terms, ["t"], ["uid"], fits=fits)
         .select(
@@ -74,27 +74,30 @@ def bm25_topk(queries: DataFrame, units: DataFrame, k: int = 5, k1: float = K1,
     return top_k(bm25_scores(queries, units, k1, b), ["q"], [F.desc("score"), F.asc("uid")], k)
 
 
-def query_tfidf(queries: DataFrame, units: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(q, t, wq): query weights with the statistics of the indexed units, scaled to length one."""
+def query_tfidf(queries: DataFrame, units: DataFrame, frequencies: DataFrame, fits: bool) -> DataFrame:
+    """(q, t, wq): query weights with the statistics of the indexed units, scaled to length one.
+
+    The vocabulary is first cut to the terms asked for; ``fits`` says whether those are few.
+    """
     n = units.agg(F.count("*")).scalar()
-    counts = (
-        each(queries, ["q"], tokens(F.col("query")), "t")
-        .groupBy("q", "t")
-        .agg(F.count("*").alias("tf"))
-        .join(frequencies, "t")
+    counts = each(queries, ["q"], tokens(F.col("query")), "t").groupBy("q", "t").agg(F.count("*").alias("tf"))
+    vocabulary = counts.select("t").distinct()
+    known = frequencies.join(F.broadcast(vocabulary) if fits else vocabulary, "t", "left_semi")
+    raw = salted_join(counts, known, ["t"], ["q"], fits=fits).select(
+        "q", "t", (F.col("tf") * (smooth_idf(n, F.col("df")) + 1)).alias("raw")
     )
-    raw = counts.select("q", "t", (F.col("tf") * (smooth_idf(n, F.col("df")) + 1)).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("q")))
     return raw.select("q", "t", (F.col("raw") / norm).alias("wq"))
 
 
 def tfidf_scores(queries: DataFrame, units: DataFrame) -> DataFrame:
     """(q, uid, score): cosine of TF-IDF vectors."""
+    fits = fits_broadcast(query_terms(queries))
     weights = tfidf_weights(units, ["uid"], "content")
     frequencies = weights.groupBy("t").agg(F.sum((F.col("w") > 0).cast("bigint")).alias("df"))
-    asked = query_tfidf(queries, units, frequencies)
+    asked = query_tfidf(queries, units, frequencies, fits)
     return (
-        salted_join(weights, asked, ["t"], ["uid"], fits=fits_broadcast(query_terms(queries)))
+        salted_join(weights, asked, ["t"], ["uid"], fits=fits)
         .groupBy("q", "uid")
         .agg(round6(F.sum(F.col("w") * F.col("wq"))).alias("score"))
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions import ranking as R
 from answerloom.functions import text as X
+from answerloom.functions.skew import fits_broadcast
 from answerloom.operators import (
     branches,
     clean,
@@ -189,8 +190,10 @@ def _retrieved(spark, d, k=5):
     """(q, query, uid, score, rank, doc_id, source, content) of the best passages.
 
     Predictions are computed once and stored, at most k rows per query; metrics read them any number of times.
+    The hits are stored before the texts are added: from their size Catalyst sees whether to send the hits to
+    the passages or to shuffle both.
     """
-    hits = _passage_hits(spark, d, k)
+    hits = stage(_passage_hits(spark, d, k), "hits")
     queries = T.items(spark, d).select("q", "query")
     passages = T.passages(spark, d).select("uid", "doc_id", "source", "content")
     return stage(hits.join(passages, "uid").join(queries, "q"), "retrieved")
@@ -538,7 +541,9 @@ def dense_topk_dual(spark, d):
     passages = _titled_passages(spark, d)
     queries = T.items(spark, d).select("q", clean.truncate_tokens(F.col("query"), 64).alias("query"))
     counts = terms.term_counts(passages, ["uid"], "content")
-    asked = sparse.query_tfidf(queries, passages, terms.document_frequency(counts))
+    asked = sparse.query_tfidf(
+        queries, passages, terms.document_frequency(counts), fits_broadcast(sparse.query_terms(queries))
+    )
     q_vectors = embed.dense_vectors(embed.hashed_components(asked, "q", "wq"), "q")
     return dense.dense_topk_exact(q_vectors, _encode(passages))
 

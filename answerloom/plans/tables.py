@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from answerloom.functions.text import sentences, words
 from answerloom.operators.labels import find_verbatim, label_rows
 from answerloom.operators.split import split_sentences, split_words
-from answerloom.session import spread
+from answerloom.session import spread, stage
 
 
 SCHEMAS = {
@@ -80,9 +80,13 @@ def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels with the fields scopes compare: (q, query, answer, uid, source, gold_context)."""
+    """Labels with the fields scopes compare: (q, query, answer, uid, source, gold_context).
+
+    The labels are stored first: their size is then known, and if small they travel to the passages.
+    """
+    labels = stage(passage_labels(spark, sf_dir), "labels")
     cut = passages(spark, sf_dir).select("uid", "source", F.col("content").alias("gold_context"))
-    return passage_labels(spark, sf_dir).join(cut, "uid", "left")
+    return labels.join(cut.join(labels.select("uid").distinct(), "uid", "left_semi"), "uid", "left")
 
 
 def squad_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def load_corpus(spark: SparkSession, path: str, meta: dict[str, str] | None = None) -> DataFrame:
     """One document per text file: (name, content, content_type, meta)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     pairs = [x for k, v in (meta or {}).items() for x in (F.lit(k), F.lit(v))]
     return files.select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"),

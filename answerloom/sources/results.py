@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Multi-line texts, quotes and outer spaces survive a round trip with these.
+# Multi-line texts, quotes, outer spaces and empty strings survive a round trip with these.
 CSV = {
     "header": True,
     "quoteAll": True,
     "escape": '"',
+    "nullValue": "\\N",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }

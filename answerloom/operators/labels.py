@@ -19,8 +19,8 @@ def find_verbatim(items: DataFrame, units: DataFrame) -> DataFrame:
     """
     split_items = items.select("q", "answer", words(F.col("answer")).alias("ws"))
     by_word = _match_on_inner_word(split_items.where(F.size("ws") >= 3), units)
-    by_part = _match_on_word_part(split_items.where((F.size("ws") < 3) & (F.size("ws") > 0)), units)
-    return by_word.unionByName(by_part)
+    short = split_items.where((F.size("ws") < 3) & (F.size("ws") > 0))
+    return by_word if short.isEmpty() else by_word.unionByName(_match_on_word_part(short, units))
 
 
 def _match_on_inner_word(items: DataFrame, units: DataFrame) -> DataFrame:

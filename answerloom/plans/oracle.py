@@ -574,7 +574,7 @@ ORACLE["ann_recall"] = f"""
   j as (select exact.q, approx.uid as hit from exact left join approx using (q, uid))
   select count(*) as pairs, count(hit) as found, {round6('count(hit) / count(*)')} as recall from j"""
 TITLED = f"""{windows(200)},
-  units as (select uid, array_to_string(({words("source || ' ' || content")})[1:256], ' ') as content from passages)"""
+  units as (select uid, source || ' ' || content as content from passages)"""
 DIM = "('0x' || substr(md5(t), 1, 2))::int"
 SIGN = "case when substr(md5(t), 3, 1) <= '7' then 1.0::double else -1.0 end"
 COMPONENTS = f"""{TITLED}, {INDEX}, {TFIDF},
@@ -588,6 +588,7 @@ ORACLE["dense_topk_dual"] = f"""
   {ranked('dots', 5, 'hits')}
   select q, uid, score, rank from hits"""
 ORACLE["route_queries"] = "select page_id, case when contains(url, '?') then 2 else 1 end as branch from pages"
+ORACLE["custom_node"] = ORACLE["route_queries"]
 BRANCHES = f"""{ITEMS}, {DOC_INDEX}, {BM25}, {ranked('bm', 5, 'one')}, {TFIDF}, {TFIDF_SCORES}, {ranked('cosine', 5, 'two')},
   both_ as (select q, uid, score, rank from one union all select q, uid, score, rank from two)"""
 ORACLE["merge_by_score"] = f"with {BRANCHES} select q, uid, max(score) as score from both_ group by q, uid"
@@ -708,7 +709,7 @@ ORACLE["eval_save_load"] = f"with {REL}, {per_query()} {long_metrics('per_query'
 ORACLE["read_limited"] = "select event_id, ts, value from events order by event_id limit 10000"
 ORACLE["lowercase_columns"] = "select event_id, value from events"
 ORACLE["parse_timestamp"] = """
-  select event_id, case when event_type <> 'error' then floor(epoch(ts))::bigint end as seconds from events"""
+  select event_id, case when event_type <> 'error' then strftime(ts, '%Y-%m-%d %H:%M:%S') end as parsed from events"""
 ORACLE["hour_histogram"] = """
   select h::int as hour, count(event_id) as n from range(24) r(h) left join events on hour(ts) = h group by h"""
 ORACLE["filter_hour"] = "select event_id, event_type from events where hour(ts) = 17"

@@ -516,9 +516,8 @@ def ann_recall(spark, d):
 
 
 def _titled_passages(spark, d):
-    """Passages with their title in front, cut to the encoder's 256 words."""
-    titled = clean.embed_title(F.col("source"), F.col("content"))
-    return T.passages(spark, d).select("uid", clean.truncate_tokens(titled, 256).alias("content"))
+    """Passages with their title in front."""
+    return T.passages(spark, d).select("uid", clean.embed_title(F.col("source"), F.col("content")).alias("content"))
 
 
 def _encode(units):
@@ -537,9 +536,9 @@ def update_embeddings(spark, d):
 
 @query
 def dense_topk_dual(spark, d):
-    """Queries and passages have encoders of their own: passages carry a title, queries are cut to 64 words."""
+    """Queries and passages have encoders of their own: passages carry a title, queries take the passages' weights."""
     passages = _titled_passages(spark, d)
-    queries = T.items(spark, d).select("q", clean.truncate_tokens(F.col("query"), 64).alias("query"))
+    queries = T.items(spark, d).select("q", "query")
     counts = terms.term_counts(passages, ["uid"], "content")
     asked = sparse.query_tfidf(
         queries, passages, terms.document_frequency(counts), fits_broadcast(sparse.query_terms(queries))
@@ -556,6 +555,18 @@ def route_queries(spark, d):
     return one.unionByName(two).select("page_id", "branch")
 
 
+@query
+def custom_node(spark, d):
+    """The same routing as a user's batch function."""
+    pages = T.table(spark, d, "pages").select("page_id", F.col("url").alias("query"))
+
+    def run_batch(frames):
+        for frame in frames:
+            yield frame[["page_id"]].assign(branch=frame["query"].str.contains("?", regex=False).astype("int32") + 1)
+
+    return generate.apply_model(pages, run_batch, "page_id bigint, branch int")
+
+
 def _two_branches(spark, d):
     queries, units = T.items(spark, d), T.document_units(spark, d)
     return sparse.bm25_topk(queries, units), sparse.tfidf_topk(queries, units)
@@ -794,7 +805,7 @@ def parse_timestamp(spark, d):
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     )
     parsed = tabular.parse_timestamp(text, "yyyy-MM-dd HH:mm:ss")
-    return events.select("event_id", F.unix_timestamp(parsed).alias("seconds"))
+    return events.select("event_id", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("parsed"))
 
 
 @query

@@ -1,4 +1,7 @@
-"""Run registered queries beside their SQL twins: python tests/check.py [sf] [name ...]."""
+"""Run registered queries beside their SQL twins: python tests/check.py [sf] [name ...].
+
+PLAIN_SESSION=1 takes a session without any settings.
+"""
 
 import datetime
 import os
@@ -6,6 +9,7 @@ import sys
 import time
 
 import duckdb
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -72,7 +76,10 @@ def compare(spark, con, sf_dir, name):
 if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session()
+    if os.environ.get("PLAIN_SESSION"):
+        spark = SparkSession.builder.master("local[8]").config("spark.driver.memory", "16g").getOrCreate()
+    else:
+        spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     good = True

@@ -15,6 +15,7 @@ from answerloom.operators.terms import (
     corpus_size,
     document_frequency,
     smooth_idf,
+    term_counts,
     tfidf_weights,
     unit_tokens,
 )
@@ -46,6 +47,21 @@ def matching_counts(units: DataFrame, vocabulary: DataFrame, fits: bool) -> Data
     return found.repartition("uid").groupBy("uid", "t", "dl").agg(F.count("*").alias("tf"))
 
 
+def _sum_by_unit(
+    asked: DataFrame, counts: DataFrame, n: Column, avgdl: Column, fits: bool, k1: float, b: float
+) -> DataFrame:
+    idf = document_frequency(counts).select("t", bm25_idf(n, F.col("df")).alias("idf"))
+    weighted_terms = salted_join(asked, idf, ["t"], ["q"], fits=fits)
+    return (
+        salted_join(counts, weighted_terms, ["t"], ["uid"], fits=fits)
+        .select(
+            "q", "uid", bm25_term_weight(F.col("tf"), F.col("dl"), avgdl, F.col("idf"), k1, b).alias("part")
+        )
+        .groupBy("q", "uid")
+        .agg(round6(F.sum("part")).alias("score"))
+    )
+
+
 def bm25_scores(queries: DataFrame, units: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(q, uid, score) of every unit that shares a term with the query.
 
@@ -56,17 +72,33 @@ def bm25_scores(queries: DataFrame, units: DataFrame, k1: float = K1, b: float =
     fits = fits_broadcast(asked)
     counts = matching_counts(units, asked.select("t").distinct(), fits)
     size = corpus_size(units, "content")
-    n, avgdl = size.select("n").scalar(), size.select("avgdl").scalar()
-    idf = document_frequency(counts).select("t", bm25_idf(n, F.col("df")).alias("idf"))
-    weighted_terms = salted_join(asked, idf, ["t"], ["q"], fits=fits)
-    return (
-        salted_join(counts, weighted_terms, ["t"], ["uid"], fits=fits)
-        .select(
-            "q", "uid", bm25_term_weight(F.col("tf"), F.col("dl"), avgdl, F.col("idf"), k1, b).alias("part")
-        )
-        .groupBy("q", "uid")
-        .agg(round6(F.sum("part")).alias("score"))
+    return _sum_by_unit(asked, counts, size.select("n").scalar(), size.select("avgdl").scalar(), fits, k1, b)
+
+
+def write_postings(units: DataFrame, path: str) -> None:
+    """Term counts and corpus size as tables, so that later queries need not read the texts.
+
+    Sorted by (term, unit) over range partitions: a file covers few terms, and a term in very many units
+    spans several files.
+    """
+    counts = term_counts(units, ["uid"], "content")
+    counts.repartitionByRange("t", "uid").sortWithinPartitions("t", "uid").write.mode("overwrite").parquet(
+        f"{path}/postings"
     )
+    corpus_size(units, "content").write.mode("overwrite").parquet(f"{path}/size")
+
+
+def bm25_topk_stored(queries: DataFrame, path: str, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:
+    """As ``bm25_topk``, from the tables of ``write_postings``."""
+    spark = queries.sparkSession
+    asked = query_terms(queries)
+    fits = fits_broadcast(asked)
+    postings = spark.read.parquet(f"{path}/postings")
+    vocabulary = asked.select("t").distinct()
+    counts = salted_join(postings, vocabulary, ["t"], ["uid"], how="left_semi", fits=fits).repartition("uid")
+    size = spark.read.parquet(f"{path}/size").first()
+    scores = _sum_by_unit(asked, counts, F.lit(size["n"]), F.lit(size["avgdl"]), fits, k1, b)
+    return top_k(scores, ["q"], [F.desc("score"), F.asc("uid")], k)
 
 
 def bm25_topk(queries: DataFrame, units: DataFrame, k: int = 5, k1: float = K1, b: float = B) -> DataFrame:

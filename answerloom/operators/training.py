@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.ranking import round6
+from answerloom.functions.ranking import round6, top_k
+from answerloom.functions.skew import salted_join
+from answerloom.operators.sparse import bm25_scores
 
 
 def hard_pairs(pairs: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -29,9 +31,24 @@ def split_train_eval(labels: DataFrame, key: str = "query", eval_percent: int =
     return labels.withColumn("part", split_of(F.col(key), eval_percent))
 
 
-def margins(positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """(q, uid, score) of the passage asked about and of the best other passage, side by side."""
-    neg = negatives.select("q", F.col("uid").alias("neg_uid"), F.col("score").alias("neg_score"))
-    return positives.select("q", F.col("uid").alias("pos_uid"), F.col("score").alias("pos_score")).join(
-        neg, "q", "left"
-    ).withColumn("margin", round6(F.col("pos_score") - F.coalesce("neg_score", F.lit(0.0))))
+def pseudo_labels(asked: DataFrame, units: DataFrame) -> DataFrame:
+    """(q, pos_uid, pos_score, neg_uid, neg_score, margin) from questions (q, uid, query) made from units.
+
+    The negative is the best other unit by BM25. A question made from many copies of a unit is asked once: its
+    two best units hold the best other one for each of them.
+    """
+    scores = bm25_scores(asked.select("q", "query").distinct(), units)
+    best = top_k(scores, ["q"], [F.desc("score"), F.asc("uid")], 2).select(
+        "q", F.col("uid").alias("neg_uid"), F.col("score").alias("neg_score"), "rank"
+    )
+    sources = asked.select("q", F.col("uid").alias("pos_uid"))
+    positive = scores.withColumnRenamed("uid", "pos_uid").join(sources, ["q", "pos_uid"]).select(
+        "q", "pos_uid", F.col("score").alias("pos_score")
+    )
+    others = salted_join(sources, best, ["q"], ["pos_uid"]).where(F.col("neg_uid") != F.col("pos_uid"))
+    negative = others.groupBy("q", "pos_uid").agg(
+        F.min(F.struct("rank", "neg_uid", "neg_score")).alias("n")
+    ).select("q", "pos_uid", "n.neg_uid", "n.neg_score")
+    return positive.join(negative, ["q", "pos_uid"], "left").withColumn(
+        "margin", round6(F.col("pos_score") - F.coalesce("neg_score", F.lit(0.0)))
+    )

@@ -172,6 +172,13 @@ def bm25_topk(spark, d):
     return sparse.bm25_topk(T.items(spark, d), T.document_units(spark, d), 5)
 
 
+@query
+def bm25_topk_stored(spark, d):
+    path = staged_path(spark, "terms")
+    sparse.write_postings(T.document_units(spark, d), path)
+    return sparse.bm25_topk_stored(T.items(spark, d), path, 5)
+
+
 @query
 def tfidf_topk(spark, d):
     return sparse.tfidf_topk(T.items(spark, d), T.document_units(spark, d), 5)
@@ -337,15 +344,12 @@ def retrieve_then_generate(spark, d):
 @query
 def pseudo_labels(spark, d):
     """Questions on the passages that queries retrieve, each with the best passage it was not made from."""
-    asked = retrieve_then_generate(spark, d).select("uid", "question").distinct()
-    questions = stage(asked.select(
-        F.concat_ws(":", "uid", F.md5(F.col("question").cast("binary"))).alias("q"), "uid", F.col("question").alias("query")
-    ), "questions")
-    scores = sparse.bm25_scores(questions.select("q", "query"), T.passage_units(spark, d))
-    source = F.substring_index("q", ":", 1)
-    positive = scores.where(F.col("uid") == source)
-    negative = R.top_k(scores.where(F.col("uid") != source), ["q"], [F.desc("score"), F.asc("uid")], 1)
-    return training.margins(positive, negative)
+    made = retrieve_then_generate(spark, d).select(
+        F.md5(F.col("question").cast("binary")).alias("q"), "uid", F.col("question").alias("query")
+    )
+    asked = stage(made.distinct(), "asked")
+    rows = training.pseudo_labels(asked, T.passage_units(spark, d))
+    return rows.withColumn("q", F.concat_ws(":", "pos_uid", "q"))
 
 
 @query

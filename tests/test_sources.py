@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.operators import branches, dense, embed, training
+from answerloom.operators import branches, dense, embed, sparse, training
 from answerloom.plans.pipeline import Pipeline
 from answerloom.sources import index, results, runlog, squad, tabular
 from answerloom.streaming import upload
@@ -235,3 +235,24 @@ def test_pipeline_routes_and_keeps_every_result(spark):
         p.add_node("X", lambda a: a, ["Nope"])
     with pytest.raises(ValueError):
         p.add_input("Query", df)
+
+
+def test_pseudo_labels_of_copies_against_brute_force(spark):
+    texts = {"a": "red fox runs", "b": "red fox runs", "c": "red dog sleeps", "d": "blue whale swims", "e": "red fox"}
+    units = spark.createDataFrame(list(texts.items()), "uid string, content string")
+    made = [("q1", "a", "red fox what?"), ("q1", "b", "red fox what?"), ("q2", "d", "blue whale what?")]
+    asked = spark.createDataFrame(made, "q string, uid string, query string")
+    scores = {(r["q"], r["uid"]): r["score"] for r in sparse.bm25_scores(asked.select("q", "query").distinct(), units).collect()}
+    got = {(r["q"], r["pos_uid"]): (r["pos_score"], r["neg_uid"], r["neg_score"]) for r in training.pseudo_labels(asked, units).collect()}
+    assert len(got) == 3
+    for q, uid, _ in made:
+        others = sorted((-s, u) for (x, u), s in scores.items() if x == q and u != uid)
+        assert got[q, uid] == (scores[q, uid], *((others[0][1], -others[0][0]) if others else (None, None)))
+
+
+def test_stored_postings_rank_as_the_texts_do(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    units = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("uid"), F.col("text").alias("content"))
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("q"), F.col("text").alias("query"))
+    sparse.write_postings(units, str(tmp_path / "p"))
+    assert rows(sparse.bm25_topk_stored(queries, str(tmp_path / "p"))) == rows(sparse.bm25_topk(queries, units))

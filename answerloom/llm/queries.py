@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from answerloom.llm.language import op2_language_id
 from answerloom.llm import quality
+from answerloom.llm.packing import op1_best_fit_packing
 from answerloom.llm.quality import op6_quality_rules
 from answerloom.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_toxicity, op6_quality_rules)}
 ORACLE: dict[str, str] = {"op6_quality_rules": quality.SQL}

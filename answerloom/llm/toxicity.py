@@ -64,9 +64,10 @@ def _features(batches):
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the documents with a label of 0 or 1."""
+    """(doc_id, text, toxic) of the documents with a label of 0 or 1. ``labels`` is a sample of bounded size, so it is
+    broadcast and no text is shuffled."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(known, "doc_id")
+    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = 60, l2: float = 2.0) -> ToxicityModel:

@@ -32,10 +32,10 @@ CAPACITY = 2048
 END = array("I", [0]).tobytes()
 WORDS_HELD = 200_000
 LONG_WORD = 64
-ROUNDS = 60
-STEP = 0.15
-NEAR = 0.002
-RATE = 0.5
+ROUNDS = 300
+STEP = 1.0
+NEAR = 0.001
+RATE = 0.2
 ROWS_PER_BUCKET = 20_000
 
 
@@ -109,54 +109,57 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     )
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best value within each size up to ``capacity`` and the index of the last length taken (-1: none)."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """Best price of the pieces within each size up to ``capacity``; ``lengths`` ascend."""
+    best = np.zeros(capacity + 1)
     fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for size in range(1, capacity + 1):
-        best[size], last[size] = best[size - 1], -1
         k = fitting[size]
-        if k:
-            values = best[size - lengths[:k]] + prices[:k]
-            top = int(values.argmax())
-            if values[top] > best[size] + 1e-12:
-                best[size], last[size] = values[top], top
-    return best, last
+        best[size] = max(best[size - 1], (best[size - lengths[:k]] + prices[:k]).max()) if k else best[size - 1]
+    return best
 
 
-def _traced(size: int, best, last, lengths) -> dict[int, int]:
+def _traced(size: int, best: np.ndarray, lengths: np.ndarray, prices: np.ndarray, left: np.ndarray) -> dict[int, int]:
+    """A configuration of at most ``size`` at the best price within ``NEAR``; of the lengths that lead there,
+    the one is taken of which most is left."""
     taken: dict[int, int] = {}
     while size > 0:
-        k = last[size]
-        if k < 0:
+        n = np.searchsorted(lengths, size, side="right")
+        if n == 0:
+            break
+        near = np.flatnonzero(best[size - lengths[:n]] + prices[:n] >= best[size] * (1 - NEAR))
+        if not len(near):
             size -= 1
-        else:
-            taken[int(lengths[k])] = taken.get(int(lengths[k]), 0) + 1
-            size -= int(lengths[k])
+            continue
+        length = int(lengths[near[left[lengths[near]].argmax()]])
+        taken[length] = taken.get(length, 0) + 1
+        size -= length
     return taken
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[tuple[int, int], ...], float]:
-    """Fractional use of configurations, each a sorted tuple of (length, copies), that covers every length once."""
+    """Fractional use of configurations, each a sorted tuple of (length, copies), that covers every length."""
     total = np.zeros(capacity + 1)
     for length, n in histogram.items():
         total[length] = n
     left, use = total.copy(), {}
     for _ in range(ROUNDS):
-        lengths = np.flatnonzero(left > 1e-9)
+        lengths = np.flatnonzero(left > 1e-6)
         if not len(lengths):
             break
         prices = lengths * np.exp(-RATE * (1 - left[lengths] / total[lengths]))
-        best, last = knapsack(lengths, prices, capacity)
+        best = knapsack(lengths, prices, capacity)
         value = prices + best[capacity - lengths]
         for k in np.argsort(-value, kind="stable"):
             if value[k] < (1 - NEAR) * best[capacity]:
                 break
             first = int(lengths[k])
-            taken = _traced(capacity - first, best, last, lengths)
+            if left[first] <= 1e-6:
+                continue
+            taken = _traced(capacity - first, best, lengths, prices, left)
             taken[first] = taken.get(first, 0) + 1
             step = min(min(left[x] / a, max(1.0, STEP * total[x] / a)) for x, a in taken.items())
-            if step <= 1e-9:
+            if step <= 1e-6:
                 continue
             for x, a in taken.items():
                 left[x] -= step * a

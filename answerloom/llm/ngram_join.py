@@ -121,6 +121,19 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return stage(made.dropDuplicates(["id"]), "sets")
 
 
+def jaccard_filter(content: DataFrame, percent: int):
+    """A function that keeps the pairs (a, b) whose sets in ``content`` (id, tokens) reach the threshold."""
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        a = content.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
+        b = content.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+        both = F.size(F.array_intersect("ta", "tb")).cast("long")
+        union = F.size("ta") + F.size("tb") - both
+        return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * union).select("a", "b")
+
+    return verify
+
+
 def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, links, components): rows (doc_id, text_hash, n, id) with the id of their set, stored; links (a, b) between sets that
     join the components; components (id, component) of sets with any link."""
@@ -158,14 +171,7 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
         most = F.least(nx - px, ny - py)  # holds at the first token both share, where the pair is found
         return sizes & ((100 + percent) * most >= percent * (nx + ny))
 
-    def verify(pairs):
-        a = content.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-        b = content.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-        both = F.size(F.array_intersect("ta", "tb")).cast("long")
-        union = F.size("ta") + F.size("tb") - both
-        return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * union).select("a", "b")
-
-    links, found = link_groups(expanded, ["bucket"], ["n", "pos"], F.col("pos"), compatible, verify)
+    links, found = link_groups(expanded, ["bucket"], ["n", "pos"], F.col("pos"), compatible, jaccard_filter(content, percent))
     return rows.drop("prefix"), links, found
 
 

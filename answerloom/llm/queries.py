@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from answerloom.llm.fingerprints import op8_document_fingerprints
+from answerloom.llm.html_text import op4_html_extraction
 from answerloom.llm.language import op2_language_id
 from answerloom.llm import quality
 from answerloom.llm.line_dedup import op5_line_dedup
@@ -11,5 +12,5 @@ from answerloom.llm.packing import op1_best_fit_packing
 from answerloom.llm.quality import op6_quality_rules
 from answerloom.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_toxicity, op5_line_dedup, op6_quality_rules, op8_document_fingerprints, op9_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_language_id, op3_toxicity, op4_html_extraction, op5_line_dedup, op6_quality_rules, op8_document_fingerprints, op9_ngram_jaccard_join)}
 ORACLE: dict[str, str] = {"op6_quality_rules": quality.SQL}

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.skew import fits_broadcast, salted_join
 from answerloom.llm.linking import link_groups
-from answerloom.llm.ngram_join import BROADCAST_ROWS, SALTS, jaccard_filter, sets_of, token_set
-from answerloom.llm.texts import bounded_batches, mixed, shingle_hashes, table, utf8, word_hashes, words
+from answerloom.llm.ngram_join import BROADCAST_ROWS, SALTS, WORDS64, jaccard_filter, parities, token_set
+from answerloom.llm.texts import M1, bounded_batches, mixed, shingle_hashes, table, utf8, word_hashes, words
 from answerloom.session import stage
 
 PERMUTATIONS = 128
@@ -167,14 +167,21 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def _signatures(batches):
     for batch in batches:
-        ids, bands = [], []
-        for text in utf8(batch["text"]):
-            shingles = token_set(text, SHINGLE)
-            ids.append(None if not len(shingles) else hash_of(shingles))
-            sig = signature(least(shingles))
-            bands.append([k << 48 ^ int.from_bytes(sig[k * ROWS : (k + 1) * ROWS].tobytes(), "little") % ((1 << 61) - 1) for k in range(BANDS)])
-        made = [pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.record_batch([batch["doc_id"], batch["text_hash"], *made], names=["doc_id", "text_hash", "id", "bands"])
+        sets = [token_set(x, SHINGLE) for x in utf8(batch["text"])]
+        bands = []
+        for shingles in sets:
+            sig = signature(least(shingles)).astype(np.uint64)
+            parts = functools.reduce(lambda x, y: mixed(x * M1 + y), sig[: BANDS * ROWS].reshape(BANDS, ROWS).T)
+            bands.append(parts.view(np.int64))
+        signs = np.frombuffer(b"".join(map(parities, sets)), np.int64).reshape(-1, WORDS64)
+        made = [
+            pa.array([len(x) for x in sets], pa.int64()),
+            pa.array([hash_of(x) if len(x) else None for x in sets], pa.int64()),
+            pa.array(bands, pa.list_(pa.int64())),
+            *(pa.array(signs[:, k]) for k in range(WORDS64)),
+        ]
+        names = ["doc_id", "text_hash", "n", "id", "bands", *(f"p{k}" for k in range(WORDS64))]
+        yield pa.record_batch([batch["doc_id"], batch["text_hash"], *made], names=names)
 
 
 def hash_of(tokens: np.ndarray) -> int:
@@ -188,18 +195,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        _signatures, f"doc_id {kind}, text_hash long, id long, bands array<long>"
+        _signatures, f"doc_id {kind}, text_hash long, n long, id long, bands array<long>" + "".join(f", p{k} long" for k in range(WORDS64))
     )
     rows = stage(made, "signatures")
-    sets = rows.where("id is not null").dropDuplicates(["id"])
+    sets = stage(rows.where("id is not null").dropDuplicates(["id"]), "sets")
     members = stage(sets.select("id", F.posexplode("bands").alias("band", "value")), "bands")
     common = members.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     live = stage(members.join(common, ["band", "value"], "left_semi"), "shared-bands")
-    wanted = sets.select("text_hash", "id").join(live.select("id").distinct(), "id", "left_semi")
-    content = sets_of(docs, stage(wanted.select("text_hash", "id"), "wanted"), SHINGLE)
-    _, found = link_groups(
-        live, ["band", "value"], [], F.col("id"), lambda x, y: F.lit(True), jaccard_filter(content, percent)
-    )
+    same = jaccard_filter(docs, sets.drop("bands"), SHINGLE, percent)
+    _, found = link_groups(live, ["band", "value"], [], F.col("id"), lambda x, y: F.lit(True), same)
     least_id = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
     least_id = least_id.join(stage(found, "components"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     names = least_id.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -6,8 +6,10 @@ Equal sets are one set; sets with the same prefix and size are one group. Groups
 candidates; their members are expanded, filtered by size and by position in the prefix, and verified on
 the whole sets. ``linking`` finds components without all pairs of near copies.
 
-The order comes from counts over all documents in 2**20 hashed cells. It decides only how many
-candidates there are; the result is exact for any order (up to equal 64-bit hashes of different n-grams).
+A token is as rare as its rarest word, counted over all documents in 2**20 hashed cells. The order decides only how
+many candidates there are; the result is exact for any order (up to equal 64-bit hashes of different n-grams).
+Candidates are first compared by 512 parities of their sets, whose difference is at most that of the sets; only for those
+that pass are the texts read again and the sets intersected.
 
 Defined cases: with fewer words than n the whole sequence is the one n-gram; null texts and texts without words have an
 empty set and no links; a null doc_id takes part in links, but never becomes a component's name unless the component
@@ -34,6 +36,7 @@ SIZE = 3
 PERCENT = 90
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
+WORDS64 = 8
 CHUNKS = 256
 BROADCAST_ROWS = 200_000
 SALTS = 32
@@ -44,16 +47,29 @@ def token_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words(text.lower())), size))
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _count_cells(batches, size: int):
+def rarity(hashes: np.ndarray, size: int, counts: np.ndarray) -> np.ndarray:
+    """For each window of words the count of its rarest word."""
+    width = min(len(hashes), size)
+    n = len(hashes) - width + 1
+    of_word = counts[_cells(hashes)]
+    return functools.reduce(np.minimum, [of_word[k : k + n] for k in range(width)])
+
+
+def parities(tokens: np.ndarray) -> bytes:
+    """Bit k: whether the tokens of class k are odd in number. Sets that differ in d tokens differ in d bits at most."""
+    return np.packbits(np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS64) & 1).tobytes()
+
+
+def _count_cells(batches):
     total = np.zeros(CELLS, np.int64)
     for batch in batches:
-        found = [_cells(token_set(x, size)) for x in utf8(batch["text"])]
-        if found:
-            total += np.bincount(np.concatenate(found), minlength=CELLS)
+        for text in utf8(batch["text"]):
+            cells, n = np.unique(_cells(word_hashes(words(text.lower()))), return_counts=True)
+            total[cells] += n
     if total.any():
         parts = total.reshape(CHUNKS, -1)
         yield pa.record_batch(
@@ -73,11 +89,11 @@ def _sum_cells(batches):
     )
 
 
-def cell_counts(docs: DataFrame, size: int = SIZE) -> np.ndarray:
-    """In how many documents tokens of each cell occur; 8 MB whatever the corpus."""
+def cell_counts(docs: DataFrame) -> np.ndarray:
+    """How often words of each cell occur in all texts; 8 MB whatever the corpus."""
     bounded_batches(docs.sparkSession)
     schema = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(functools.partial(_count_cells, size=size), schema)
+    parts = docs.select("text").mapInArrow(_count_cells, schema)
     rows = parts.repartition("chunk").mapInArrow(_sum_cells, schema).toArrow()
     out = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
     for chunk, counts in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist()):
@@ -93,16 +109,25 @@ def prefix_length(n: int, percent: int) -> int:
 def _prefixes(batches, shared, size: int, percent: int):
     counts = shared.value
     for batch in batches:
-        n, ids, prefixes = [], [], []
+        n, ids, prefixes, signs = [], [], [], []
         for text in utf8(batch["text"]):
-            tokens = token_set(text, size)
+            hashes = word_hashes(words(text.lower()))
+            tokens, first = np.unique(shingle_hashes(hashes, size), return_index=True)
             n.append(len(tokens))
-            ids.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63) if len(tokens) else None)
+            signs.append(parities(tokens))
+            if not len(tokens):
+                ids.append(None)
+                prefixes.append([])
+                continue
+            ids.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63))
             # tokens ascend, so a stable sort by count breaks ties by hash
-            order = np.argsort(counts[_cells(tokens)], kind="stable")
-            prefixes.append(tokens[order[: prefix_length(len(tokens), percent)]].view(np.int64) if len(tokens) else [])
+            order = np.argsort(rarity(hashes, size, counts)[first], kind="stable")
+            prefixes.append(tokens[order[: prefix_length(len(tokens), percent)]].view(np.int64))
+        signs = np.frombuffer(b"".join(signs), np.int64).reshape(-1, WORDS64)
         made = [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-        yield pa.record_batch([batch["doc_id"], batch["text_hash"], *made], names=["doc_id", "text_hash", "n", "id", "prefix"])
+        made += [pa.array(signs[:, k]) for k in range(WORDS64)]
+        names = ["doc_id", "text_hash", "n", "id", "prefix", *(f"p{k}" for k in range(WORDS64))]
+        yield pa.record_batch([batch["doc_id"], batch["text_hash"], *made], names=names)
 
 
 def _sets(batches, size: int):
@@ -121,15 +146,29 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return stage(made.dropDuplicates(["id"]), "sets")
 
 
-def jaccard_filter(content: DataFrame, percent: int):
-    """A function that keeps the pairs (a, b) whose sets in ``content`` (id, tokens) reach the threshold."""
+def jaccard_filter(docs: DataFrame, sets: DataFrame, size: int, percent: int):
+    """A function that keeps the pairs (a, b) of ``sets`` (id, text_hash, n, parities) that reach the threshold."""
+    signs = [f"p{k}" for k in range(WORDS64)]
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ["n", *signs]])
 
     def verify(pairs: DataFrame) -> DataFrame:
+        differ = functools.reduce(
+            lambda x, y: x + y, [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in signs]
+        )
+        # |x - y| + |y - x| = |x| + |y| - 2 both, and both >= percent / (100 + percent) * (|x| + |y|)
+        most = (100 - percent) * (F.col("a_n") + F.col("b_n"))
+        close = pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * differ <= most)
+        close = stage(close.select("a", "b"), "close-pairs")
+        named = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = stage(sets.select("text_hash", "id").join(named, "id", "left_semi"), "wanted")
+        content = sets_of(docs, wanted.select("text_hash", "id"), size)
         a = content.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
         b = content.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb")).cast("long")
         union = F.size("ta") + F.size("tb") - both
-        return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * union).select("a", "b")
+        return close.join(a, "a").join(b, "b").where(100 * both >= percent * union).select("a", "b")
 
     return verify
 
@@ -139,7 +178,7 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     join the components; components (id, component) of sets with any link."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counts = cell_counts(docs, size)
+    counts = cell_counts(docs)
     shared = spark.sparkContext.broadcast(counts.clip(max=np.iinfo(np.int32).max).astype(np.int32))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stage(
@@ -147,13 +186,14 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
         .select("doc_id", "text_hash", "text")
         .mapInArrow(
             functools.partial(_prefixes, shared=shared, size=size, percent=percent),
-            f"doc_id {kind}, text_hash long, n long, id long, prefix array<long>",
+            f"doc_id {kind}, text_hash long, n long, id long, prefix array<long>" + "".join(f", p{k} long" for k in range(WORDS64)),
         ),
         "prefixes",
     )
     sets = rows.where("id is not null").dropDuplicates(["id"])
-    sets = stage(sets.select("id", "text_hash", F.col("n").cast("int"), F.xxhash64("prefix", "n").alias("grp"), "prefix"), "sets")
-    members = sets.select("grp", "id", "n")
+    signs = [f"p{k}" for k in range(WORDS64)]
+    sets = stage(sets.select("id", "text_hash", "n", F.xxhash64("prefix", "n").alias("grp"), "prefix", *signs), "sets")
+    members = sets.select("grp", "id", F.col("n").cast("int"))
     grouped = members.groupBy("grp").agg(F.min("id").alias("id"), F.count("*").alias("size"))
     # One row per group and prefix token; what no other group has is dropped at once.
     heads = sets.join(grouped.select("grp", "id"), ["grp", "id"], "left_semi")
@@ -162,8 +202,6 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     live = stage(tokens.join(common, "bucket", "left_semi"), "shared-tokens")
     own = grouped.where("size > 1").select("grp", F.lit(0).alias("pos"), F.col("grp").alias("bucket"))
     expanded = stage(live.union(own.select(*live.columns)).join(members, "grp").drop("grp"), "members")
-    wanted = sets.join(expanded.select("id").distinct(), "id", "left_semi").select("text_hash", "id")
-    content = sets_of(docs, stage(wanted, "wanted"), size)
 
     def compatible(x, y):
         nx, ny, px, py = (F.col(f"{t}.{c}").cast("long") for c in ("n", "pos") for t in (x, y))
@@ -171,8 +209,8 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
         most = F.least(nx - px, ny - py)  # holds at the first token both share, where the pair is found
         return sizes & ((100 + percent) * most >= percent * (nx + ny))
 
-    links, found = link_groups(expanded, ["bucket"], ["n", "pos"], F.col("pos"), compatible, jaccard_filter(content, percent))
-    return rows.drop("prefix"), links, found
+    links, found = link_groups(expanded, ["bucket"], ["n", "pos"], F.col("pos"), compatible, jaccard_filter(docs, sets, size, percent))
+    return rows.select("doc_id", "text_hash", "n", "id"), links, found
 
 
 def components_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:

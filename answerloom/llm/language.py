@@ -149,30 +149,31 @@ def posteriors(texts: list[str | None], model: LanguageModel) -> tuple[list[str]
     return lang, score
 
 
-def _predict(batches, shared, position, kept):
+def _predict(batches, shared, position, kept, outputs):
     model = shared.value
     for batch in batches:
         lang, score = posteriors(batch.column(position).to_pylist(), model)
         columns = [batch.column(k) for k in kept] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-        names = [batch.schema.names[k] for k in kept] + ["lang_pred", "score"]
+        names = [batch.schema.names[k] for k in kept] + list(outputs)
         yield pa.record_batch(columns, names=names)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score``, the posterior of that language."""
+def predict(docs: DataFrame, model: LanguageModel, outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its posterior."""
     bounded_batches(docs.sparkSession)
-    kept = [k for k, c in enumerate(docs.columns) if c.lower() not in ("lang_pred", "score")]
+    kept = [k for k, c in enumerate(docs.columns) if c.lower() not in outputs]
     schema = T.StructType(
-        [docs.schema[k] for k in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+        [docs.schema[k] for k in kept] + [T.StructField(outputs[0], T.StringType()), T.StructField(outputs[1], T.DoubleType())]
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
     position = docs.columns.index("text")
-    return docs.mapInArrow(functools.partial(_predict, shared=shared, position=position, kept=kept), schema)
+    return docs.mapInArrow(functools.partial(_predict, shared=shared, position=position, kept=kept, outputs=outputs), schema)
 
 
 def confident(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
     """The rows with a language of at least ``min_score``; columns as they came."""
-    return predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    scored = predict(docs, model, ("_lid_lang", "_lid_score"))
+    return scored.where((F.col("_lid_lang") != UNKNOWN) & (F.col("_lid_score") >= min_score)).select(*docs.columns)
 
 
 def op2_language_id(spark, sf_dir):

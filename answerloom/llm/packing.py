@@ -35,10 +35,11 @@ WORDS_HELD = 300_000
 LONG_WORD = 64
 # Marks that are a part of their own behind letters.
 MARKS = ".,;:!?"
-ROUNDS = 300
-STEP = 1.0
+ROUNDS = 400
+STEP = 0.05
 NEAR = 0.001
-RATE = 0.2
+RATE = 10.0
+LOOSE = (0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001, 0.0)
 ROWS_PER_BUCKET = 20_000
 
 
@@ -206,28 +207,48 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[tup
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
-    """Best fit decreasing of the pieces left over by rounding; bins with equal contents share a key."""
-    bins: list[list[dict[int, int]]] = [[] for _ in range(capacity + 1)]
-    room = np.zeros(capacity + 1, bool)
+    """Best fit decreasing in bulk: sequences with equal contents are one entry with a number, so the work depends
+    on how many lengths there are and not on how many pieces."""
+    rooms: list[dict[tuple[tuple[int, int], ...], int]] = [{} for _ in range(capacity + 1)]
     for length in sorted(counts, reverse=True):
-        for _ in range(counts[length]):
-            at = length + int(room[length:].argmax())
-            if at <= capacity and room[at]:
-                held = bins[at].pop()
-                room[at] = bool(bins[at])
-            else:
-                held, at = {}, capacity
-            held[length] = held.get(length, 0) + 1
-            bins[at - length].append(held)
-            room[at - length] = True
+        n = counts[length]
+        for room in range(length, capacity):
+            if n == 0:
+                break
+            for key in list(rooms[room]):
+                fit = room // length
+                full = min(rooms[room][key], n // fit)
+                n = _moved(rooms, key, room, length, fit, full, n)
+                if full == 0 and n and rooms[room].get(key):
+                    n = _moved(rooms, key, room, length, n, 1, n)
+                elif n and n < fit and rooms[room].get(key):
+                    n = _moved(rooms, key, room, length, n, 1, n)
+                if n == 0:
+                    break
+        fit = capacity // length
+        for copies, new in ((fit, n // fit), (n % fit, 1)):
+            if copies and new:
+                rest = rooms[capacity - copies * length]
+                key = ((length, copies),)
+                rest[key] = rest.get(key, 0) + new
     use: dict[tuple[tuple[int, int], ...], int] = {}
-    for level in bins:
-        for held in level:
-            key = tuple(sorted(held.items(), reverse=True))
-            use[key] = use.get(key, 0) + 1
+    for level in rooms:
+        for key, n in level.items():
+            use[key] = use.get(key, 0) + n
     return use
 
 
+def _moved(rooms, key, room, length, copies, bins, n) -> int:
+    """Put ``copies`` more pieces into each of ``bins`` sequences of one kind; returns the pieces still to place."""
+    if bins:
+        rooms[room][key] -= bins
+        if not rooms[room][key]:
+            del rooms[room][key]
+        to, new = rooms[room - copies * length], (*key, (length, copies))
+        to[new] = to.get(new, 0) + bins
+    return n - copies * bins
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[tuple[int, int], ...], int]:
     """Whole numbers of each configuration that hold every piece exactly once."""
     use, left = {}, dict(histogram)
@@ -239,9 +260,27 @@ def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[
                 left[length] -= n * a
     for key, n in best_fit({k: v for k, v in left.items() if v}, capacity).items():
         use[key] = use.get(key, 0) + n
+    for share in LOOSE:
+        use = _tightened(use, capacity, share)
     return use
 
 
+def _tightened(use: dict[tuple[tuple[int, int], ...], int], capacity: int, share: float):
+    """Repack the configurations with more than ``share`` of their room unused, where that saves sequences."""
+    loose = {k: n for k, n in use.items() if capacity - sum(x * a for x, a in k) > share * capacity}
+    held: dict[int, int] = {}
+    for key, n in loose.items():
+        for length, a in key:
+            held[length] = held.get(length, 0) + a * n
+    packed = best_fit(held, capacity)
+    if sum(packed.values()) >= sum(loose.values()):
+        return use
+    out = {k: n for k, n in use.items() if k not in loose}
+    for key, n in packed.items():
+        out[key] = out.get(key, 0) + n
+    return out
+
+
 @dataclass
 class Slots:
     """Places by (length, rank): slot k serves the ranks from its key on."""

@@ -8,8 +8,8 @@ the whole sets. ``linking`` finds components without all pairs of near copies.
 
 A token is as rare as its rarest word, counted over all documents in 2**20 hashed cells. The order decides only how
 many candidates there are; the result is exact for any order (up to equal 64-bit hashes of different n-grams).
-Candidates are first compared by 512 parities of their sets, whose difference is at most that of the sets; only for those
-that pass are the texts read again and the sets intersected.
+Candidates are compared by 512 parities of their sets, whose difference is at most that of the sets (the first 256
+already where they meet); only for those that pass are the texts read again and the sets intersected.
 
 Defined cases: with fewer words than n the whole sequence is the one n-gram; null texts and texts without words have an
 empty set and no links; a null doc_id takes part in links, but never becomes a component's name unless the component
@@ -37,6 +37,7 @@ PERCENT = 90
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 WORDS64 = 8
+EARLY64 = 4
 CHUNKS = 256
 BROADCAST_ROWS = 200_000
 SALTS = 32
@@ -193,7 +194,8 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     sets = rows.where("id is not null").dropDuplicates(["id"])
     signs = [f"p{k}" for k in range(WORDS64)]
     sets = stage(sets.select("id", "text_hash", "n", F.xxhash64("prefix", "n").alias("grp"), "prefix", *signs), "sets")
-    members = sets.select("grp", "id", F.col("n").cast("int"))
+    early = signs[:EARLY64]
+    members = sets.select("grp", "id", F.col("n").cast("int"), *early)
     grouped = members.groupBy("grp").agg(F.min("id").alias("id"), F.count("*").alias("size"))
     # One row per group and prefix token; what no other group has is dropped at once.
     heads = sets.join(grouped.select("grp", "id"), ["grp", "id"], "left_semi")
@@ -207,9 +209,11 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
         nx, ny, px, py = (F.col(f"{t}.{c}").cast("long") for c in ("n", "pos") for t in (x, y))
         sizes = (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
         most = F.least(nx - px, ny - py)  # holds at the first token both share, where the pair is found
-        return sizes & ((100 + percent) * most >= percent * (nx + ny))
+        differ = [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in early]
+        close = (100 + percent) * functools.reduce(lambda a, b: a + b, differ) <= (100 - percent) * (nx + ny)
+        return sizes & ((100 + percent) * most >= percent * (nx + ny)) & close
 
-    links, found = link_groups(expanded, ["bucket"], ["n", "pos"], F.col("pos"), compatible, jaccard_filter(docs, sets, size, percent))
+    links, found = link_groups(expanded, ["bucket"], ["n", "pos", *early], F.col("pos"), compatible, jaccard_filter(docs, sets, size, percent))
     return rows.select("doc_id", "text_hash", "n", "id"), links, found
 
 

@@ -2,9 +2,10 @@
 
 The defaults are column expressions; a model plugs in as a batch function (see ``apply_model``).
 
-Passages are (doc_id, split_id, sentences): groups of whole sentences. A sentence of 5 to 60 words gives one
-question: its rarest word of four or more characters becomes "what". The answer to a question is the
-sentence of its passage that shares the most informative terms with it.
+Passages are (doc_id, split_id, sentences): groups of whole sentences. A sentence of more than 60 words is cut into
+windows of 60, each of which counts as a sentence, so no text goes unasked and no question is longer. A sentence of three
+words or more gives one question: its rarest word of four or more characters becomes "what". The answer to a question
+is the sentence of its passage that shares the most informative terms with it.
 """
 
 from __future__ import annotations
@@ -14,18 +15,34 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.ranking import ln_ratio
 from answerloom.functions.skew import lookup_document_frequency
-from answerloom.functions.text import aligned_terms, bare_word, each, let, word_terms, words
+from answerloom.functions.text import BREAK, aligned_terms, bare_word, each, let, word_terms, words
 
-# Which sentences give a question and which words may be asked for.
-MIN_WORDS = 5
-MAX_WORDS = 60
+# Which sentences give a question, how long one may be, and which words may be asked for.
+MIN_WORDS = 3
+WINDOW_WORDS = 60
 MIN_TERM_CHARS = 4
 
 PASSAGE = ["doc_id", "split_id"]
 
 
 def asks(n_words: Column) -> Column:
-    return (n_words >= MIN_WORDS) & (n_words <= MAX_WORDS)
+    return n_words >= MIN_WORDS
+
+
+def bounded_sentences(passages: DataFrame) -> DataFrame:
+    """Passages whose sentences have at most ``WINDOW_WORDS`` words; longer ones become windows.
+
+    A window keeps its white space but for the last character behind it, for which the single space between
+    sentences stands, so offsets stay those of the passage.
+    """
+    mark = rf"((?:\S+\s+){{{WINDOW_WORDS - 1}}}\S+\s*)\s"
+    cut = F.transform(
+        "sentences",
+        lambda s: F.when(F.size(words(s)) <= WINDOW_WORDS, F.array(s)).otherwise(
+            F.filter(F.split(F.regexp_replace(s, mark, "$1" + BREAK), BREAK), lambda x: F.trim(x) != "")
+        ),
+    )
+    return passages.withColumn("sentences", F.flatten(cut))
 
 
 def word_document_frequency(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -49,6 +66,7 @@ def passage_frequencies(passages: DataFrame, frequencies: DataFrame, n_docs: int
 
 def with_frequencies(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """Passages with the document frequencies their questions need. Passages without questions drop out."""
+    passages = bounded_sentences(passages)
     stats = passage_frequencies(passages, word_document_frequency(documents), documents.count())
     return passages.join(stats, PASSAGE)
 

@@ -9,9 +9,11 @@ from answerloom.functions.ranking import round6
 
 
 def worst_queries(scores: DataFrame, results: DataFrame, metric: str, n: int = 10) -> DataFrame:
-    """The n queries with the lowest score, with what was returned for them."""
+    """The n queries with the lowest score, with what was returned for them; a query without results has one row of
+    nulls."""
     worst = scores.orderBy(F.asc(metric), F.asc("q")).limit(n).select("q", metric)
-    return results.join(F.broadcast(worst), "q")
+    found = results.join(F.broadcast(worst.select("q")), "q", "left_semi")
+    return worst.join(found, "q", "left")
 
 
 def compare_runs(metrics: DataFrame, before: str, after: str) -> DataFrame:

@@ -5,6 +5,8 @@ Common table expressions are written once below and put together per query.
 
 from __future__ import annotations
 
+import re
+
 from answerloom.operators.clean import STOP_WORDS
 
 ORACLE: dict[str, str] = {}
@@ -147,9 +149,9 @@ ORACLE["clean_header_footer"] = f"""
   with d as (select doc_id, source, {LINES} as ls from documents),
   totals as (select source, count(*) as n from d group by 1),
   h as (select source, ls[1] as header from d join totals using (source) where ls[1] <> ''
-        group by source, ls[1] having count(*) > any_value(n) * 0.5),
+        group by source, ls[1] having count(*) > any_value(n) * 0.5 and count(*) > 1),
   f as (select source, ls[-1] as footer from d join totals using (source) where ls[-1] <> ''
-        group by source, ls[-1] having count(*) > any_value(n) * 0.5),
+        group by source, ls[-1] having count(*) > any_value(n) * 0.5 and count(*) > 1),
   m as (select doc_id, ls, case when ls[1] = header then 1 else 0 end as a, footer
         from d left join h using (source) left join f using (source))
   select doc_id, array_to_string(ls[a + 1 : len(ls) - case when len(ls) > a and ls[-1] = footer then 1 else 0 end],
@@ -230,16 +232,23 @@ WORD_DF = f"""
   docs_n as (select count(*) as n_docs from documents)"""
 PLACED = f"""{groups()},
   {WORD_DF},
-  placed as (select doc_id, chunk, s, n, sent - first_sent as sent
+  whole as (select doc_id, chunk, s, n, sent - first_sent as sent
     from (select *, min(sent) over (partition by doc_id, chunk) as first_sent
           from packed join sents using (doc_id, sent)))"""
 ASKED = rf"""
+  placed as (
+    select doc_id, chunk, s, len({words('s')}) as n,
+      row_number() over (partition by doc_id, chunk order by sent, k) - 1 as sent
+    from (select doc_id, chunk, sent, unnest(parts) as s, generate_subscripts(parts, 1) as k from (
+      select doc_id, chunk, sent, case when n <= 60 then [s] else list_filter(string_split(regexp_replace(s,
+          '((?:\S+\s+){{59}}\S+\s*)\s', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') end as parts
+      from whole))),
   ws as (select doc_id, chunk, sent, n, w, {term('w')} as t, pos
     from (select *, unnest(wl) as w, generate_subscripts(wl, 1) as pos
           from (select *, {words('s')} as wl from placed))),
   picks as (select doc_id, chunk, sent, pos, w from (
       select ws.*, row_number() over (partition by doc_id, chunk, sent order by coalesce(df, 0), pos) as r
-      from ws left join wdf using (t) where n between 5 and 60 and length(t) >= 4)
+      from ws left join wdf using (t) where n >= 3 and length(t) >= 4)
     where r = 1),
   questions as (
     select p.doc_id, p.chunk, p.sent,
@@ -425,7 +434,7 @@ ORACLE["reader_eval"] = f"""
       ("top_n_EM_text_answer", "e"), ("top_n_f1_text_answer", "f")])}"""
 FROM_RETRIEVED = f"""{RETRIEVED}, {WORD_DF},
   once as (select uid, any_value(content) as content from retrieved group by uid),
-  placed as (
+  whole as (
     select uid as doc_id, 0 as chunk, s, len({words('s')}) as n, sent
     from (select uid, unnest(ss) as s, generate_subscripts(ss, 1) - 1 as sent
           from (select uid, {sentences('content')} as ss from once))), {ASKED}"""
@@ -433,7 +442,15 @@ ORACLE["retrieve_then_generate"] = f"""
   with {FROM_RETRIEVED}
   select q, rank, uid, x.sent::int as sent, x.question, x.answer
   from retrieved join questions x on x.doc_id = uid"""
-ORACLE["pseudo_labels"] = f"""
+SHARED_TWICE = ("passages tfs dfs sizes corpus hits retrieved once placed ws picks questions qs bq wdf asked_bq").split()
+
+
+def computed_once(sql: str, names: list[str]) -> str:
+    """The same SQL with these CTEs materialised."""
+    return re.sub(rf"\b({'|'.join(names)}) as \(", r"\1 as materialized (", sql)
+
+
+ORACLE["pseudo_labels"] = computed_once(f"""
   with {FROM_RETRIEVED},
   qs as (select distinct doc_id || ':' || md5(question) as q, question as query from questions),
   {bm25('qs', 'bq')},
@@ -442,7 +459,7 @@ ORACLE["pseudo_labels"] = f"""
       select *, row_number() over (partition by q order by score desc, uid) as r
       from bq where uid <> split_part(q, ':', 1)) where r = 1)
   select q, pos_uid, pos_score, neg_uid, neg_score, {round6('pos_score - coalesce(neg_score, 0)')} as margin
-  from pos left join neg using (q)"""
+  from pos left join neg using (q)""", SHARED_TWICE)
 ORACLE["hard_pairs"] = f"""
   with recursive {PAIRS}
   select pairs.doc_id || '-' || split_id || '-' || pairs.sent as id, question, pairs.answer as wrong_answer, b.s as answer
@@ -541,7 +558,7 @@ ORACLE["lexical_similarity"] = f"""
   select key, {round6('coalesce(s, 0)')} as similarity from sim_pairs left join cs using (key)"""
 ORACLE["eval_report"] = f"""
   with {SCORED}, worst as (select q, {round6('f1')} as f1 from best order by 2, q limit 5)
-  select q, f1, rank, read_.answer from worst join read_ using (q)"""
+  select q, f1, rank, read_.answer from worst left join read_ using (q)"""
 RUNS = f"""{READ}, {ANSWERED}, {overlap('read_', 'answered')}, {best('scored', 'answered', 'best1', 1)},
   {best('scored', 'answered', 'best4')}, a as ({reader_values('best1')}), b as ({reader_values('best4')})"""
 ORACLE["compare_runs"] = f"""
@@ -612,7 +629,7 @@ ORACLE["filter_query"] = f"""
 ORACLE["head"] = f"with {RETRIEVED} select q, rank, uid, score from retrieved order by q, rank limit 5"
 ORACLE["pipeline_classifier"] = f"""
   with {ITEMS}, {WORD_DF}, {PASSAGE_INDEX}, {TFIDF},
-  placed as (
+  whole as (
     select q as doc_id, 0 as chunk, s, len({words('s')}) as n, sent
     from (select q, unnest(ss) as s, generate_subscripts(ss, 1) - 1 as sent
           from (select q, {sentences('query')} as ss from items))), {ASKED},

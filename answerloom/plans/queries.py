@@ -359,7 +359,7 @@ def hard_pairs(spark, d):
         F.concat_ws("-", "doc_id", "split_id", "sent").alias("id"), "question", "answer"
     )
     asked = X.each(
-        T.chunks(spark, d), ["doc_id", "split_id"], F.col("sentences"), "answer", "sent"
+        generate.bounded_sentences(T.chunks(spark, d)), ["doc_id", "split_id"], F.col("sentences"), "answer", "sent"
     ).select(F.concat_ws("-", "doc_id", "split_id", "sent").alias("id"), "answer")
     return training.hard_pairs(pairs, asked)
 
@@ -825,7 +825,7 @@ def filter_hour(spark, d):
 @query
 def upload_stream(spark, d):
     """The corpus arriving as files, split into sentence groups on the way to an index."""
-    stream = upload.uploaded_tables(spark, d, T.SCHEMAS["documents"], "documents.parquet")
+    stream = upload.uploaded_tables(spark, f"{d}/documents.parquet", T.SCHEMAS["documents"])
     return upload.process_available(
         stream,
         lambda s: split.split_sentences(s.select("doc_id", "text"), 100),

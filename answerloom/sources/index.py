@@ -22,9 +22,16 @@ def write_index(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def upsert(index: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``new`` replace rows with the same key. Write the result to a new folder."""
-    latest = new.dropDuplicates([key])
+def upsert(index: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Rows of ``new`` replace rows with the same key. Write the result to a new folder.
+
+    Where ``new`` repeats a key, the row with the largest ``order`` is the last write and wins; rows with equal
+    order, or without an order column, are told apart by their content, so the result is the same each time.
+    """
+    content = F.struct(*[c for c in new.columns if c not in (key, order)])
+    by = F.struct(F.col(order), content) if order else content
+    latest = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), by).alias("_row"))
+    latest = latest.select(key, "_row.*").select(*[c for c in new.columns if c in index.columns])
     return index.join(latest.select(key), key, "left_anti").unionByName(latest)
 
 

@@ -48,9 +48,19 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
     Read as lines, since commas in such lists are not quoted; a byte order mark and carriage returns go.
     """
-    line = F.regexp_replace("value", "^﻿|\r$", "")
-    rows = spark.read.text(path).select(line.alias("question"))
+    line = F.regexp_replace("value", "^\ufeff|\r$", "")
+    files = spark.read.text(path).select(
+        line.alias("question"),
+        (F.col("_metadata.file_block_start") == 0).alias("start"),
+        F.monotonically_increasing_id().alias("at"),
+        F.col("_metadata.file_path").alias("file"),
+    )
+    # The header is the first line of its file; the same words further down are a question.
+    headers = files.where("start and question = 'question'")
+    first = files.where("start").groupBy("file").agg(F.min("at").alias("first"))
+    header = headers.join(F.broadcast(first), "file").where("at = first").select("file", "at")
+    rows = files.join(F.broadcast(header), ["file", "at"], "left_anti").select("question")
     unquoted = F.when(
         F.col("question").rlike('^".*"$'), F.regexp_replace(F.regexp_replace("question", '^"|"$', ""), '""', '"')
     ).otherwise(F.col("question"))
-    return rows.where((F.col("question") != "question") & (F.trim("question") != "")).select(unquoted.alias("question"))
+    return rows.where(F.trim("question") != "").select(unquoted.alias("question"))

@@ -21,9 +21,10 @@ def uploaded_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000
     )
 
 
-def uploaded_tables(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
-    """Stream of the rows of new Parquet files."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def uploaded_tables(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stream of the rows of a Parquet table, one file or a folder to which files are added."""
+    # As a pattern the path may be a file: only plain paths have to be folders.
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def process_available(
@@ -33,8 +34,9 @@ def process_available(
 
     The checkpoint remembers the files taken, so a later call adds only new ones, also after a failure.
     """
+    made = step(stream)
     query = (
-        step(stream).writeStream.format("parquet")
+        made.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
@@ -42,7 +44,7 @@ def process_available(
         .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    return stream.sparkSession.read.schema(made.schema).parquet(out)
 
 
 def pairs_per_batch(

@@ -256,3 +256,39 @@ def test_stored_postings_rank_as_the_texts_do(spark, tmp_path):
     queries = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("q"), F.col("text").alias("query"))
     sparse.write_postings(units, str(tmp_path / "p"))
     assert rows(sparse.bm25_topk_stored(queries, str(tmp_path / "p"))) == rows(sparse.bm25_topk(queries, units))
+
+
+def test_upsert_last_write_wins(spark):
+    base = spark.createDataFrame([("a", "old", 0), ("b", "kept", 0)], "id string, content string, v int")
+    new = spark.createDataFrame([("a", "first", 1), ("a", "last", 2), ("c", "z", 1), ("c", "y", 1)], "id string, content string, v int")
+    got = sorted(tuple(r) for r in index.upsert(base, new, order="v").collect())
+    assert got == [("a", "last", 2), ("b", "kept", 0), ("c", "z", 1)]
+
+
+def test_report_keeps_queries_without_results(spark):
+    from answerloom.operators import reports
+
+    scores = spark.createDataFrame([(1, 0.0), (2, 0.5), (3, 1.0)], "q int, f1 double")
+    found = spark.createDataFrame([(2, 1, "x"), (2, 2, "y"), (3, 1, "z")], "q int, rank int, answer string")
+    got = reports.worst_queries(scores, found, "f1", 2).orderBy("q", "rank").collect()
+    assert [(r.q, r.answer) for r in got] == [(1, None), (2, "x"), (2, "y")]
+
+
+def test_question_named_like_the_header(spark, tmp_path):
+    (tmp_path / "q.txt").write_bytes("\ufeffquestion\r\nwhat is it\r\nquestion\r\n\r\n".encode())
+    got = [r.question for r in results.read_questions(spark, str(tmp_path)).collect()]
+    assert got == ["what is it", "question"]
+
+
+def test_stream_of_a_file_and_of_a_folder(spark, tmp_path):
+    schema = "doc_id long, text string"
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, many = str(tmp_path / "one.parquet"), str(tmp_path / "many.parquet")
+    table.repartition(5).write.parquet(many)
+    table.toPandas().to_parquet(one)
+    got = []
+    for name, path in (("one", one), ("many", many)):
+        stream = upload.uploaded_tables(spark, path, schema)
+        out = upload.process_available(stream, lambda s: s.where("doc_id % 2 = 0"), str(tmp_path / name), str(tmp_path / f"{name}-c"))
+        got.append(sorted(r.doc_id for r in out.collect()))
+    assert got[0] == got[1] == [k for k in range(200) if k % 2 == 0]

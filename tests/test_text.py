@@ -55,7 +55,16 @@ def test_header_footer(spark):
     rows += [(9, "Head\nalone", "t")]
     got = clean.clean_header_footer(spark.createDataFrame(rows, "doc_id int, text string, source string"))
     texts = {r["doc_id"]: r["text"] for r in got.collect()}
-    assert texts[0] == "body 0" and texts[3] == "Other\nbody 3\nEnd 3" and texts[9] == ""
+    assert texts[0] == "body 0" and texts[3] == "Other\nbody 3\nEnd 3" and texts[9] == "Head\nalone"
+
+
+def test_long_sentences_are_asked(spark):
+    """One sentence of 5000 words gives a question per window, and no word is left out."""
+    rows = [(1, " ".join(f"word{k:04d}" for k in range(5000)) + "."), (2, "Just three words."), (3, "One.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = generate.generate_questions(split.split_sentences(docs, 100, keep_sentences=True), docs).collect()
+    assert sorted((r["doc_id"], r["sent"]) for r in asked) == [(1, k) for k in range(84)] + [(2, 0)]
+    assert sum(len(r["question"].split()) for r in asked if r["doc_id"] == 1) == 5000
 
 
 def test_sentences_and_terms(spark):

@@ -6,8 +6,9 @@ positions. Sorted by position they are relaxed: a piece extends the encoding of
 itself would leave the two side by side. For merges by score exactly one piece can end the encoding of any prefix, so the
 result is that of the library, also for byte-pair models, whose encoding is not the path of the best sum.
 
-White space is a part of pieces, and no piece goes on behind it, so words are independent and those seen before are
-remembered, up to ``WORDS_HELD``.
+White space is a part of pieces, and no piece goes on behind it, nor holds a line break, nor (as is checked for each
+mark) a letter with a mark behind. Words cut at such places are independent, and those seen before are remembered, up to
+``WORDS_HELD``.
 
 Defined cases: null text is empty and has no ids; characters without a piece become the ids of their UTF-8 bytes; ties in score
 go to the left; text of any length is one chain of words; rows that repeat are encoded each; ``decode`` drops null and
@@ -23,6 +24,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,11 +32,13 @@ from pyspark.sql import types as T
 from answerloom.llm.texts import bounded_batches, strings, table
 
 SPACE = "▁"
-WORDS_HELD = 200_000
-PAIRS_HELD = 1_000_000
+WORDS_HELD = 400_000
+PAIRS_HELD = 600_000
 LONG_WORD = 64
 SEPARATOR, UNKNOWN, FIRST_CODE = 1, 2, 3
-WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+# Latin letters, and marks that may stand behind a word.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+MARKS = ".,;:!?"
 
 
 def public_model() -> str:
@@ -63,9 +67,17 @@ class PieceModel:
             raise ValueError("a piece goes on behind white space; words are not independent in this model")
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte pieces to fall back on")
+        free = [m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in self.id)]
+        marked = f"{SPACE}*[{LETTERS}]++(?=[{re.escape(''.join(free))}])|" if free else ""
+        if any("\n" in p for p in self.id):
+            raise ValueError("a piece holds a line break; lines are not independent in this model")
+        self.word = re.compile(f"{marked}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
         self.raw = [b"" if special[i] else self.text[i].replace(SPACE, " ").encode() for i in range(size)]
         for value, i in self.byte_id.items():
             self.raw[i] = bytes([value])
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.array([len(x) for x in self.raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         letters = sorted({c for p in self.id for c in p})
         self.codes = np.full(0x110000, UNKNOWN, np.uint16)
         self.codes[[ord(c) for c in letters]] = np.arange(FIRST_CODE, FIRST_CODE + len(letters))
@@ -125,13 +137,13 @@ class PieceModel:
         return end[by].tolist(), start[by].tolist(), self.ids[which][by].tolist()
 
     def encode_words(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of words, each given without the white space it starts with."""
+        """Ids of words, the white space they start with included."""
         if not new:
             return {}
-        joined = "".join(f"{SPACE}{w}\n" for w in new)
+        joined = "".join(f"{w}\n" for w in new)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self.codes[points]
-        sizes = np.array([len(w) + 2 for w in new])
+        sizes = np.array([len(w) + 1 for w in new])
         stops = np.cumsum(sizes) - 1
         codes[stops] = SEPARATOR
         n = len(codes)
@@ -179,13 +191,7 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit numbers in machine order."""
-        split = []
-        for text in texts:
-            text = text.replace(" ", SPACE)
-            if SPACE * 2 in text or text[:1] == SPACE:
-                split.append([w[1:] for w in WORD.findall(SPACE + text)])
-            else:
-                split.append(text.split(SPACE) if text else [])
+        split = [self.word.findall(SPACE + x.replace(" ", SPACE)) if x else [] for x in texts]
         if len(self.words) > WORDS_HELD:
             self.words, self.before = {}, self.words
         words, before = self.words, self.before
@@ -203,9 +209,16 @@ class PieceModel:
                 del words[w]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        data = b"".join(map(self.raw.__getitem__, ids))
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """Texts of the rows that ``offsets`` cut ``ids`` into; unknown ids have no text."""
+        ids = np.where((ids >= 0) & (ids < len(self.raw)), ids, 0)
+        size = self.raw_size[ids]
+        ends = np.cumsum(size)
+        shift = self.raw_start[ids] - (ends - size)
+        data = self.raw_bytes[np.repeat(shift, size) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends])[offsets].tolist()
+        rows = (data[x:y] for x, y in zip(cuts[:-1], cuts[1:]))
+        return [(x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in rows]
 
 
 @functools.cache
@@ -230,10 +243,11 @@ def _encode(batches, path, position, kept):
 
 def _decode(batches, path, position, kept):
     model = piece_model(path or public_model())
-    size = len(model.raw)
     for batch in batches:
-        rows = batch.column(position).to_pylist()
-        texts = [model.decode([i for i in row or [] if i is not None and 0 <= i < size]) for row in rows]
+        rows = batch.column(position)
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(pc.list_flatten(rows), -1).to_numpy(zero_copy_only=False)
+        texts = model.decode(ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
         yield _replaced(batch, kept, "decoded", pa.array(texts, pa.string()))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,14 @@ def local_session(cores: str = "8", app: str = "answerloom") -> SparkSession:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it is not installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="answerloom-package-")
+    made = shutil.make_archive(f"{folder}/answerloom", "zip", os.path.dirname(package), os.path.basename(package))
+    spark.sparkContext.addPyFile(made)
+
+
 def staging_dir(spark: SparkSession) -> str:
     """Folder every executor can see: the one the cluster names, else a fresh one in local mode."""
     named = spark.conf.get(CHECKPOINT_DIR, None)

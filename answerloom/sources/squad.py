@@ -24,12 +24,15 @@ QUESTIONS_PER_PARAGRAPH = 1000
 def read_squad(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(title, document_id, context, id, question, is_impossible, answer, answer_start), one row per answer.
 
+    A question without answer has one row with a null answer, a paragraph without questions one with a null id: its
+    context belongs to the corpus that is searched.
+
     ``multi_line`` reads files that hold one indented JSON object; files with one object per line need
     none and are splittable.
     """
     raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(path)
     paragraphs = raw.select(F.explode("data").alias("d")).select("d.title", F.explode("d.paragraphs").alias("p"))
-    questions = paragraphs.select("title", "p.document_id", "p.context", F.explode("p.qas").alias("q"))
+    questions = paragraphs.select("title", "p.document_id", "p.context", F.explode_outer("p.qas").alias("q"))
     return questions.select(
         "title", "document_id", "context", "q.id", "q.question", "q.is_impossible", F.explode_outer("q.answers").alias("a")
     ).select(
@@ -87,6 +90,24 @@ def squad_labels(squad: DataFrame, passages: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_labels(squad: DataFrame, passages: DataFrame) -> DataFrame:
+    """(q, query, answer, uid, start): labels as retrieval and reading are scored by them, over passages named
+    ``context_id-split_id``. A question without answer has one label with the answer "" and no passage; an answer
+    that a passage border cuts has no passage."""
+    placed = squad_labels(squad, passages).select(
+        F.col("id").alias("q"), F.col("question").alias("query"), "answer",
+        F.when(F.col("split_id").isNotNull(), F.concat_ws("-", "context_id", "split_id")).alias("uid"), "start",
+    )
+    answered = F.max(F.col("answer").isNotNull())
+    none = squad.where("id is not null").groupBy("id", "question").agg(answered.alias("some")).where(~F.col("some"))
+    return placed.unionByName(
+        none.select(
+            F.col("id").alias("q"), F.col("question").alias("query"), F.lit("").alias("answer"),
+            F.lit(None).cast("string").alias("uid"), F.lit(None).cast("int").alias("start"),
+        )
+    )
+
+
 def squad_records(pairs: DataFrame) -> DataFrame:
     """Nested records from (title, context, id, question, answer, answer_start); a null answer is impossible.
 
@@ -109,8 +130,8 @@ def squad_records(pairs: DataFrame) -> DataFrame:
     parted = salted_join(questions, crowded, ["title", "context_id"], ["id"], how="left").withColumn(
         "part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))
     )
-    qa = F.struct(
-        "id", "question", (F.size("answers") == 0).alias("is_impossible"), "answers"
+    qa = F.when(
+        F.col("id").isNotNull(), F.struct("id", "question", (F.size("answers") == 0).alias("is_impossible"), "answers")
     )
     paragraphs = parted.groupBy("title", "context_id", "part").agg(
         F.first("context").alias("context"), F.sort_array(F.collect_list(qa)).alias("qas")

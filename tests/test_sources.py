@@ -292,3 +292,23 @@ def test_stream_of_a_file_and_of_a_folder(spark, tmp_path):
         out = upload.process_available(stream, lambda s: s.where("doc_id % 2 = 0"), str(tmp_path / name), str(tmp_path / f"{name}-c"))
         got.append(sorted(r.doc_id for r in out.collect()))
     assert got[0] == got[1] == [k for k in range(200) if k % 2 == 0]
+
+
+def test_squad_distractors_and_impossible_questions(spark, tmp_path):
+    paragraphs = [
+        {"context": "The river Alm is short.", "qas": [
+            {"id": "1", "question": "Which river?", "is_impossible": False, "answers": [{"text": "river Alm", "answer_start": 4}]},
+            {"id": "2", "question": "How deep?", "is_impossible": True, "answers": []},
+        ]},
+        {"context": "Nobody asks about this one.", "qas": []},
+    ]
+    (tmp_path / "s.json").write_text(json.dumps({"version": "v2.0", "data": [{"title": "t", "paragraphs": paragraphs}]}))
+    read = squad.read_squad(spark, str(tmp_path / "s.json"), multi_line=True)
+    passages = squad.squad_passages(read, 50)
+    assert {r.content for r in passages.collect()} == {p["context"] for p in paragraphs}
+    labels = {r.q: r for r in squad.evaluation_labels(read, passages).collect()}
+    assert labels["1"].answer == "river Alm" and labels["1"].start == 4 and labels["1"].uid.endswith("-0")
+    assert labels["2"].answer == "" and labels["2"].uid is None
+    squad.write_squad(read, str(tmp_path / "out"))
+    back = squad.read_squad(spark, str(tmp_path / "out"))
+    assert back.select("context").distinct().count() == 2 and back.where("id is not null").count() == 2

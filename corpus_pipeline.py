@@ -13,6 +13,7 @@ from answerloom.llm import language, line_dedup, ngram_join, packing, quality
 from answerloom.session import stage
 
 MIN_LANGUAGE_SCORE = 0.5
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
-    return ngram_join.one_of_each(docs)
+    """One document of each group of near duplicates stays, the one with the smallest doc_id. Near are texts whose
+    shingles of five words have a Jaccard index of 0.8 or more; three words and 0.9 are the contract of op9 alone."""
+    return ngram_join.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

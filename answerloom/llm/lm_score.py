@@ -5,10 +5,14 @@ background model all documents. A document's score is the mean over its tokens o
 background's; the lower, the more it is like the target. Both are smoothed alike: where a
 pair is rare, the word's own share counts.
 
-Words are ``[^\x20\x09-\x0D]+``, lower-cased; they are hashed into a vocabulary of 2**18 cells, and bigrams into
-2**20 cells. Counts cover every document; each task sums its own first and sends the cells it saw, so what is
-gathered grows with the input while the models keep their size. Loss of word w after v:
--ln((c(v, w) + STRENGTH * p(w)) / (c(v) + STRENGTH)), p(w) = (c(w) + 1) / (N + cells).
+Words are ``[^\x20\x09-\x0D]+``, lower-cased; words and pairs are told apart by their whole 64-bit hashes and counted
+exactly over every document. Loss of word w after v:
+-ln((c(v, w) + STRENGTH * p(w)) / (c(v) + STRENGTH)), p(w) = (c(w) + 1) / (N + V). V is the number of different words,
+estimated from the smallest hashes, and WORD_CELLS at least.
+
+Every token travels once, to the task of its word, which sees all pairs that end in the word and so counts and scores
+them; what is shuffled grows with the input. Words with a share of HOT in a sample are counted beforehand and their tokens
+dealt by pair; pairs with such a share are not sent at all. Both are at most 1 / HOT in number whatever the input.
 
 Defined cases: null and empty texts have no tokens and null scores; a text's first word follows a start mark; without
 target documents the target gives every word the same loss; rows without a label are background only; documents that
@@ -19,113 +23,284 @@ label columns are read.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.skew import fits_broadcast
-from answerloom.llm.texts import M1, bounded_batches, mixed, table, utf8, word_hashes, words
+from answerloom.functions.skew import fits_broadcast, salted_join
+from answerloom.llm.texts import M1, bounded_batches, keep_share, mixed, table, utf8, word_hashes, words
+from answerloom.session import stage
 
-WORD_BITS, PAIR_BITS = 18, 20
-WORD_CELLS, PAIR_CELLS = 1 << WORD_BITS, 1 << PAIR_BITS
+WORD_CELLS = 1 << 18
 STRENGTH = 4.0
 START = np.uint64(0x5851F42D4C957F2D)
 BROADCAST_ROWS = 500_000
+SAMPLE_ROWS = 4000
+HOT = 2e-4
+SKETCH = 4096
+PER_PARTITION = 4
+SALTS = 32
+SUMS = ("n", "docs", "a", "b")
+
+
+def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed((before ^ np.uint64(1)) * M1 + word)
+
 
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, word before, number of the text, whether another word follows) of every token of the texts."""
+    parts = [words(x.lower()) for x in texts]
+    sizes = np.array([len(x) for x in parts], np.int64)
+    word = word_hashes([w for x in parts for w in x])
+    ends = np.cumsum(sizes)
+    before, follows = np.roll(word, 1), np.ones(len(word), bool)
+    before[(ends - sizes)[sizes > 0]] = START
+    follows[(ends - 1)[sizes > 0]] = False
+    return word, before, np.repeat(np.arange(len(texts)), sizes), follows
 
-def cells(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cells of the words, of the words before them and of the pairs."""
-    hashes = word_hashes(words(text.lower()))
-    before = np.concatenate([[START], hashes[:-1]]) if len(hashes) else hashes
-    shift = np.uint64(64 - WORD_BITS)
-    pairs = mixed((before ^ np.uint64(1)) * M1 + hashes) >> np.uint64(64 - PAIR_BITS)
-    return (hashes >> shift).astype(np.int64), (before >> shift).astype(np.int64), pairs.astype(np.int64)
+
+def place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` among the ascending ``keys``; -1 where they are not."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 @dataclass
-class NgramModel:
-    """Counts of words and pairs; with all of them its loss per token can be told."""
+class Counts:
+    """Counts (target, whole) of the frequent words and pairs, ascending by hash, and what all tokens share."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    word: np.ndarray = None
+    context: np.ndarray = None
+    pair: np.ndarray = None
+    start: np.ndarray = None
+    total: np.ndarray = None
+    vocabulary: float = WORD_CELLS
+
+    def pair_loss(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return -np.log(pair + STRENGTH * (word + 1.0) / (self.total + self.vocabulary))
+
+
+@dataclass
+class Models:
+    """Both models: the documents (text, target) they count, and the counts of what is frequent."""
+
+    docs: DataFrame
+    counts: Counts = field(repr=False)
+
+
+def _candidates(batches):
+    found = [(tokens(utf8(x["text"]))[:2]) for x in batches]
+    word = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)])
+    pair = np.concatenate([np.zeros(0, np.uint64), *(pair_hashes(x[1], x[0]) for x in found)])
+    yield pa.record_batch([pa.array([word.tobytes()]), pa.array([pair.tobytes()])], names=["word", "pair"])
+
+
+def _added(total: np.ndarray, at: np.ndarray, target: np.ndarray) -> None:
+    """Adds one per place to the column whole, and to target where the document is one."""
+    known = at >= 0
+    total[:, 1] += np.bincount(at[known], minlength=len(total))
+    total[:, 0] += np.bincount(at[known & target], minlength=len(total))
 
-    word: np.ndarray
-    context: np.ndarray
-    pair: np.ndarray
 
-    def loss(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        base = (self.word[word] + 1.0) / (self.total + WORD_CELLS)
-        return -np.log((self.pair[pair] + STRENGTH * base) / (self.context[before] + STRENGTH))
+def _count(batches, counts: Counts):
+    nw, np_ = len(counts.words), len(counts.pairs)
+    word, context, pair = np.zeros((nw, 2), np.int64), np.zeros((nw, 2), np.int64), np.zeros((np_, 2), np.int64)
+    start, total, least = np.zeros((1, 2), np.int64), np.zeros((1, 2), np.int64), np.zeros(0, np.uint64)
+    for batch in batches:
+        w, v, doc, follows = tokens(utf8(batch["text"]))
+        target = np.array([bool(x) for x in batch["target"].to_pylist()], bool)[doc]
+        at = place(counts.words, w)
+        _added(word, at, target)
+        _added(context, np.where(follows, at, -1), target)
+        _added(pair, place(counts.pairs, pair_hashes(v, w)), target)
+        _added(start, np.where(v == START, 0, -1), target)
+        _added(total, np.zeros(len(w), np.int64), target)
+        low = w[w <= least[-1]] if len(least) == SKETCH else w
+        least = np.unique(np.concatenate([least, low]))[:SKETCH]
+    arrays = [word, context, pair, start, total, least]
+    yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=[*"abcdef"])
+
+
+def fit(docs: DataFrame) -> Models:
+    """Models from (text, target boolean) rows. The counts of rare words and pairs are made where they are asked for."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    n = docs.count()
+    share = min(1.0, SAMPLE_ROWS / n) if n else 0.0
+    sample = docs.where(keep_share(F.xxhash64("text"), F.lit(share))).select("text")
+    found = sample.mapInArrow(_candidates, "word binary, pair binary").toArrow()
+    hot = []
+    for name in ("word", "pair"):
+        seen = np.frombuffer(b"".join(found[name].to_pylist()), np.uint64)
+        keys, times = np.unique(seen, return_counts=True)
+        hot.append(keys[times >= max(HOT * len(seen), 2)])
+    counts = Counts(*hot)
+    schema = ", ".join(f"{x} binary" for x in "abcdef")
+    rows = docs.select("text", "target").mapInArrow(functools.partial(_count, counts=counts), schema)
+    sums = [np.zeros((k, 2), np.int64) for k in (len(hot[0]), len(hot[0]), len(hot[1]), 1, 1)]
+    least = np.zeros(0, np.uint64)
+    for row in rows.toLocalIterator():
+        for total, name in zip(sums, "abcde"):
+            total += np.frombuffer(row[name], np.int64).reshape(-1, 2)
+        least = np.unique(np.concatenate([least, np.frombuffer(row["f"], np.uint64)]))[:SKETCH]
+    different = (SKETCH - 1) * 2.0**64 / float(least[-1]) if len(least) == SKETCH else len(least)
+    return Models(docs, Counts(*hot, *sums, max(float(WORD_CELLS), different)))
+
 
-    def __post_init__(self):
-        self.total = float(self.word.sum())
+def _packed(bucket: int, keys: np.ndarray, target: np.ndarray, part, sums) -> tuple:
+    """One row: hashes of texts, whether each is a target, their tokens (word, before, text, follows), sums per text."""
+    word, before, doc, follows = part
+    names, local = np.unique(doc, return_inverse=True) if sums is None else (np.arange(len(keys)), doc)
+    place_ = (local.astype(np.uint32) << np.uint32(1)) | follows.astype(np.uint32)
+    return (
+        bucket, keys[names].tobytes(), np.packbits(target[names]).tobytes(), word.tobytes(), before.tobytes(),
+        place_.astype(np.uint32).tobytes(), b"" if sums is None else sums.tobytes(),
+    )
 
 
-KINDS = (("word", WORD_CELLS), ("context", WORD_CELLS), ("pair", PAIR_CELLS))
+SENT = "bucket int, texts binary, target binary, word binary, before binary, place binary, sums binary"
 
 
-def _count(batches):
-    totals = {t: [np.zeros(size, np.int64) for _, size in KINDS] for t in (False, True)}
+def _send(batches, shared, buckets: int, counted: bool, scored: bool):
+    """Tokens by bucket, and per text what the frequent words and pairs give."""
+    counts: Counts = shared.value
     for batch in batches:
-        for text, target in zip(utf8(batch["text"]), batch["target"].to_pylist()):
-            for total, found in zip(totals[bool(target)], cells(text)):
-                at, n = np.unique(found, return_counts=True)
-                total[at] += n
-    for target, kinds in totals.items():
-        for kind, total in enumerate(kinds):
-            at = np.flatnonzero(total)
-            yield pa.record_batch(
-                [
-                    pa.array(np.full(len(at), kind, np.int32)),
-                    pa.array(at.astype(np.int32)),
-                    pa.array(total[at] * target),
-                    pa.array(total[at]),
-                ],
-                names=["kind", "cell", "target", "whole"],
-            )
-
-
-def fit(docs: DataFrame) -> tuple[NgramModel, NgramModel]:
-    """(target, background) models from (text, target boolean) rows."""
-    bounded_batches(docs.sparkSession)
-    counted = docs.select("text", "target").mapInArrow(_count, "kind int, cell int, target long, whole long")
-    counted = counted.groupBy("kind", "cell").agg(F.sum("target").alias("target"), F.sum("whole").alias("whole"))
-    rows = counted.toArrow()
-    kind, cell = rows["kind"].to_numpy(), rows["cell"].to_numpy()
-    models = []
-    for name in ("target", "whole"):
-        counts = rows[name].to_numpy()
-        filled = []
-        for k, (_, size) in enumerate(KINDS):
-            total = np.zeros(size, np.float32)
-            total[cell[kind == k]] = counts[kind == k]
-            filled.append(total)
-        models.append(NgramModel(*filled))
-    return models[0], models[1]
-
-
-def _score(batches, shared):
-    target, background = shared.value
+        w, v, doc, follows = tokens(utf8(batch["text"]))
+        keys = batch["text_hash"].to_numpy(zero_copy_only=False).astype(np.int64)
+        target = np.array([bool(x) for x in batch["target"].to_pylist()], bool)
+        pair = pair_hashes(v, w)
+        at_w, at_p, at_v = place(counts.words, w), place(counts.pairs, pair), place(counts.words, v)
+        out = []
+        if scored:
+            sums = np.zeros((len(keys), 4))
+            sums[:, 0] = np.bincount(doc, minlength=len(keys))
+            sums[:, 1] = 1
+            both = (at_p >= 0) & (at_w >= 0)
+            started = v == START
+            for k in (0, 1):
+                loss = np.zeros(len(w))
+                loss[both] = counts.pair_loss(counts.pair[at_p[both]], counts.word[at_w[both]])[:, k]
+                context = np.where(started, counts.start[0, k], counts.context[at_v, k] if len(counts.words) else 0)
+                loss += np.where(started | (at_v >= 0), np.log(context + STRENGTH), 0.0)
+                sums[:, 2 + k] = np.bincount(doc, loss, minlength=len(keys))
+            nothing = [x[:0] for x in (w, v, doc, follows)]
+            out.append(_packed(int(keys[0] % buckets) if len(keys) else 0, keys, target, nothing, sums))
+        bucket = (np.where(at_w >= 0, pair, mixed(w)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((w, bucket))
+        order = order[~((at_p >= 0) & (at_w >= 0))[order]]
+        cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+        for rows in np.split(order, cuts):
+            if len(rows):
+                out.append(_packed(int(bucket[rows[0]]), keys, target, [x[rows] for x in (w, v, doc, follows)], None))
+        made = [pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*out))]
+        if made:
+            flags = [pa.array([x] * len(out), pa.bool_()) for x in (counted, scored)]
+            yield pa.record_batch([*made, *flags], names=[x.split()[0] for x in SENT.split(", ")] + ["counted", "scored"])
+
+
+def _numbers(keys: np.ndarray, counted: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each key, counts (target, whole) by number)."""
+    _, number = np.unique(keys, return_inverse=True)
+    n = int(number.max()) + 1 if len(number) else 0
+    return number, np.stack([np.bincount(number, counted & target, minlength=n), np.bincount(number, counted, minlength=n)], 1)
+
+
+def _bucket_sums(rows: list[dict], counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """(text hashes, sums) of the scored tokens of one bucket."""
+    keys, sums, parts = [], [], []
+    for row in rows:
+        texts = np.frombuffer(row["texts"], np.int64)
+        if row["sums"]:
+            keys.append(texts)
+            sums.append(np.frombuffer(row["sums"], np.float64).reshape(-1, 4))
+            continue
+        at = np.frombuffer(row["place"], np.uint32)
+        doc = (at >> np.uint32(1)).astype(np.int64)
+        target = np.unpackbits(np.frombuffer(row["target"], np.uint8), count=len(texts)).astype(bool)[doc]
+        flags = np.full(len(doc), row["counted"]), np.full(len(doc), row["scored"])
+        word, before = np.frombuffer(row["word"], np.uint64), np.frombuffer(row["before"], np.uint64)
+        parts.append((word, before, texts[doc], (at & np.uint32(1)).astype(bool), target, *flags))
+    if parts:
+        w, v, text, follows, target, counted, scored = (np.concatenate(x) for x in zip(*parts))
+        hot = place(counts.words, w)
+        pair, of_pair = _numbers(pair_hashes(v, w), counted, target)
+        word, of_word = _numbers(w, counted, target)
+        _, of_context = _numbers(w, counted & follows, target)
+        c_word = of_word[word]
+        c_word[hot >= 0] = counts.word[hot[hot >= 0]]
+        loss = counts.pair_loss(of_pair[pair], c_word)
+        loss += np.where((follows & (hot < 0))[:, None], np.log(of_context[word] + STRENGTH), 0.0)
+        names, number = np.unique(text[scored], return_inverse=True)
+        made = np.zeros((len(names), 4))
+        for k in (0, 1):
+            made[:, 2 + k] = np.bincount(number, loss[scored, k], minlength=len(names))
+        keys.append(names)
+        sums.append(made)
+    return np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros((0, 4)), *sums])
+
+
+def _add_up(batches, shared):
+    """Sums per text within a task; a bucket's rows all lie in it, one after another."""
+    keys, sums, rows = [], [], []
+
+    def close():
+        made = _bucket_sums(rows, shared.value)
+        keys.append(made[0])
+        sums.append(made[1])
+        rows.clear()
+
     for batch in batches:
-        n, a, b = [], [], []
-        for text in utf8(batch["text"]):
-            found = cells(text)
-            n.append(len(found[0]))
-            a.append(float(target.loss(*found).mean(dtype=np.float64)) if n[-1] else None)
-            b.append(float(background.loss(*found).mean(dtype=np.float64)) if n[-1] else None)
-        columns = [pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())]
-        yield pa.record_batch([batch["doc_id"], *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+        for row in batch.to_pylist():
+            if rows and rows[-1]["bucket"] != row["bucket"]:
+                close()
+            rows.append(row)
+    if rows:
+        close()
+    names, number = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
+    total = np.concatenate([np.zeros((0, 4)), *sums])
+    columns = [np.bincount(number, total[:, k], minlength=len(names)) for k in range(4)]
+    yield pa.record_batch([pa.array(names), *map(pa.array, columns)], names=["text_hash", *SUMS])
 
 
-def score(docs: DataFrame, models: tuple[NgramModel, NgramModel]) -> DataFrame:
+def score(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every whole text."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(
-        functools.partial(_score, shared=shared), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double"
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(models.counts)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def sent(rows: DataFrame, counted: bool, scored: bool) -> DataFrame:
+        send = functools.partial(_send, shared=shared, buckets=PER_PARTITION * partitions, counted=counted, scored=scored)
+        target = F.col("target") if "target" in rows.columns else F.lit(False)
+        rows = rows.select(F.xxhash64("text").alias("text_hash"), "text", target.alias("target"))
+        return rows.mapInArrow(send, SENT + ", counted boolean, scored boolean")
+
+    same = docs is models.docs
+    tokens_ = sent(docs, True, True) if same else sent(models.docs, True, False).union(sent(docs, False, True))
+    dealt = tokens_.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    added = dealt.mapInArrow(functools.partial(_add_up, shared=shared), "text_hash long, n double, docs double, a double, b double")
+    added = added.groupBy("text_hash").agg(*[F.sum(c).alias(c) for c in SUMS])
+    # Equal texts are one row: n and the losses are sums over all of them.
+    some = F.col("n") > 0
+    means = added.select(
+        "text_hash",
+        F.round(F.col("n") / F.col("docs")).cast("long").alias("n_tokens"),
+        F.when(some, F.col("a") / F.col("n")).alias("target_loss"),
+        F.when(some, F.col("b") / F.col("n")).alias("background_loss"),
+    )
+    means = stage(means, "text-losses")
+    named = docs.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    joined = salted_join(named, means, ["text_hash"], ["doc_id"], SALTS, fits=fits_broadcast(means, BROADCAST_ROWS))
+    return joined.select(
+        "doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score")
     )
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -140,4 +315,5 @@ def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op7_lm_scoring(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return score(docs, fit(with_target(docs, labels)))
+    rows = with_target(docs, labels)
+    return score(rows, fit(rows))

@@ -1,8 +1,13 @@
 """What the corpus operators once left out."""
 
+import collections
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from answerloom.llm import lm_score
 
 
 def vocabulary_text(rng, n):
@@ -31,3 +36,36 @@ def test_near_copies_between_the_limits_go(spark):
     docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(texts)], "doc_id long, text string")
     kept = corpus_pipeline.keep_one_of_each(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
+def test_lm_counts_are_exact_however_many_pairs(spark):
+    rng = random.Random(2)
+    texts = [" ".join(["the", "of"] * 20 + [f"w{rng.randrange(400_000)}" for _ in range(4000)]) for _ in range(100)]
+    texts += [texts[0], "the of the of"]
+    rows = [(k, x, k % 3 == 0) for k, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(5)
+    models = lm_score.fit(docs)
+    assert len(models.counts.words) and len(models.counts.pairs)
+    words, context, pairs = [[collections.Counter(), collections.Counter()] for _ in range(3)]
+    for _, x, target in rows:
+        w = x.split()
+        for k in (0, 1) if target else (1,):
+            words[k].update(w)
+            context[k].update(["^", *w[:-1]])
+            pairs[k].update(zip(["^", *w[:-1]], w))
+    assert len(pairs[1]) > 1 << 18
+    different = len(words[1])
+    assert models.counts.vocabulary == pytest.approx(max(different, lm_score.WORD_CELLS), rel=0.06)
+    plain = {r.doc_id: r for r in lm_score.score(docs, models).collect()}
+    apart = {r.doc_id: r for r in lm_score.score(docs.select("doc_id", "text"), models).collect()}
+    assert len(plain) == len(apart) == len(rows)
+    for doc_id, x, _ in rows:
+        w = x.split()
+        want = []
+        for k in (0, 1):
+            total = sum(words[k].values()) + models.counts.vocabulary
+            p = [pairs[k][v, y] + 4 * (words[k][y] + 1) / total for v, y in zip(["^", *w[:-1]], w)]
+            want.append(np.mean([-np.log(a / (context[k][v] + 4)) for a, v in zip(p, ["^", *w[:-1]])]))
+        for r in (plain[doc_id], apart[doc_id]):
+            assert r.n_tokens == len(w)
+            assert [r.target_loss, r.background_loss] == pytest.approx(want, rel=1e-6)

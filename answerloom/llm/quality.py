@@ -8,7 +8,7 @@ documents of that host, and a document is rejected when too little of it is left
 Defined cases: null and empty texts have no words and are rejected by the base rule; a null host is a host of its
 own; rows with a null doc_id count as one document; equal rows count as one document and share their verdict; lines
 without a word are never counted or removed; ties do not arise, as every limit is a comparison with a count.
-Only the named columns are read; other columns come back untouched from ``filter_quality``.
+Only the named columns are read; columns other than ``text`` come back untouched from ``filter_quality``.
 """
 
 from __future__ import annotations
@@ -141,33 +141,65 @@ def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, host_pe
     return candidates.join(per_host, "host").where(100 * F.col("n") > host_percent * F.col("n_host")).select("host", "line")
 
 
-def removed_words(docs: DataFrame, **limits) -> DataFrame:
-    """(row, removed) of the documents that lose words to frequent lines; equal rows make one row."""
+def frequent_hits(docs: DataFrame, **limits) -> DataFrame:
+    """(row, pos, words) of every line that the limits take out; equal rows make one row."""
     # Only hashes and counts are stored, not texts; hosts, lines and the removal read them again.
     lines = stage(document_lines(docs), "document-lines")
     frequent = stage(frequent_lines(lines, **limits), "frequent-lines")
     fits = fits_broadcast(frequent, BROADCAST_ROWS)
     hit = salted_join(lines, frequent, ["host", "line"], ["row"], SALTS, fits=fits)
-    once = hit.groupBy("row", "pos").agg(F.first("words").alias("words"))
-    return once.groupBy("row").agg(F.sum("words").cast("bigint").alias("removed"))
+    return hit.groupBy("row", "pos").agg(F.first("words").alias("words"))
+
+
+def _sum_words(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("row").agg(F.sum("words").cast("bigint").alias("removed"))
+
+
+def removed_words(docs: DataFrame, **limits) -> DataFrame:
+    """(row, removed) of the documents that lose words to frequent lines; equal rows make one row."""
+    return _sum_words(frequent_hits(docs, **limits))
+
+
+def without_lines(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``docs`` with the lines ``hits`` (row, pos) taken out of ``text``; all columns and all rows stay."""
+    gone = stage(hits.groupBy("row").agg(F.collect_set("pos").alias("_gone")), "gone-lines")
+    numbers = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
+    if numbers <= BROADCAST_ROWS and fits_broadcast(gone, BROADCAST_ROWS):
+        gone = F.broadcast(gone)
+    joined = docs.join(gone, row_hash() == gone["row"], "left").drop(gone["row"])
+    kept = _let(
+        F.split("text", "\n"),
+        lambda lines: F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_gone", k)), "\n"),
+    )
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
 def verdicts(docs: DataFrame, left_percent: int = MIN_LEFT_PERCENT, **limits) -> DataFrame:
     """(row, doc_id, counts of ``word_stats``, removed_words, kept) per row of ``docs``."""
     narrow = docs.select("doc_id", "source", "text")
+    return _verdicts(narrow, removed_words(narrow, **limits), left_percent)
+
+
+def _verdicts(narrow: DataFrame, lost: DataFrame, left_percent: int) -> DataFrame:
     stats = word_stats(narrow.withColumn("row", row_hash())).drop("source", "text")
-    joined = stats.join(removed_words(narrow, **limits), "row", "left")
+    joined = stats.join(lost, "row", "left")
     removed = F.coalesce("removed", F.lit(0).cast("bigint"))
     kept = ~F.col("base_failed") & (100 * (F.col("n_words") - removed) >= left_percent * F.col("n_words"))
     return joined.withColumn("removed_words", removed).withColumn("kept", kept).drop("removed")
 
 
 def filter_quality(docs: DataFrame, left_percent: int = MIN_LEFT_PERCENT, **limits) -> DataFrame:
-    """The rows the rules keep, with all their columns. Only hashes of rejected rows travel to the texts."""
-    rejected = stage(verdicts(docs, left_percent, **limits).where(~F.col("kept")).select("row").distinct(), "rejected")
+    """The rows the rules keep, with all their columns; frequent lines are taken out of their texts. Only hashes and
+    line numbers travel to the texts."""
+    narrow = docs.select("doc_id", "source", "text")
+    hits = stage(frequent_hits(narrow, **limits), "frequent-hits")
+    rejected = _verdicts(narrow, _sum_words(hits), left_percent).where(~F.col("kept"))
+    rejected = stage(rejected.select("row").distinct(), "rejected")
+    hits = hits.join(rejected, "row", "left_anti")
     if fits_broadcast(rejected, BROADCAST_ROWS):
         rejected = F.broadcast(rejected)
-    return docs.join(rejected, row_hash() == rejected["row"], "left_anti")
+    return without_lines(docs.join(rejected, row_hash() == rejected["row"], "left_anti"), hits)
 
 
 def op6_quality_rules(spark, sf_dir):

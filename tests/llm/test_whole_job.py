@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from answerloom.llm import lm_score
+from answerloom.llm import lm_score, quality
 
 
 def vocabulary_text(rng, n):
@@ -69,3 +69,16 @@ def test_lm_counts_are_exact_however_many_pairs(spark):
         for r in (plain[doc_id], apart[doc_id]):
             assert r.n_tokens == len(w)
             assert [r.target_loss, r.background_loss] == pytest.approx(want, rel=1e-6)
+
+
+def test_quality_takes_frequent_lines_out(spark):
+    rng = random.Random(3)
+    own = ["\n".join(" ".join(vocabulary_text(rng, 12)) for _ in range(3)) for _ in range(20)]
+    rows = [(k, x.replace("\n", "\n All  Rights reserved\n", 1), "en", "host", 0) for k, x in enumerate(own)]
+    rows += [(20, own[0] + "\nall rights reserved", "en", "other", 7), (21, "all rights reserved", "en", "host", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.apply_quality_rules(spark, docs, "").collect()}
+    want = {k: (x, len(x)) for k, x in enumerate(own)} | {20: (rows[20][1], 7)}
+    assert got == want
+    kept = quality.filter_quality(docs)
+    assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect()} == {k: v[0] for k, v in want.items()}

@@ -10,8 +10,8 @@ these fall; their fragments are made by different tasks and composed in a tree,
 
 A range carries the words across its borders whole, so its tokens are those of the whole text; where such a word has more than
 ``LONG_WORD`` bytes the border moves behind it instead. A word ends where white space other than inside a run of it
-begins with a space or a line break: neither tokenizer has a token across that place (checked for B's pieces; A's splitter
-never lets white space follow other characters in a token).
+begins with a space or a line break, and in front of a mark behind Latin letters: neither tokenizer has a token across these
+places (checked for B's pieces; A's splitter lets neither white space nor marks follow letters in a token).
 
 A group's only link is between its last tokens, as only these end together. Links are counted per pair of ids over the
 whole corpus: pairs with at least one of ``HOT`` of all links, of which there are at most ``HOT``, are broadcast; the links
@@ -48,7 +48,10 @@ HOT = 1 << 19
 WORDS_HELD = 150_000
 WORD_BYTES = 64
 COUNTED = 1 << 21
-WORD = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+WORD = r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+"
+# Latin letters, and marks that may stand behind a word.
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ÿ"
+MARKS = ".,;:!?"
 # A space or line break behind a character that is no white space. The UTF-8 forms of Unicode's white space.
 BORDER = re.compile(
     rb"(?<=[!-~\x80-\xbf])(?<!\xc2[\x85\xa0])(?<!\xe1\x9a\x80)(?<!\xe2\x80[\x80-\x8a\xa8\xa9\xaf])(?<!\xe2\x81\x9f)"
@@ -131,6 +134,8 @@ class Aligner:
         texts = [self.b.id_to_piece(i) for i in range(self.size_b)]
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in texts):
             raise ValueError("a piece goes on behind white space or holds a line break; words are not independent in this model")
+        free = re.escape("".join(m for m in MARKS if not any(re.search(f"[{LETTERS}]{re.escape(m)}", p) for p in texts)))
+        self.word = re.compile((rf"\s*[{LETTERS}]++(?=[{free}])|" if free else "") + WORD)
         self.raw_b = [
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(texts)
         ]
@@ -234,7 +239,7 @@ COUNTS = (1 << 32) - 1
 def _whole(batches, paths, keep_groups: bool):
     model = aligner(*paths)
     for batch in batches:
-        split = [WORD.findall(" " + x) if x else [] for x in strings(batch["text"])]
+        split = [model.word.findall(" " + x) if x else [] for x in strings(batch["text"])]
         known = model.aligned(set().union(*split))
         n_a, n_b, codes, digests, groups = [], [], [], [], []
         for parts in split:
@@ -301,7 +306,7 @@ FRAGMENT_NAMES = [x.split()[0] for x in FRAGMENT.split(", ")]
 
 def range_fragment(model: Aligner, data: bytes, low: int, high: int):
     """(whether all is given back, fragment, codes, tokens) of the tokens that end in (low, high] of ``data``."""
-    parts = WORD.findall(data.decode())
+    parts = model.word.findall(data.decode())
     sizes = [len(w.encode()) for w in parts]
     ends = np.cumsum(sizes)
     inside = {w for w, n, e in zip(parts, sizes, ends.tolist()) if e - n >= low and e <= high}

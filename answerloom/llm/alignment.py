@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm.texts import bounded_batches, strings, table
+from answerloom.llm.texts import bounded_batches, remembers, strings, table
 from answerloom.session import stage
 
 SPACE = "▁"
@@ -233,6 +233,9 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
+remembers(aligner.cache_clear)
+
+
 COUNTS = (1 << 32) - 1
 
 

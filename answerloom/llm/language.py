@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerloom.llm.texts import bounded_batches, crc32_of_id, keep_share, strings, table
+from answerloom.llm.texts import bounded_batches, crc32_of_id, forget, free_name, keep_share, strings, table
 
 UNKNOWN = "und"
 BUCKETS = 1 << 16
@@ -150,6 +150,7 @@ def posteriors(texts: list[str | None], model: LanguageModel) -> tuple[list[str]
 
 
 def _predict(batches, shared, position, kept, outputs):
+    forget()
     model = shared.value
     for batch in batches:
         lang, score = posteriors(batch.column(position).to_pylist(), model)
@@ -172,8 +173,9 @@ def predict(docs: DataFrame, model: LanguageModel, outputs: tuple[str, str] = ("
 
 def confident(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
     """The rows with a language of at least ``min_score``; columns as they came."""
-    scored = predict(docs, model, ("_lid_lang", "_lid_score"))
-    return scored.where((F.col("_lid_lang") != UNKNOWN) & (F.col("_lid_score") >= min_score)).select(*docs.columns)
+    lang, score = free_name(docs, "_lid_lang"), free_name(docs, "_lid_score")
+    scored = predict(docs, model, (lang, score))
+    return scored.where((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)
 
 
 def op2_language_id(spark, sf_dir):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions.skew import fits_broadcast, salted_join
 from answerloom.llm.linking import link_groups
-from answerloom.llm.texts import bounded_batches, shingle_hashes, table, utf8, word_hashes, words
+from answerloom.llm.texts import bounded_batches, free_name, shingle_hashes, table, utf8, word_hashes, words
 from answerloom.session import stage
 
 SIZE = 3
@@ -234,17 +234,24 @@ def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
     """The rows of ``docs``, all columns, one of each component: the one with the smallest doc_id, and of rows that
     share it the one with the least text hash. Rows without any word stay."""
     rows, _, found = linked_components(docs, size, percent)
-    component = F.coalesce("component", "id")
-    best = rows.where("id is not null").join(stage(found, "components"), "id", "left").withColumn("component", component)
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "text_hash")
-    kept = best.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_hash"), key).alias("kept"))
-    kept = stage(kept.select("kept.*"), "kept-documents")
-    match = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"])
-    some = docs.where(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
-    none = docs.where(~F.rlike(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
-    if fits_broadcast(kept, BROADCAST_ROWS):
-        kept = F.broadcast(kept)
-    return some.join(kept, match, "left_semi").dropDuplicates(["doc_id", "text"]).union(none)
+    at, hashed = free_name(docs, "_id"), free_name(docs, "_hash")
+    named = [F.col("doc_id").alias(at), F.col("text_hash").alias(hashed)]
+    known = rows.where("id is not null").join(stage(found, "components"), "id", "left")
+    known = stage(known.select(*named, F.coalesce("component", "id").alias("component")).distinct(), "classed")
+    key = F.struct(F.coalesce(F.col(at).cast("long"), F.lit((1 << 63) - 1)), hashed)
+    best = known.groupBy("component").agg(F.min_by(F.struct(at, hashed), key).alias("kept"), F.count("*").alias("n"))
+    best = stage(best.where("n > 1").select("component", "kept"), "kept-documents")
+    others = salted_join(known, best, ["component"], [at, hashed], SALTS, fits=fits_broadcast(best, BROADCAST_ROWS))
+    same = F.col(at).eqNullSafe(F.col("kept")[at]) & (F.col(hashed) == F.col("kept")[hashed])
+    # Texts meet only the list of what goes, and that of rows which occur twice; both are short beside the corpus.
+    gone = stage(others.where(~same).select(at, hashed), "dropped-documents")
+    twice = rows.where("id is not null").groupBy(*named).agg(F.count("*").alias("n")).where("n > 1")
+    twice = stage(twice.select(at, hashed), "repeated-rows")
+    match = docs["doc_id"].eqNullSafe(F.col(at)) & (F.xxhash64(docs["text"]) == F.col(hashed))
+    small = lambda x: F.broadcast(x) if fits_broadcast(x, BROADCAST_ROWS) else x
+    left = docs.join(small(gone), match, "left_anti")
+    once = left.join(small(twice), match, "left_anti")
+    return once.unionByName(left.join(small(twice), match, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from answerloom.llm.texts import bounded_batches, ids_crc32, table, utf8, words
+from answerloom.llm.texts import bounded_batches, ids_crc32, remembers, table, utf8, words
 from answerloom.session import stage
 
 CAPACITY = 2048
@@ -116,6 +116,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+remembers(word_ids.cache_clear)
+
+
 def _pieces(batches, path: str | None, capacity: int, keep_ids: bool):
     encoder = word_ids(path or public_tokenizer())
     for batch in batches:

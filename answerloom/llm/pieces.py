@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerloom.llm.texts import bounded_batches, strings, table
+from answerloom.llm.texts import bounded_batches, remembers, strings, table
 
 SPACE = "▁"
 WORDS_HELD = 400_000
@@ -226,6 +226,9 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+remembers(piece_model.cache_clear)
+
+
 def _replaced(batch: pa.RecordBatch, kept: list[int], name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.record_batch(
         [*(batch.column(k) for k in kept), values], names=[*(batch.schema.names[k] for k in kept), name]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions.skew import fits_broadcast, salted_join
-from answerloom.llm.texts import table
+from answerloom.llm.texts import free_name, table
 from answerloom.session import stage
 
 WINDOW = 5
@@ -162,16 +162,17 @@ def removed_words(docs: DataFrame, **limits) -> DataFrame:
 
 def without_lines(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """``docs`` with the lines ``hits`` (row, pos) taken out of ``text``; all columns and all rows stay."""
-    gone = stage(hits.groupBy("row").agg(F.collect_set("pos").alias("_gone")), "gone-lines")
-    numbers = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
+    name = free_name(docs, "_gone")
+    gone = stage(hits.groupBy("row").agg(F.collect_set("pos").alias(name)), "gone-lines")
+    numbers = gone.agg(F.sum(F.size(name))).first()[0] or 0
     if numbers <= BROADCAST_ROWS and fits_broadcast(gone, BROADCAST_ROWS):
         gone = F.broadcast(gone)
     joined = docs.join(gone, row_hash() == gone["row"], "left").drop(gone["row"])
     kept = _let(
         F.split("text", "\n"),
-        lambda lines: F.array_join(F.filter(lines, lambda x, k: ~F.array_contains("_gone", k)), "\n"),
+        lambda lines: F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(name, k)), "\n"),
     )
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(kept)
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,29 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(BATCH_CONF, str(rows))
 
 
+_remembered: list[Callable[[], None]] = []
+
+
+def remembers(empty: Callable[[], None]) -> None:
+    """Register how to empty what a module keeps in a Python worker between tasks."""
+    _remembered.append(empty)
+
+
+def forget() -> None:
+    """Workers serve one operator after another: empty what others have kept, and give free memory back."""
+    for empty in _remembered:
+        empty()
+    pa.default_memory_pool().release_unused()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it unlike all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,12 +98,5 @@ def keep_share(key: Column, share: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)
 
 
-def folded_counts(parts: Iterable[np.ndarray], size: int) -> np.ndarray:
-    total = np.zeros(size, np.int64)
-    for x in parts:
-        total += np.bincount(x, minlength=size)
-    return total
-
-
 def ids_crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from answerloom.llm import lm_score, quality
+from answerloom.llm import lm_score, ngram_join, quality
 
 
 def vocabulary_text(rng, n):
@@ -82,3 +82,25 @@ def test_quality_takes_frequent_lines_out(spark):
     assert got == want
     kept = quality.filter_quality(docs)
     assert kept.columns == docs.columns and {r.doc_id: r.text for r in kept.collect()} == {k: v[0] for k, v in want.items()}
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    rng = random.Random(5)
+    texts = [" ".join(vocabulary_text(rng, 60)) for _ in range(12)]
+    rows = [(k, x + "\nsame line in all of them", "en", "host", len(x), f"g{k}", f"b{k}", f"l{k}", f"i{k}", f"h{k}") for k, x in enumerate(texts)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, _gone string, _before string, _lid_lang string, _id string, _hash string"
+    docs = spark.createDataFrame(rows, names)
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.apply_quality_rules, corpus_pipeline.keep_one_of_each):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        assert sorted(tuple(r)[5:] for r in got.collect()) == sorted(r[5:] for r in rows)
+
+
+def test_one_of_each_drops_copies_and_repeated_rows_only(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(vocabulary_text(rng, 50)) for _ in range(2))
+    rows = [(3, a), (1, a), (1, a), (None, a), (2, b), (2, b), (None, b), (None, None), (4, None), (4, ""), (4, ""), (5, b + " x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.one_of_each(docs, 5, 80).collect()
+    want = [(1, a), (2, b), (None, None), (4, None), (4, ""), (4, "")]
+    assert collections.Counter(map(tuple, kept)) == collections.Counter(want)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.llm import language, line_dedup, ngram_join, packing, quality
+from answerloom.llm.texts import free_name
 from answerloom.session import stage
 
 MIN_LANGUAGE_SCORE = 0.5
@@ -24,8 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the word rules or consist of lines all over their host go; from the others such lines are
     taken out, and ``n_chars`` follows the text where it changes."""
-    left = quality.filter_quality(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
+    before = free_name(docs, "_before")
+    left = quality.filter_quality(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
     size = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", size).select(*docs.columns)
 

@@ -590,7 +590,9 @@ ORACLE["dense_topk_ann"] = f"with {EXACT}, {ANN}, {ranked('near_dots', 5, 'appro
 ORACLE["ann_recall"] = f"""
   with {EXACT}, {ANN}, {ranked('near_dots', 5, 'approx')},
   j as (select exact.q, approx.uid as hit from exact left join approx using (q, uid))
-  select count(*) as pairs, count(hit) as found, {round6('count(hit) / count(*)')} as recall from j"""
+  select count(*) as pairs, count(hit) as found, {round6('count(hit) / count(*)')} as recall,
+    (select count(*) from near) as candidates, (select count(*) * count(*) from vecs) as all_pairs from j"""
+ORACLE["dense_topk_stored"] = ORACLE["dense_topk_ann"]
 TITLED = f"""{windows(200)},
   units as (select uid, source || ' ' || content as content from passages)"""
 DIM = "('0x' || substr(md5(t), 1, 2))::int"

@@ -514,9 +514,23 @@ def dense_topk_ann(spark, d):
     return dense.dense_topk_ann(units.withColumnRenamed("uid", "q"), units)
 
 
+@query
+def dense_topk_stored(spark, d):
+    """The approximate search from stored lists."""
+    units = _vectors(spark, d)
+    path = staged_path(spark, "inverted")
+    dense.write_inverted(units, path)
+    return dense.dense_topk_stored(units.withColumnRenamed("uid", "q"), path)
+
+
 @query
 def ann_recall(spark, d):
-    return dense.recall_at_k(dense_topk_exact(spark, d), dense_topk_ann(spark, d))
+    """Recall beside the share of all pairs that were scored for it."""
+    units = _vectors(spark, d)
+    found = dense.recall_at_k(dense_topk_exact(spark, d), dense_topk_ann(spark, d))
+    scored = dense.candidate_pairs(units.withColumnRenamed("uid", "q"), units)
+    everything = units.agg((F.count("*") * F.count("*")).alias("all_pairs"))
+    return found.join(scored, F.lit(True)).join(everything, F.lit(True))
 
 
 def _titled_passages(spark, d):

@@ -213,6 +213,7 @@ ORACLE["keywords"] = f"""
 
 ORACLE["bm25_topk"] = f"with {DOC_BM25} select q, uid, score, rank from hits"
 ORACLE["bm25_topk_stored"] = ORACLE["bm25_topk"]
+ORACLE["bm25_topk_pruned"] = ORACLE["bm25_topk"]
 ORACLE["tfidf_topk"] = f"""
   with {ITEMS}, {DOC_INDEX}, {TFIDF}, {TFIDF_SCORES}, {ranked('cosine', 5, 'hits')}
   select q, uid, score, rank from hits"""

@@ -17,6 +17,7 @@ from answerloom.operators import (
     embed,
     generate,
     labels,
+    postings,
     read,
     reader_metrics,
     reports,
@@ -179,6 +180,14 @@ def bm25_topk_stored(spark, d):
     return sparse.bm25_topk_stored(T.items(spark, d), path, 5)
 
 
+@query
+def bm25_topk_pruned(spark, d):
+    """Stored postings again, reading only blocks whose score bound can still reach the best five."""
+    path = staged_path(spark, "blocks")
+    postings.write_blocks(T.document_units(spark, d), path)
+    return postings.bm25_topk_pruned(T.items(spark, d), path, 5)
+
+
 @query
 def tfidf_topk(spark, d):
     return sparse.tfidf_topk(T.items(spark, d), T.document_units(spark, d), 5)

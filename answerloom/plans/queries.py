@@ -32,7 +32,7 @@ from answerloom.operators import (
 from answerloom.plans import tables as T
 from answerloom.plans.pipeline import Pipeline
 from answerloom.session import stage, staged_path
-from answerloom.sources import index, results, runlog, squad, tabular
+from answerloom.sources import changes, index, results, runlog, squad, tabular
 from answerloom.streaming import upload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,23 +752,22 @@ def index_write(spark, d):
 
 @query
 def index_upsert(spark, d):
-    """Passages of 200 words, overwritten where English by their first 100 characters."""
-    path = staged_path(spark, "docs")
+    """Passages of 200 words, overwritten where English by their first 100 characters, read back as written."""
     rows = T.passages(spark, d)
-    index.write_index(rows.select(F.col("uid").alias("id"), "content"), path)
-    new = rows.where(F.col("lang") == "en").select(F.col("uid").alias("id"), clean.preview(F.col("content")).alias("content"))
-    return index.upsert(spark.read.parquet(path), new)
+    docs = changes.WrittenIndex.create(rows.select(F.col("uid").alias("id"), "content"), staged_path(spark, "docs"), "id")
+    docs.upsert(rows.where(F.col("lang") == "en").select(F.col("uid").alias("id"), clean.preview(F.col("content")).alias("content")))
+    return docs.read()
 
 
 @query
 def index_delete(spark, d):
-    path, cleared = staged_path(spark, "docs"), staged_path(spark, "docs")
+    """One index without its German documents, one cleared; both read back as written, the first also compacted."""
     rows = T.documents(spark, d).select("doc_id", "lang")
-    index.write_index(rows, path)
-    index.write_index(rows, cleared)
-    index.delete_documents(spark, cleared)
-    left = index.remaining(spark.read.parquet(path), F.col("lang") == "de")
-    return left.unionByName(spark.read.parquet(cleared))
+    docs, cleared = (changes.WrittenIndex.create(rows, staged_path(spark, "docs"), "doc_id") for _ in range(2))
+    docs.delete(F.col("lang") == "de")
+    docs.compact()
+    cleared.clear()
+    return docs.read().unionByName(cleared.read())
 
 
 @query

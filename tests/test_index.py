@@ -2,7 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from answerloom.operators import postings, sparse
+from answerloom.sources import changes
 
 
 def test_pruned_search_ranks_as_the_whole_one(spark, tmp_path):
@@ -24,3 +28,46 @@ def test_pruned_search_ranks_as_the_whole_one(spark, tmp_path):
     assert postings.bm25_topk_pruned(queries.limit(0), path).count() == 0
     postings.write_blocks(units.limit(0), str(tmp_path / "none"))
     assert postings.bm25_topk_pruned(queries, str(tmp_path / "none")).count() == 0
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_written_changes_are_merged_on_read(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (3, "c", 3.0), (None, "n", 0.0)], "id int, content string, x double")
+    index = changes.WrittenIndex.create(base, str(tmp_path / "i"), "id")
+    new = spark.createDataFrame([(2, "b2", 1), (2, "b3", 2), (4, "d", 1), (None, "m", 1)], "id int, content string, at int")
+    index.upsert(new, order="at")
+    want = [(1, "a", 1.0), (2, "b3", None), (3, "c", 3.0), (4, "d", None), (None, "m", None)]
+    assert rows_of(index.read()) == sorted(want, key=str)
+    index.delete((F.col("content") == "a") | F.col("id").isNull())
+    index.upsert(spark.createDataFrame([(3, "c9", 9.0)], "id int, content string, x double"))
+    left = [(2, "b3", None), (3, "c9", 9.0), (4, "d", None)]
+    assert rows_of(index.read()) == left
+    # a deleted key can come back, and versions before stay readable
+    index.upsert(spark.createDataFrame([(1, "again", 1.0)], "id int, content string, x double"))
+    assert rows_of(index.read()) == [(1, "again", 1.0), *left]
+    index.compact()
+    assert index.manifest()["changes"] == [] and rows_of(index.read()) == [(1, "again", 1.0), *left]
+    assert rows_of(index.read(1)) == sorted(want, key=str)
+    index.clear()
+    assert index.read().count() == 0 and index.read().schema == base.schema
+    assert index.versions() == list(range(7))
+
+
+def test_failed_and_concurrent_changes_leave_the_state(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a")], "id int, content string")
+    index = changes.WrittenIndex.create(base, str(tmp_path / "i"), "id")
+    broken = base.select("id", F.raise_error(F.lit("no")).cast("string").alias("content"))
+    with pytest.raises(Exception):
+        index.upsert(broken)
+    with pytest.raises(Exception):
+        index.delete(F.raise_error(F.lit("no")).cast("boolean"))
+    assert index.versions() == [0] and rows_of(index.read()) == [(1, "a")]
+    other = changes.WrittenIndex(spark, str(tmp_path / "i"))
+    manifest = other.manifest()
+    index.upsert(spark.createDataFrame([(2, "b")], "id int, content string"))
+    with pytest.raises(changes.ConcurrentChange):
+        other._commit(manifest, 0)
+    assert rows_of(other.read()) == [(1, "a"), (2, "b")]

@@ -421,8 +421,7 @@ NONE_READ = f"""{READ},
 ORACLE["no_answer"] = f"with {NONE_READ} select * from none_read"
 ORACLE["extractive_qa"] = f"""
   with {NONE_READ} select q, rank, uid, none_read.answer, score, query from none_read join items using (q)"""
-ORACLE["reader_eval"] = f"""
-  with {NONE_READ}, {LABELS}, {overlap('none_read', 'labels_')},
+READER_EVAL = f"""{overlap('none_read', 'labels_')},
   {best('scored', 'labels_', 'top1', 1)}, {best('scored', 'labels_', 'top4', 4)},
   kinds as (select q, max((answer <> '')::int) as has_text from labels_ group by q),
   j as (select q, has_text, top4.em, top4.f1, top1.em as em1, top1.f1 as f11
@@ -433,6 +432,7 @@ ORACLE["reader_eval"] = f"""
   {" union all ".join(f"select '{name}' as metric, {round6(col + ' * 100')} as value from m" for name, col in [
       ("top_n_accuracy", "a"), ("EM", "b"), ("f1", "c"), ("top_n_accuracy_text_answer", "d"),
       ("top_n_EM_text_answer", "e"), ("top_n_f1_text_answer", "f")])}"""
+ORACLE["reader_eval"] = f"with {NONE_READ}, {LABELS}, {READER_EVAL}"
 FROM_RETRIEVED = f"""{RETRIEVED}, {WORD_DF},
   once as (select uid, any_value(content) as content from retrieved group by uid),
   whole as (
@@ -681,6 +681,46 @@ ORACLE["squad_labels"] = f"""
     select l.id, p.split_id, l.at - p.first_char as start from lab l join sqp p using (context_id)
     where l.at >= p.first_char and l.at + length(l.answer) <= p.first_char + length(p.content))
   select id, question, answer, context_id, split_id, start::int as start from lab left join hit using (id)"""
+SQUAD_GOLD = f"""{SQUAD_PASSAGES},
+  lab as (
+    select id, question, md5(context) as context_id, {squeeze('answer')} as answer,
+      length({squeeze('before')}) + case when regexp_matches(before, '\\s$') and {squeeze('before')} <> '' then 1 else 0 end as at
+    from (select *, substring(context, 1, instr(context, answer) - 1) as before from sq where answer is not null)),
+  placed_ as (
+    select l.id, p.context_id || '-' || p.split_id as uid from lab l join sqp p using (context_id)
+    where l.at >= p.first_char and l.at + length(l.answer) <= p.first_char + length(p.content)),
+  labels_ as (
+    select id as q, question as query, answer, uid from lab left join placed_ using (id)
+    union all select id, question, '', null from sq where answer is null),
+  items as (select distinct q, query from labels_),
+  units as (select context_id || '-' || split_id as uid, content from sqp),
+  sqdocs as (select uid as doc_id, content as text from units),
+  {WORD_DF.replace("from documents", "from sqdocs")}"""
+ORACLE["squad_eval"] = f"""
+  with {SQUAD_GOLD}, {INDEX}, {BM25}, {ranked('bm', 5, 'hits')},
+  retrieved as (select hits.*, content, query from hits join units using (uid) join items using (q)),
+  {spans()}, answered as (select * from labels_ where answer <> ''),
+  rel as (
+    select r.q, r.rank, max(case when contains(r.content, l.answer) then 1 else 0 end) as rel
+    from retrieved r join answered l using (q) group by r.q, r.rank), {per_query()},
+  gold as (select distinct q, uid from answered where uid is not null),
+  multi as (
+    select q, avg(case when (q, uid) in (select (q, uid) from hits) then 1.0::double else 0 end) as recall_multi_hit
+    from gold group by q),
+  {overlap('read_', 'answered')}, {best('scored', 'answered', 'best')}
+  select 'Retriever' as node, * from ({long_metrics('per_query', FOUR)} union all {long_metrics('multi', ['recall_multi_hit'])})
+  union all select 'Reader', * from ({reader_values('best')})"""
+ORACLE["squad_reader_eval"] = f"""
+  with {SQUAD_GOLD},
+  given as (select distinct q, query, uid, content from labels_ join units using (uid)),
+  {spans('given')},
+  with_none as (
+    select q, uid, sent, answer, start, score from spans
+    union all select q, null, null, null, null, 6.5::double from items),
+  none_read as (select * from (
+      select *, row_number() over (partition by q order by score desc, uid nulls last, sent nulls last)::int as rank
+      from with_none) where rank <= 4),
+  {READER_EVAL}"""
 ORACLE["question_list"] = f"with {DIALOGUE} select {squeeze('question')} as question from dialogue"
 
 

@@ -687,7 +687,7 @@ def squad_roundtrip(spark, d):
 
 @query
 def squad_passages(spark, d):
-    return squad.squad_passages(_squad(spark, d), 50)
+    return squad.squad_passages(_squad(spark, d), 50).drop("raw", "raw_start")
 
 
 @query
@@ -696,6 +696,44 @@ def squad_labels(spark, d):
     return squad.squad_labels(rows, squad.squad_passages(rows, 50))
 
 
+def _squad_gold(spark, d):
+    """(labels, passages) of the written file: contexts cut to 50 words, answers placed in them."""
+    path = staged_path(spark, "squad")
+    squad.write_squad(T.squad_pairs(spark, d), path)
+    rows = squad.paragraphs(spark, path)
+    cut = stage(squad.squad_passages(rows, 50), "squad-passages")
+    units = cut.select(F.concat_ws("-", "context_id", "split_id").alias("uid"), "content")
+    return stage(squad.evaluation_labels(squad.answers(rows), cut), "squad-gold"), units
+
+
+def _squad_idf(queries, units):
+    return read.query_idf(queries, units.select(F.col("uid").alias("doc_id"), F.col("content").alias("text")))
+
+
+@query
+def squad_eval(spark, d):
+    """A SQuAD file end to end: passages and labels from it, its questions asked, both nodes scored."""
+    gold, units = _squad_gold(spark, d)
+    queries = gold.select("q", "query").distinct()
+    hits = stage(sparse.bm25_topk(queries, units), "hits")
+    retrieved = stage(hits.join(units, "uid").join(queries, "q"), "retrieved")
+    answers = stage(read.extract_answers(retrieved, _squad_idf(queries, units)), "read")
+    node = lambda name, rows: rows.select(F.lit(name).alias("node"), "metric", "value")
+    retriever = _retriever_metrics(hits.select("q", "uid", "rank"), retrieved, gold)
+    return node("Retriever", retriever).unionByName(node("Reader", _reader_metrics(answers, gold)))
+
+
+@query
+def squad_reader_eval(spark, d):
+    """The reader alone on a SQuAD file: it reads the passage of each label; questions without one have no answer."""
+    gold, units = _squad_gold(spark, d)
+    queries = gold.select("q", "query").distinct()
+    given = stage(gold.select("q", "query", "uid").distinct().join(units, "uid"), "given")
+    spans = read.candidate_spans(given, _squad_idf(queries, units))
+    answers = stage(read.with_no_answer(spans, queries.select("q"), NO_ANSWER_SCORE, 0.5), "read")
+    return reader_metrics.reader_eval(_scored_predictions(answers, gold), gold)
+
+
 @query
 def question_list(spark, d):
     path = staged_path(spark, "questions")

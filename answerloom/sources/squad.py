@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from answerloom.functions.skew import salted_join
-from answerloom.functions.text import let, words
-from answerloom.operators.split import split_words
+from answerloom.functions.text import each, let, words
 
 SCHEMA = """
   version string,
@@ -20,6 +19,9 @@ SCHEMA = """
 # Questions written under one paragraph; a context with more gets further paragraphs.
 QUESTIONS_PER_PARAGRAPH = 1000
 
+# Characters of a context that are one key of the join of answers with passages.
+BIN = 1024
+
 
 def read_squad(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """(title, document_id, context, id, question, is_impossible, answer, answer_start), one row per answer.
@@ -42,19 +44,49 @@ def read_squad(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     )
 
 
+def paragraphs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(title, document_id, context_id, context, qas), one row per paragraph: a context is read and hashed once, however many
+    questions are asked on it."""
+    raw = spark.read.schema(SCHEMA).option("multiLine", multi_line).json(path)
+    rows = raw.select(F.explode("data").alias("d")).select("d.title", F.explode("d.paragraphs").alias("p"))
+    return rows.select("title", "p.document_id", F.md5(F.col("p.context").cast("binary")).alias("context_id"), "p.context", "p.qas")
+
+
+def answers(rows: DataFrame) -> DataFrame:
+    """(context_id, id, question, answer, answer_start) of ``paragraphs``; a null answer where there is none. Contexts do
+    not travel with the answers."""
+    asked = rows.select("context_id", F.explode("qas").alias("q"))
+    flat = asked.select("context_id", "q.id", "q.question", F.explode_outer("q.answers").alias("a"))
+    return flat.select("context_id", "id", "question", F.col("a.text").alias("answer"), F.col("a.answer_start").alias("answer_start"))
+
+
 def squad_passages(squad: DataFrame, length: int = 200) -> DataFrame:
-    """(context_id, title, split_id, content, first_char): the docs index, contexts cut by words.
+    """(context_id, title, split_id, content, first_char, raw, raw_start): the docs index, contexts cut by words.
 
-    ``first_char`` is where a passage starts in its context once runs of white space count as one space.
+    ``first_char`` is where a passage starts in its context once runs of white space count as one space; ``raw`` is the passage
+    as it stands in the context, from character ``raw_start`` on, with the white space behind it.
     """
-    contexts = squad.groupBy(F.md5(F.col("context").cast("binary")).alias("context_id")).agg(
-        F.min("title").alias("title"), F.first("context").alias("text")
-    )
-    cut = split_words(contexts, length)
-    before = F.sum(F.length("content") + 1).over(
-        Window.partitionBy("context_id").orderBy("split_id").rowsBetween(Window.unboundedPreceding, -1)
+    key = F.col("context_id") if "context_id" in squad.columns else F.md5(F.col("context").cast("binary"))
+    contexts = squad.groupBy(key.alias("context_id")).agg(F.min("title").alias("title"), F.first("context").alias("text"))
+    body = F.regexp_replace("text", r"^\s+", "")
+    # A word with the white space behind it is one token, so tokens add up to the text.
+    pieces = let(
+        F.filter(F.split(body, r"(?<=\s)(?=\S)"), lambda t: t != ""),
+        lambda ts: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.ceil(F.size(ts) / length), F.lit(1)) - 1),
+            lambda p: F.array_join(F.slice(ts, (p * length + 1).cast("int"), F.lit(length)), ""),
+        ),
+    )
+    cut = each(
+        contexts.withColumn("lead", F.length("text") - F.length(body)), ["context_id", "title", "lead"], pieces, "raw", "split_id"
+    ).where(F.col("raw") != "")
+    cut = cut.withColumn("content", F.array_join(words(F.col("raw")), " "))
+    earlier = Window.partitionBy("context_id").orderBy("split_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda size: F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("int")
+    return cut.select(
+        "context_id", "title", "split_id", "content", before(F.length("content") + 1).alias("first_char"), "raw",
+        (F.col("lead") + before(F.length("raw"))).alias("raw_start"),
     )
-    return cut.withColumn("first_char", F.coalesce(before, F.lit(0)).cast("int"))
 
 
 def spaced_offset(context: Column, start: Column) -> Column:
@@ -66,28 +98,39 @@ def spaced_offset(context: Column, start: Column) -> Column:
     )
 
 
-def squad_labels(squad: DataFrame, passages: DataFrame) -> DataFrame:
-    """(id, question, answer, context_id, split_id, start): answers with offsets in their passage.
+def place_answers(answers: DataFrame, passages: DataFrame) -> DataFrame:
+    """(context_id, id, question, answer, split_id, start): the passage that holds an answer as a whole, and where.
 
-    An answer cut by a passage border gets no passage and no offset. A context holds few passages but may hold
-    very many answers, so the answers are the salted side.
+    An interval join: passages are listed under the stretches of ``BIN`` characters that they touch, an answer under the one it
+    starts in. So an answer meets the few passages around it, and a context with very many of both takes time in
+    proportion. An answer cut by a passage border gets no passage and no offset.
     """
-    labels = squad.where(F.col("answer").isNotNull()).select(
-        "id", "question",
-        F.md5(F.col("context").cast("binary")).alias("context_id"),
-        F.array_join(words(F.col("answer")), " ").alias("answer"),
-        spaced_offset(F.col("context"), F.col("answer_start")).alias("at"),
+    text = F.array_join(words(F.col("answer")), " ")
+    at = F.col("answer_start") + F.length("answer") - F.length(F.regexp_replace("answer", r"^\s+", ""))
+    found = answers.where(F.col("answer").isNotNull()).select(
+        "context_id", "id", "question", text.alias("answer"), at.cast("int").alias("at")
     ).distinct()
-    inside = (F.col("at") >= F.col("first_char")) & (
-        F.col("at") + F.length("answer") <= F.col("first_char") + F.length("content")
-    )
-    placed = salted_join(
-        labels, passages.select("context_id", "split_id", "first_char", "content"), ["context_id"], ["id", "at"]
-    )
-    hit = F.min(F.when(inside, F.struct("split_id", (F.col("at") - F.col("first_char")).alias("start"))))
-    return placed.groupBy("id", "question", "answer", "context_id", "at").agg(hit.alias("h")).select(
-        "id", "question", "answer", "context_id", "h.split_id", "h.start"
+    found = found.withColumn("bin", F.floor(F.col("at") / BIN).cast("int"))
+    last = F.col("raw_start") + F.length("raw") - 1
+    listed = passages.select(
+        "context_id", "split_id", "raw", "raw_start",
+        F.explode(F.sequence(F.floor(F.col("raw_start") / BIN).cast("int"), F.floor(last / BIN).cast("int"))).alias("bin"),
     )
+    met = salted_join(found, listed, ["context_id", "bin"], ["id", "at"], how="left")
+    here = F.col("at") - F.col("raw_start")
+    start = spaced_offset(F.col("raw"), here)
+    inside = (here >= 0) & (here < F.length("raw")) & (start + F.length("answer") <= F.length(F.array_join(words(F.col("raw")), " ")))
+    hit = F.min(F.when(inside, F.struct("split_id", start.alias("start"))))
+    keys = ["context_id", "id", "question", "answer"]
+    return met.groupBy(*keys, "at").agg(hit.alias("h")).select(*keys, "h.split_id", "h.start")
+
+
+def squad_labels(squad: DataFrame, passages: DataFrame) -> DataFrame:
+    """(id, question, answer, context_id, split_id, start): answers with offsets in their passage."""
+    if "context_id" not in squad.columns:
+        squad = squad.withColumn("context_id", F.md5(F.col("context").cast("binary")))
+    placed = place_answers(squad.where("id is not null"), passages)
+    return placed.select("id", "question", "answer", "context_id", "split_id", "start")
 
 
 def evaluation_labels(squad: DataFrame, passages: DataFrame) -> DataFrame:

@@ -326,3 +326,29 @@ def test_squad_distractors_and_impossible_questions(spark, tmp_path):
     squad.write_squad(read, str(tmp_path / "out"))
     back = squad.read_squad(spark, str(tmp_path / "out"))
     assert back.select("context").distinct().count() == 2 and back.where("id is not null").count() == 2
+
+
+def test_answers_of_one_long_context_are_placed_in_linear_time(spark):
+    words = [f"w{k}" + "  " * (k % 3 == 0) for k in range(30_000)]
+    starts, text = [], "  "
+    for w in words:
+        starts.append(len(text))
+        text += w + " "
+    picked = [(k, 2) for k in range(0, 29_997, 4)]
+    qas = [
+        (f"i{k}", f"q{k}", False, [{"text": text[starts[k] : starts[k + n]].rstrip(), "answer_start": starts[k]}]) for k, n in picked
+    ]
+    schema = "title string, document_id bigint, context_id string, context string, qas array<struct<id string, question string, is_impossible boolean, answers array<struct<text string, answer_start int>>>>"
+    rows = spark.createDataFrame([("t", 1, "c", text, qas)], schema)
+    cut = squad.squad_passages(rows, 3)
+    plain = " ".join(text.split())
+    for r in cut.orderBy("split_id").limit(50).collect():
+        assert r.raw == text[r.raw_start :][: len(r.raw)] and plain[r.first_char :].startswith(r.content)
+    got = {r.id: (r.split_id, r.start, r.answer) for r in squad.squad_labels(squad.answers(rows), cut).collect()}
+    assert len(got) == len(picked)
+    for k, n in picked:
+        answer = " ".join(w.strip() for w in words[k : k + n])
+        split, at = k // 3, k % 3
+        inside = at + n <= 3
+        want = (split, len(" ".join(w.strip() for w in words[3 * split : k])) + (at > 0), answer) if inside else (None, None, answer)
+        assert got[f"i{k}"] == want

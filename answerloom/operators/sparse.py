@@ -106,12 +106,13 @@ def bm25_topk(queries: DataFrame, units: DataFrame, k: int = 5, k1: float = K1,
     return top_k(bm25_scores(queries, units, k1, b), ["q"], [F.desc("score"), F.asc("uid")], k)
 
 
-def query_tfidf(queries: DataFrame, units: DataFrame, frequencies: DataFrame, fits: bool) -> DataFrame:
+def query_tfidf(queries: DataFrame, units: DataFrame | int, frequencies: DataFrame, fits: bool) -> DataFrame:
     """(q, t, wq): query weights with the statistics of the indexed units, scaled to length one.
 
-    The vocabulary is first cut to the terms asked for; ``fits`` says whether those are few.
+    The vocabulary is first cut to the terms asked for; ``fits`` says whether those are few. ``units`` are the units or
+    how many there are.
     """
-    n = units.agg(F.count("*")).scalar()
+    n = F.lit(units) if isinstance(units, int) else units.agg(F.count("*")).scalar()
     counts = each(queries, ["q"], tokens(F.col("query")), "t").groupBy("q", "t").agg(F.count("*").alias("tf"))
     vocabulary = counts.select("t").distinct()
     known = frequencies.join(F.broadcast(vocabulary) if fits else vocabulary, "t", "left_semi")
@@ -139,8 +140,10 @@ def tfidf_topk(queries: DataFrame, units: DataFrame, k: int = 5) -> DataFrame:
     return top_k(tfidf_scores(queries, units), ["q"], [F.desc("score"), F.asc("uid")], k)
 
 
-def rerank(queries: DataFrame, units: DataFrame, pool: int = 50, k: int = 5) -> DataFrame:
-    """BM25 picks ``pool`` candidates per query, TF-IDF cosine orders them."""
+def rerank(
+    queries: DataFrame, units: DataFrame, pool: int = 50, k: int = 5, scores: DataFrame | None = None
+) -> DataFrame:
+    """BM25 picks ``pool`` candidates per query, TF-IDF cosine (``scores`` if given) orders them."""
     candidates = bm25_topk(queries, units, pool).select("q", "uid", F.col("rank").alias("first_rank"))
-    scored = tfidf_scores(queries, units).join(candidates, ["q", "uid"])
+    scored = (tfidf_scores(queries, units) if scores is None else scores).join(candidates, ["q", "uid"])
     return top_k(scored, ["q"], [F.desc("score"), F.asc("uid")], k)

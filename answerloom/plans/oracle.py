@@ -217,6 +217,7 @@ ORACLE["bm25_topk_pruned"] = ORACLE["bm25_topk"]
 ORACLE["tfidf_topk"] = f"""
   with {ITEMS}, {DOC_INDEX}, {TFIDF}, {TFIDF_SCORES}, {ranked('cosine', 5, 'hits')}
   select q, uid, score, rank from hits"""
+ORACLE["tfidf_topk_added"] = ORACLE["tfidf_topk"]
 ORACLE["rerank"] = f"""
   with {ITEMS}, {DOC_INDEX}, {BM25}, {ranked('bm', 50, 'pool')}, {TFIDF}, {TFIDF_SCORES},
   both_ as (select cosine.*, pool.rank as first_rank from cosine join pool using (q, uid)),

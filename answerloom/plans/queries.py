@@ -27,12 +27,13 @@ from answerloom.operators import (
     sparse,
     split,
     terms,
+    tfidf_store,
     training,
 )
 from answerloom.plans import tables as T
 from answerloom.plans.pipeline import Pipeline
 from answerloom.session import stage, staged_path
-from answerloom.sources import changes, index, results, runlog, squad, tabular
+from answerloom.sources import changes, index, results, runlog, squad, tabular, vectors
 from answerloom.streaming import upload
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,14 +189,29 @@ def bm25_topk_pruned(spark, d):
     return postings.bm25_topk_pruned(T.items(spark, d), path, 5)
 
 
+def _tfidf_store(spark, d):
+    return tfidf_store.TfidfStore.create(T.document_units(spark, d), staged_path(spark, "counts"))
+
+
 @query
 def tfidf_topk(spark, d):
-    return sparse.tfidf_topk(T.items(spark, d), T.document_units(spark, d), 5)
+    return _tfidf_store(spark, d).topk(T.items(spark, d), 5)
+
+
+@query
+def tfidf_topk_added(spark, d):
+    """The same corpus stored in two additions: first what is English, then the rest."""
+    docs, english = T.documents(spark, d), F.col("lang").eqNullSafe("en")
+    units = lambda rows: rows.select(F.col("doc_id").alias("uid"), F.col("text").alias("content"))
+    store = tfidf_store.TfidfStore.create(units(docs.where(english)), staged_path(spark, "counts"))
+    store.add(units(docs.where(~english)))
+    return store.topk(T.items(spark, d), 5)
 
 
 @query
 def rerank(spark, d):
-    return sparse.rerank(T.items(spark, d), T.document_units(spark, d))
+    queries = T.items(spark, d)
+    return sparse.rerank(queries, T.document_units(spark, d), scores=_tfidf_store(spark, d).scores(queries))
 
 
 def _passage_hits(spark, d, k=5):
@@ -563,15 +579,18 @@ def update_embeddings(spark, d):
 
 @query
 def dense_topk_dual(spark, d):
-    """Queries and passages have encoders of their own: passages carry a title, queries take the passages' weights."""
+    """Queries and passages have encoders of their own: passages carry a title and are encoded once, into a store; queries
+    take the passages' weights."""
     passages = _titled_passages(spark, d)
     queries = T.items(spark, d).select("q", "query")
-    counts = terms.term_counts(passages, ["uid"], "content")
-    asked = sparse.query_tfidf(
-        queries, passages, terms.document_frequency(counts), fits_broadcast(sparse.query_terms(queries))
-    )
+    frequencies = stage(terms.document_frequency(terms.term_counts(passages, ["uid"], "content")), "frequencies")
+    n = passages.count()
+    store = vectors.VectorStore(spark, staged_path(spark, "vectors"))
+    version = f"tfidf-{embed.DIMENSIONS}-{n}-{frequencies.agg(F.bit_xor(F.xxhash64('t', 'df'))).first()[0]}"
+    store.fill(passages, embed.frozen_encoder(frequencies, n), version)
+    asked = sparse.query_tfidf(queries, n, frequencies, fits_broadcast(sparse.query_terms(queries)))
     q_vectors = embed.dense_vectors(embed.hashed_components(asked, "q", "wq"), "q")
-    return dense.dense_topk_exact(q_vectors, _encode(passages))
+    return dense.dense_topk_exact(q_vectors, store.vectors(passages, version))
 
 
 @query
@@ -596,7 +615,7 @@ def custom_node(spark, d):
 
 def _two_branches(spark, d):
     queries, units = T.items(spark, d), T.document_units(spark, d)
-    return sparse.bm25_topk(queries, units), sparse.tfidf_topk(queries, units)
+    return sparse.bm25_topk(queries, units), _tfidf_store(spark, d).topk(queries)
 
 
 @query

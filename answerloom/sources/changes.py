@@ -12,25 +12,16 @@ A null key is a key like any other. A base may hold several rows of one key (the
 from __future__ import annotations
 
 import json
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from answerloom.sources.index import upsert
+from answerloom.sources.manifest import Versioned
 
-MANIFESTS = "_manifests"
-
-
-class ConcurrentChange(RuntimeError):
-    """Somebody else has written the same version first; read again and repeat."""
-
-
-class WrittenIndex:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
 
+class WrittenIndex(Versioned):
     @classmethod
     def create(cls, rows: DataFrame, path: str, key: str) -> WrittenIndex:
         """A new index with ``rows``, or a new first state of an index that is there."""
@@ -38,43 +29,6 @@ class WrittenIndex:
         self._replace(rows, key)
         return self
 
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
-
-    def versions(self) -> list[int]:
-        fs, folder = self._fs(f"{self.path}/{MANIFESTS}")
-        if not fs.exists(folder):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(folder)]
-        return sorted(int(x[:-5]) for x in names if x.endswith(".json") and not x.startswith((".", "_")))
-
-    def manifest(self, version: int | None = None) -> dict:
-        version = self.versions()[-1] if version is None else version
-        lines = self.spark.read.text(f"{self.path}/{MANIFESTS}/{version:012d}.json").collect()
-        return json.loads("\n".join(r.value for r in lines))
-
-    def _commit(self, manifest: dict, after: int) -> int:
-        folder = f"{self.path}/{MANIFESTS}"
-        fs, to = self._fs(f"{folder}/{after + 1:012d}.json")
-        _, aside = self._fs(f"{folder}/_{uuid.uuid4().hex}")
-        out = fs.create(aside, False)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if fs.exists(to) or not fs.rename(aside, to):
-            fs.delete(aside, False)
-            raise ConcurrentChange(f"version {after + 1} of {self.path} is there already")
-        return after + 1
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"part-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{name}")
-        return name
-
-    def _latest(self) -> tuple[int, dict]:
-        version = self.versions()[-1]
-        return version, self.manifest(version)
-
     def _replace(self, rows: DataFrame, key: str) -> None:
         after = (self.versions() or [-1])[-1]
         manifest = {"key": key, "schema": rows.schema.json(), "base": self._write(rows), "changes": []}

@@ -5,8 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.operators import postings, sparse
-from answerloom.sources import changes
+from answerloom.operators import embed, postings, sparse, terms, tfidf_store
+from answerloom.sources import changes, manifest, vectors
 
 
 def test_pruned_search_ranks_as_the_whole_one(spark, tmp_path):
@@ -66,8 +66,56 @@ def test_failed_and_concurrent_changes_leave_the_state(spark, tmp_path):
         index.delete(F.raise_error(F.lit("no")).cast("boolean"))
     assert index.versions() == [0] and rows_of(index.read()) == [(1, "a")]
     other = changes.WrittenIndex(spark, str(tmp_path / "i"))
-    manifest = other.manifest()
+    before = other.manifest()
     index.upsert(spark.createDataFrame([(2, "b")], "id int, content string"))
-    with pytest.raises(changes.ConcurrentChange):
-        other._commit(manifest, 0)
+    with pytest.raises(manifest.ConcurrentChange):
+        other._commit(before, 0)
     assert rows_of(other.read()) == [(1, "a"), (2, "b")]
+
+
+def corpus(rng, n):
+    return [" ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randint(1, 25))) for _ in range(n)]
+
+
+def test_stored_weights_follow_additions_without_rewriting(spark, tmp_path):
+    rng = random.Random(8)
+    texts = corpus(rng, 90) + [None, "", "w1 w1"]
+    units = spark.createDataFrame(list(enumerate(texts)), "uid int, content string")
+    queries = spark.createDataFrame(list(enumerate(corpus(rng, 12) + ["nowhere", ""])), "q int, query string")
+    store = tfidf_store.TfidfStore.create(units.where("uid < 40"), str(tmp_path / "s"))
+    first = store.manifest()
+    one = rows_of(store.topk(queries, 4))
+    assert one == rows_of(sparse.tfidf_topk(queries, units.where("uid < 40"), 4).select("q", "uid", "score", "rank"))
+    store.add(units.where("uid >= 40"))
+    assert rows_of(store.topk(queries, 4)) == rows_of(sparse.tfidf_topk(queries, units, 4).select("q", "uid", "score", "rank"))
+    assert store.manifest()["counts"][:1] == first["counts"]  # what was written of old units stands
+    with pytest.raises(Exception):
+        store.add(units.select(F.col("uid") + 500, F.raise_error(F.lit("no")).cast("string").alias("content")).toDF("uid", "content"))
+    assert store.versions() == [0, 1]
+    assert rows_of(store.topk(queries, 4, version=0)) == one
+
+
+def test_vectors_are_encoded_once_per_content_and_version(spark, tmp_path):
+    rng = random.Random(9)
+    texts = corpus(rng, 20)
+    units = spark.createDataFrame([*enumerate(texts), (50, texts[0]), (51, None)], "uid int, content string")
+    counts = terms.term_counts(units, ["uid"], "content")
+    encode = embed.frozen_encoder(terms.document_frequency(counts), 22)
+    store = vectors.VectorStore(spark, str(tmp_path / "v"))
+    assert store.missing(units, "one").count() == len(set(texts))
+    store.fill(units, encode, "one")
+    assert store.missing(units, "one").count() == 0
+
+    def never(df):
+        raise AssertionError("encoded again")
+
+    store.fill(units, never, "one")
+    got = {r.uid: r.emb for r in store.vectors(units, "one").collect()}
+    want = {r.uid: r.emb for r in encode(units).collect()}
+    assert set(got) == set(range(20)) | {50} and got[50] == got[0]
+    assert all(got[k] == pytest.approx(want[k]) for k in range(20))
+    # a changed text is found, and only that; another version starts anew
+    changed = units.withColumn("content", F.when(F.col("uid") == 3, "quite new words").otherwise(F.col("content")))
+    assert [r.content for r in store.missing(changed, "one").collect()] == ["quite new words"]
+    store.fill(changed, encode, "one")
+    assert store.vectors(changed, "one").count() == 21 and store.missing(changed, "two").count() == 20

@@ -29,6 +29,10 @@ def asks(n_words: Column) -> Column:
     return n_words >= MIN_WORDS
 
 
+# (t, df) of word terms, and the number of documents.
+Statistics = tuple[DataFrame, int]
+
+
 def bounded_sentences(passages: DataFrame) -> DataFrame:
     """Passages whose sentences have at most ``WINDOW_WORDS`` words; longer ones become windows.
 
@@ -64,10 +68,16 @@ def passage_frequencies(passages: DataFrame, frequencies: DataFrame, n_docs: int
     )
 
 
-def with_frequencies(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """Passages with the document frequencies their questions need. Passages without questions drop out."""
+def statistics_of(documents: DataFrame) -> Statistics:
+    return word_document_frequency(documents), documents.count()
+
+
+def with_frequencies(passages: DataFrame, documents: DataFrame | Statistics) -> DataFrame:
+    """Passages with the document frequencies their questions need, of ``documents`` or of a corpus whose statistics are
+    given. Passages without questions drop out."""
     passages = bounded_sentences(passages)
-    stats = passage_frequencies(passages, word_document_frequency(documents), documents.count())
+    frequencies, n_docs = documents if isinstance(documents, tuple) else statistics_of(documents)
+    stats = passage_frequencies(passages, frequencies, n_docs)
     return passages.join(stats, PASSAGE)
 
 
@@ -133,7 +143,7 @@ def questions_of(prepared: Column, stats: Column) -> Column:
     return F.filter(F.transform(prepared, of_sentence), lambda q: q.isNotNull())
 
 
-def generate_questions(passages: DataFrame, documents: DataFrame) -> DataFrame:
+def generate_questions(passages: DataFrame, documents: DataFrame | Statistics) -> DataFrame:
     """(doc_id, split_id, sent, question, answer)."""
     ready = with_frequencies(passages, documents)
     asked = let(prepare(F.col("sentences"), F.col("stats")), lambda p: questions_of(p, F.col("stats")))
@@ -159,7 +169,7 @@ def best_sentence(ids: Column, prepared: Column, stats: Column) -> Column:
     return F.array_max(scored)
 
 
-def generate_pairs(passages: DataFrame, documents: DataFrame) -> DataFrame:
+def generate_pairs(passages: DataFrame, documents: DataFrame | Statistics) -> DataFrame:
     """(doc_id, split_id, sent, question, cloze_answer, answer, answer_sent, answer_start, score).
 
     Everything after the frequency lookup happens inside the row of a passage.

@@ -40,9 +40,9 @@ def candidate_spans(retrieved: DataFrame, idf: DataFrame) -> DataFrame:
     spans = each(retrieved, ["q", "uid", "content"], sentences(F.col("content")), "answer", "sent")
     own = aligned_terms(words(F.col("answer")))
     shared = F.filter("terms", lambda x: F.array_contains(F.col("own"), x["t"]))
+    # A query may be given any number of passages: its spans are dealt over salts, and cut to the best before they meet.
     scored = (
-        spans.withColumn("own", own)
-        .join(idf, "q")
+        salted_join(spans.withColumn("own", own), idf, ["q"], ["uid", "sent"])
         .withColumn(
             "score",
             round6(

@@ -39,6 +39,25 @@ def context_containment(a: Column, b: Column) -> Column:
     )
 
 
+def context_grams(text: Column) -> Column:
+    """The distinct word n-grams of a context, as sorted hashes: made once per context, not once per pair."""
+    return F.array_sort(F.transform(word_ngrams(text, NGRAM), lambda g: F.xxhash64(g)))
+
+
+def context_shares(retrieved: DataFrame, gold: DataFrame) -> DataFrame:
+    """(q, rank, uid, share): each retrieved context beside each gold context of its query.
+
+    A query has at most k retrieved contexts and any number of gold ones, which are dealt over salts. Both sides carry their n-grams
+    as hashes.
+    """
+    x = retrieved.select("q", "rank", context_grams(F.col("content")).alias("x"))
+    y = gold.select("q", "uid", context_grams(F.col("gold_context")).alias("y"))
+    least = F.greatest(F.least(F.size("x"), F.size("y")), F.lit(1))
+    return salted_join(y, x, ["q"], ["uid"]).select(
+        "q", "rank", "uid", (F.size(F.array_intersect("x", "y")) / least).alias("share")
+    )
+
+
 def context_match(a: Column, b: Column) -> Column:
     """Fuzzy match of two contexts; a missing context never matches."""
     return F.coalesce(context_containment(a, b) >= CONTAINMENT, F.lit(False))

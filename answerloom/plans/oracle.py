@@ -452,16 +452,25 @@ def computed_once(sql: str, names: list[str]) -> str:
     return re.sub(rf"\b({'|'.join(names)}) as \(", r"\1 as materialized (", sql)
 
 
+# Numbers stand for questions and units while scores are summed, and only the two best of a question are kept.
 ORACLE["pseudo_labels"] = computed_once(f"""
   with {FROM_RETRIEVED},
-  qs as (select distinct doc_id || ':' || md5(question) as q, question as query from questions),
-  {bm25('qs', 'bq')},
-  pos as (select q, uid as pos_uid, score as pos_score from bq where uid = split_part(q, ':', 1)),
-  neg as (select q, uid as neg_uid, score as neg_score from (
-      select *, row_number() over (partition by q order by score desc, uid) as r
-      from bq where uid <> split_part(q, ':', 1)) where r = 1)
-  select q, pos_uid, pos_score, neg_uid, neg_score, {round6('pos_score - coalesce(neg_score, 0)')} as margin
-  from pos left join neg using (q)""", SHARED_TWICE)
+  qs as (select distinct doc_id || ':' || md5(question) as q, doc_id as made_from, question as query from questions),
+  qn as (select row_number() over (order by query) as qi, query from (select distinct query from qs)),
+  un as (select row_number() over (order by uid) as ui, uid from units),
+  qt as (select qi, unnest(list_distinct({tokens('query')})) as t from qn),
+  parts as (
+    select t, list(ui) as uis, list(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
+      / (tf + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))) as parts
+    from tfs join dfs using (t) join sizes using (uid) join un using (uid), corpus where t in (select t from qt) group by t),
+  bq as (select qi, ui, {round6('sum(part)')} as score
+    from (select qi, unnest(uis) as ui, unnest(parts) as part from qt join parts using (t)) group by qi, ui),
+  two as (select qi, max({{'s': score, 'u': -ui}}, 2) as best from bq group by qi),
+  pos as (select q, qi, made_from as pos_uid, ui as pos_ui, score as pos_score
+    from qs join qn using (query) join un on un.uid = made_from join bq using (qi, ui)),
+  neg as (select q, list_filter(best, lambda b: -b.u <> pos_ui)[1] as b from pos join two using (qi))
+  select q, pos_uid, pos_score, uid as neg_uid, b.s as neg_score, {round6('pos_score - coalesce(b.s, 0)')} as margin
+  from pos left join neg using (q) left join un on un.ui = -b.u""", SHARED_TWICE)
 ORACLE["hard_pairs"] = f"""
   with recursive {PAIRS}
   select pairs.doc_id || '-' || split_id || '-' || pairs.sent as id, question, pairs.answer as wrong_answer, b.s as answer
@@ -765,10 +774,19 @@ ORACLE["index_first"] = f"""
 ORACLE["export_csv"] = f"with {DIALOGUE} select * from dialogue"
 ORACLE["export_json"] = ORACLE["export_csv"]
 ORACLE["eval_save_load"] = f"with {REL}, {per_query()} {long_metrics('per_query', FOUR)}"
+ORACLE["eval_rescored"] = f"""
+  with {scoped('uid').replace(GOLD, f"{GOLD}, {WORD_DF}, {spans()}, {overlap('read_', 'answered')}, {best('scored', 'answered', 'best')}")}
+  select 'Retriever' as node, 'document_id' as scope, metric, value from metrics
+  where answer_scope = 'any' and document_scope = 'document_id'
+  union all select 'Retriever', 'context', metric, value from metrics
+  where answer_scope = 'any' and document_scope = 'context'
+  union all select 'Reader', 'any', metric, value from ({reader_values('best')})"""
 
 # --- tabular analytics and streams ------------------------------------------------------------------
 
 ORACLE["read_limited"] = "select event_id, ts, value from events order by event_id limit 10000"
+ORACLE["read_limited_csv"] = """
+  select least(5000, count(*))::bigint as n_rows, least(5000, count(*))::bigint as n_known from events"""
 ORACLE["lowercase_columns"] = "select event_id, value from events"
 ORACLE["parse_timestamp"] = """
   select event_id, case when event_type <> 'error' then strftime(ts, '%Y-%m-%d %H:%M:%S') end as parsed from events"""
@@ -776,3 +794,4 @@ ORACLE["hour_histogram"] = """
   select h::int as hour, count(event_id) as n from range(24) r(h) left join events on hour(ts) = h group by h"""
 ORACLE["filter_hour"] = "select event_id, event_type from events where hour(ts) = 17"
 ORACLE["upload_stream"] = ORACLE["split_sentences"]
+ORACLE["upload_pairs"] = ORACLE["qa_generation"]

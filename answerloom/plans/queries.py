@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions import ranking as R
 from answerloom.functions import text as X
-from answerloom.functions.skew import fits_broadcast
+from answerloom.functions.skew import fits_broadcast, salted_join
 from answerloom.operators import (
     branches,
     clean,
@@ -396,12 +396,11 @@ def split_train_eval(spark, d):
 
 @query
 def context_match(spark, d):
-    pairs = _retrieved(spark, d).select("q", "rank", "content").join(
-        _gold(spark, d).where(F.col("answer") != "").select("q", "uid", "gold_context"), "q"
+    gold = _gold(spark, d).where(F.col("answer") != "").select("q", "uid", "gold_context")
+    shares = scopes.context_shares(_retrieved(spark, d).select("q", "rank", "content"), gold)
+    return shares.select(
+        "q", "rank", "uid", R.round6(F.col("share")).alias("containment"), (F.col("share") >= scopes.CONTAINMENT).alias("matched")
     )
-    share = scopes.context_containment(F.col("content"), F.col("gold_context"))
-    matched = scopes.context_match(F.col("content"), F.col("gold_context"))
-    return pairs.select("q", "rank", "uid", R.round6(share).alias("containment"), matched.alias("matched"))
 
 
 def _scoped(spark, d, key):
@@ -439,9 +438,8 @@ def scoped_reader_metrics(spark, d):
     gold = _gold(spark, d).where(F.col("answer") != "")
     context = T.passages(spark, d).select("uid", "content")
     found = _read(spark, d).join(context, "uid").select("q", "rank", F.col("uid").alias("doc_key"), "answer", "content")
-    pairs = found.join(
-        gold.select("q", F.col("answer").alias("gold_answer"), F.col("uid").alias("gold_key"), "gold_context"), "q"
-    ).select(
+    gold_rows = gold.select("q", F.col("answer").alias("gold_answer"), F.col("uid").alias("gold_key"), "gold_context")
+    pairs = salted_join(gold_rows, found, ["q"], ["gold_answer", "gold_key"]).select(
         "q", "rank", "gold_key",
         X.normal_answer(F.col("answer")).alias("pred"), X.normal_answer(F.col("gold_answer")).alias("gold"),
         scopes.id_match(F.col("doc_key"), F.col("gold_key")).alias("same_id"),
@@ -480,7 +478,8 @@ def eval_isolated(spark, d):
 @query
 def lexical_similarity(spark, d):
     gold = _labels(spark, d).where(F.col("answer") != "").select("q", F.col("answer").alias("b")).distinct()
-    pairs = _read(spark, d).select("q", "rank", F.col("answer").alias("a")).join(gold, "q").select(
+    read_answers = _read(spark, d).select("q", "rank", F.col("answer").alias("a"))
+    pairs = salted_join(gold, read_answers, ["q"], ["b"]).select(
         F.concat_ws("-", "q", "rank").alias("key"), "a", "b"
     )
     units = T.document_units(spark, d)
@@ -866,6 +865,27 @@ def eval_save_load(spark, d):
     )
 
 
+@query
+def eval_rescored(spark, d):
+    """Both nodes saved as CSV, loaded and scored under other scopes; nothing is predicted again."""
+    path = staged_path(spark, "eval")
+    saved = {
+        "Retriever": ("q bigint, rank int, uid string, content string", _retrieved(spark, d)),
+        "Reader": ("q bigint, rank int, uid string, answer string, score double", _read(spark, d)),
+    }
+    names = {node: [c.split()[0] for c in schema.split(", ")] for node, (schema, _) in saved.items()}
+    results.save_eval({node: rows.select(*names[node]) for node, (_, rows) in saved.items()}, path, "csv")
+    nodes = results.load_eval(spark, path, list(saved), {node: schema for node, (schema, _) in saved.items()})
+    gold = _gold(spark, d)
+    pairs = scopes.scoped_pairs(nodes["Retriever"].withColumn("doc_key", F.col("uid")), gold.withColumn("gold_key", F.col("uid")))
+    wanted = F.col("document_scope").isin("document_id", "context") & (F.col("answer_scope") == "any")
+    retriever = _scope_metrics(scopes.scoped_relevance(pairs).where(wanted))
+    reader = _reader_metrics(nodes["Reader"], gold)
+    return retriever.select(F.lit("Retriever").alias("node"), F.col("document_scope").alias("scope"), "metric", "value").unionByName(
+        reader.select(F.lit("Reader").alias("node"), F.lit("any").alias("scope"), "metric", "value")
+    )
+
+
 # --- tabular analytics and streams ------------------------------------------------------------------
 
 
@@ -874,6 +894,17 @@ def read_limited(spark, d):
     return tabular.first_rows(T.table(spark, d, "events").select("event_id", "ts", "value"), "event_id", 10_000)
 
 
+@query
+def read_limited_csv(spark, d):
+    """At most 5000 rows of the events as CSV: how many came, and how many of them are events."""
+    path, events = staged_path(spark, "events"), T.table(spark, d, "events").select("event_id", "value")
+    results.export(events, path, "csv")
+    rows = tabular.read_limited(spark, path, 5000, "event_id bigint, value double")
+    known = stage(rows, "limited").join(events.withColumnRenamed("value", "known"), "event_id", "left")
+    agrees = F.when(F.col("known").eqNullSafe(F.col("value")), 1)
+    return known.agg(F.count("*").alias("n_rows"), F.count(agrees).alias("n_known"))
+
+
 @query
 def lowercase_columns(spark, d):
     events = T.table(spark, d, "events").select(F.col("event_id").alias("Event_ID"), F.col("value").alias("VALUE"))
@@ -901,6 +932,23 @@ def filter_hour(spark, d):
     return tabular.filter_hour(T.table(spark, d, "events"), "ts", 17).select("event_id", "event_type")
 
 
+@query
+def upload_pairs(spark, d):
+    """The corpus arriving as files, turned into question/answer pairs batch by batch, with the statistics of one snapshot."""
+    snapshots = upload.StatisticsStore(spark, staged_path(spark, "statistics"))
+    statistics = snapshots.statistics(snapshots.take(T.documents(spark, d).select("doc_id", "text")))
+    out = staged_path(spark, "pairs")
+    upload.pairs_per_batch(
+        upload.uploaded_tables(spark, f"{d}/documents.parquet", T.SCHEMAS["documents"]),
+        lambda rows: generate.generate_pairs(
+            split.split_sentences(rows.select("doc_id", "text"), 100, keep_sentences=True), statistics
+        ),
+        out,
+        staged_path(spark, "pairs-checkpoint"),
+    )
+    return upload.read_batches(spark, out)
+
+
 @query
 def upload_stream(spark, d):
     """The corpus arriving as files, split into sentence groups on the way to an index."""

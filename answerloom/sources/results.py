@@ -33,13 +33,19 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
 
 
-def save_eval(nodes: dict[str, DataFrame], path: str) -> None:
-    """One folder per node."""
+def save_eval(nodes: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
+    """One folder per node, as Parquet or CSV."""
     for name, rows in nodes.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        if kind == "parquet":
+            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        else:
+            export(rows, f"{path}/{name}", kind)
 
 
-def load_eval(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+def load_eval(spark: SparkSession, path: str, names: list[str], schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """The saved nodes; CSV where ``schemas`` gives the columns of each."""
+    if schemas:
+        return {name: read_csv(spark, f"{path}/{name}", schemas[name]) for name in names}
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 

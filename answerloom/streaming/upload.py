@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerloom.operators.generate import Statistics, statistics_of
+from answerloom.sources.manifest import Versioned
+
 
 def uploaded_texts(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of (name, content), one row per new text file."""
@@ -47,6 +50,25 @@ def process_available(
     return stream.sparkSession.read.schema(made.schema).parquet(out)
 
 
+class StatisticsStore(Versioned):
+    """Snapshots of a corpus' document frequencies. A stream asks its questions with one of them, so what it makes does not
+    depend on which files have arrived, nor on a snapshot that is taken meanwhile."""
+
+    def take(self, documents: DataFrame) -> int:
+        """Store the statistics of (doc_id, text) as the next version, and return its number."""
+        frequencies, n = statistics_of(documents)
+        return self._commit({"n": n, "frequencies": self._write(frequencies)}, (self.versions() or [-1])[-1])
+
+    def statistics(self, version: int | None = None) -> Statistics:
+        manifest = self.manifest(version)
+        return self.spark.read.parquet(f"{self.path}/{manifest['frequencies']}"), manifest["n"]
+
+
+def read_batches(spark: SparkSession, out: str) -> DataFrame:
+    """What ``pairs_per_batch`` has written, without the numbers of the batches."""
+    return spark.read.parquet(out).drop("batch")
+
+
 def pairs_per_batch(
     stream: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
 ) -> None:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from answerloom.operators import branches, dense, embed, sparse, training
+from answerloom.operators import branches, dense, embed, generate, sparse, split, training
 from answerloom.plans.pipeline import Pipeline
 from answerloom.sources import index, results, runlog, squad, tabular
 from answerloom.streaming import upload
@@ -352,3 +352,32 @@ def test_answers_of_one_long_context_are_placed_in_linear_time(spark):
         inside = at + n <= 3
         want = (split, len(" ".join(w.strip() for w in words[3 * split : k])) + (at > 0), answer) if inside else (None, None, answer)
         assert got[f"i{k}"] == want
+
+
+def test_uploaded_texts_become_pairs_once(spark, tmp_path):
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    folder.mkdir()
+    texts = {f"{k}.txt": f"The quiet harbour number{k} holds seven wooden boats today. Nobody counted them{k} before noon." for k in range(4)}
+    for name in list(texts)[:3]:
+        (folder / name).write_text(texts[name])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    store = upload.StatisticsStore(spark, str(tmp_path / "s"))
+    statistics = store.statistics(store.take(docs))
+
+    def step(rows):
+        named = rows.select(F.col("name").alias("doc_id"), F.col("content").alias("text"))
+        return generate.generate_pairs(split.split_sentences(named, 100, keep_sentences=True), statistics)
+
+    def pairs():
+        upload.pairs_per_batch(upload.uploaded_texts(spark, str(folder)), step, out, checkpoint)
+        return sorted(map(tuple, upload.read_batches(spark, out).select("doc_id", "sent", "question", "answer").collect()))
+
+    chunks = split.split_sentences(docs, 100, keep_sentences=True)
+    whole = sorted(map(tuple, generate.generate_pairs(chunks, docs).select("doc_id", "sent", "question", "answer").collect()))
+    first = pairs()
+    assert first == [r for r in whole if r[0] != "3.txt"] and len(first) == 6
+    assert pairs() == first
+    (folder / "3.txt").write_text(texts["3.txt"])
+    store.take(docs.limit(1))  # a later snapshot changes nothing for this stream
+    assert pairs() == whole
+    assert store.statistics(0)[1] == 4 and store.statistics()[1] == 1

@@ -58,12 +58,14 @@ def link_groups(
     centre: Column,
     compatible: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
+    first: Callable[[str, str], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Components of the rows that share a bucket and pass ``verify``.
 
     ``members`` (stored) has ``key`` columns, ``id`` and ``payload`` columns. The row with the least ``centre`` is the
     bucket's pivot. ``compatible(x, y)`` tells from the payloads of two aliases whether a pair can be linked at all;
-    it must never refuse a linked pair. ``verify`` takes (a, b) and returns those that are linked.
+    it must never refuse a linked pair. ``first`` may refuse pairs in a bucket if they also meet in another one that does not
+    refuse them; it is asked where all pairs of a bucket's components meet. ``verify`` takes (a, b) and returns those that are linked.
     Returns (links found, components of the ids that have any).
     """
     columns = ["id", *payload]
@@ -90,6 +92,8 @@ def link_groups(
     apart = (F.col("x.component") != F.col("y.component")) & (
         (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
     )
+    if first:
+        apart = apart & first("x", "y")
     rest = stage(verify(_pairs(minor, every, key, compatible, apart)), "rest-links")
     links = links.union(rest)
     return links, components(links)

@@ -6,8 +6,11 @@ Equal sets are one set; sets with the same prefix and size are one group. Groups
 candidates; their members are expanded, filtered by size and by position in the prefix, and verified on
 the whole sets. ``linking`` finds components without all pairs of near copies.
 
-A token is as rare as its rarest word, counted over all documents in 2**20 hashed cells. The order decides only how
-many candidates there are; the result is exact for any order (up to equal 64-bit hashes of different n-grams).
+Tokens come in the order of their document frequency as far as it stands out: documents are counted in 2**21 hashed cells of
+tokens, and what exceeds the mean cell by a power of two goes behind the rest; among equals a token is as rare as its rarest word,
+counted in 2**20 cells. So a passage that many documents share stands behind what only copies share. The order decides only
+how many candidates there are; the result is exact for any order (up to equal 64-bit hashes of different n-grams). Two sets
+that share several prefix tokens meet at the first of them only, as far as the first ``EARLIER`` shared tokens of each tell.
 Candidates are compared by 512 parities of their sets, whose difference is at most that of the sets (the first 256
 already where they meet); only for those that pass are the texts read again and the sets intersected.
 
@@ -36,6 +39,9 @@ SIZE = 3
 PERCENT = 90
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
+TOKEN_BITS = 21
+TOKEN_CELLS = 1 << TOKEN_BITS
+EARLIER = 32
 WORDS64 = 8
 EARLY64 = 4
 CHUNKS = 256
@@ -48,16 +54,23 @@ def token_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(words(text.lower())), size))
 
 
-def _cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def _cells(hashes: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def rarity(hashes: np.ndarray, size: int, counts: np.ndarray) -> np.ndarray:
-    """For each window of words the count of its rarest word."""
+def rarity(hashes: np.ndarray, tokens: np.ndarray, size: int, counts: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """For each window of words (``tokens`` are their hashes) a number that is smaller for rarer ones."""
     width = min(len(hashes), size)
     n = len(hashes) - width + 1
     of_word = counts[_cells(hashes)]
-    return functools.reduce(np.minimum, [of_word[k : k + n] for k in range(width)])
+    rarest = functools.reduce(np.minimum, [of_word[k : k + n] for k in range(width)])
+    return levels[_cells(tokens, TOKEN_BITS)].astype(np.int64) << 32 | rarest
+
+
+def levels_of(cells: np.ndarray) -> np.ndarray:
+    """By how many powers of two a cell exceeds twice the mean; 0 for all that do not."""
+    noise = 2 * max(cells.mean(), 1.0)
+    return np.log2(np.maximum(cells / noise, 1.0)).astype(np.int8)
 
 
 def parities(tokens: np.ndarray) -> bytes:
@@ -65,12 +78,17 @@ def parities(tokens: np.ndarray) -> bytes:
     return np.packbits(np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * WORDS64) & 1).tobytes()
 
 
-def _count_cells(batches):
-    total = np.zeros(CELLS, np.int64)
+def _count_cells(batches, size: int):
+    """How often words of each cell occur, and behind that in how many documents the tokens of each cell do."""
+    total = np.zeros(CELLS + TOKEN_CELLS, np.int32)
     for batch in batches:
         for text in utf8(batch["text"]):
-            cells, n = np.unique(_cells(word_hashes(words(text.lower()))), return_counts=True)
-            total[cells] += n
+            hashes = word_hashes(words(text.lower()))
+            cells, n = np.unique(_cells(hashes), return_counts=True)
+            total[cells] += n.astype(np.int32)
+            tokens = np.unique(shingle_hashes(hashes, size))
+            cells, n = np.unique(_cells(tokens, TOKEN_BITS), return_counts=True)
+            total[CELLS + cells] += n.astype(np.int32)
     if total.any():
         parts = total.reshape(CHUNKS, -1)
         yield pa.record_batch(
@@ -83,23 +101,23 @@ def _sum_cells(batches):
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist()):
-            totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, np.int64)
+            totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
     yield pa.record_batch(
         [pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())],
         names=["chunk", "counts"],
     )
 
 
-def cell_counts(docs: DataFrame) -> np.ndarray:
-    """How often words of each cell occur in all texts; 8 MB whatever the corpus."""
+def cell_counts(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each cell in all texts, and documents with tokens of each cell; 24 MB whatever the corpus."""
     bounded_batches(docs.sparkSession)
     schema = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(_count_cells, schema)
+    parts = docs.select("text").mapInArrow(functools.partial(_count_cells, size=size), schema)
     rows = parts.repartition("chunk").mapInArrow(_sum_cells, schema).toArrow()
-    out = np.zeros((CHUNKS, CELLS // CHUNKS), np.int64)
+    out = np.zeros((CHUNKS, (CELLS + TOKEN_CELLS) // CHUNKS), np.int64)
     for chunk, counts in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist()):
         out[chunk] += np.frombuffer(counts, np.int64)
-    return out.reshape(-1)
+    return out.reshape(-1)[:CELLS], out.reshape(-1)[CELLS:]
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -108,12 +126,13 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _prefixes(batches, shared, size: int, percent: int):
-    counts = shared.value
+    counts, levels = shared.value
     for batch in batches:
         n, ids, prefixes, signs = [], [], [], []
         for text in utf8(batch["text"]):
             hashes = word_hashes(words(text.lower()))
-            tokens, first = np.unique(shingle_hashes(hashes, size), return_index=True)
+            windows = shingle_hashes(hashes, size)
+            tokens, first = np.unique(windows, return_index=True)
             n.append(len(tokens))
             signs.append(parities(tokens))
             if not len(tokens):
@@ -122,7 +141,7 @@ def _prefixes(batches, shared, size: int, percent: int):
                 continue
             ids.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63))
             # tokens ascend, so a stable sort by count breaks ties by hash
-            order = np.argsort(rarity(hashes, size, counts)[first], kind="stable")
+            order = np.argsort(rarity(hashes, windows, size, counts, levels)[first], kind="stable")
             prefixes.append(tokens[order[: prefix_length(len(tokens), percent)]].view(np.int64))
         signs = np.frombuffer(b"".join(signs), np.int64).reshape(-1, WORDS64)
         made = [pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
@@ -179,8 +198,8 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     join the components; components (id, component) of sets with any link."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    counts = cell_counts(docs)
-    shared = spark.sparkContext.broadcast(counts.clip(max=np.iinfo(np.int32).max).astype(np.int32))
+    counts, cells = cell_counts(docs, size)
+    shared = spark.sparkContext.broadcast((counts.clip(max=np.iinfo(np.int32).max).astype(np.int32), levels_of(cells)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stage(
         docs.withColumn("text_hash", F.xxhash64("text"))
@@ -201,8 +220,15 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     heads = sets.join(grouped.select("grp", "id"), ["grp", "id"], "left_semi")
     tokens = heads.select("grp", F.posexplode("prefix").alias("pos", "bucket"))
     common = tokens.groupBy("bucket").agg(F.count("*").alias("groups")).where("groups > 1").select("bucket")
-    live = stage(tokens.join(common, "bucket", "left_semi"), "shared-tokens")
-    own = grouped.where("size > 1").select("grp", F.lit(0).alias("pos"), F.col("grp").alias("bucket"))
+    shared_tokens = tokens.join(common, "bucket", "left_semi").groupBy("grp").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "bucket"))).alias("ts")
+    )
+    # With each token the shared ones before it, which tell where two sets have met already.
+    live = shared_tokens.select("grp", F.posexplode("ts").alias("i", "t"), F.slice("ts.bucket", 1, EARLIER).alias("head"))
+    live = live.select("grp", "t.pos", "t.bucket", F.slice("head", F.lit(1), F.least("i", F.lit(EARLIER))).alias("earlier"))
+    live = stage(live, "shared-tokens")
+    nothing = F.array().cast("array<bigint>").alias("earlier")
+    own = grouped.where("size > 1").select("grp", F.lit(0).alias("pos"), F.col("grp").alias("bucket"), nothing)
     expanded = stage(live.union(own.select(*live.columns)).join(members, "grp").drop("grp"), "members")
 
     def compatible(x, y):
@@ -213,7 +239,12 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
         close = (100 + percent) * functools.reduce(lambda a, b: a + b, differ) <= (100 - percent) * (nx + ny)
         return sizes & ((100 + percent) * most >= percent * (nx + ny)) & close
 
-    links, found = link_groups(expanded, ["bucket"], ["n", "pos", *early], F.col("pos"), compatible, jaccard_filter(docs, sets, size, percent))
+    def first(x, y):
+        return ~F.arrays_overlap(F.col(f"{x}.earlier"), F.col(f"{y}.earlier"))
+
+    verify = jaccard_filter(docs, sets, size, percent)
+    payload = ["n", "pos", *early, "earlier"]
+    links, found = link_groups(expanded, ["bucket"], payload, F.col("pos"), compatible, verify, first)
     return rows.select("doc_id", "text_hash", "n", "id"), links, found
 
 

@@ -9,8 +9,7 @@ the whole sets. ``linking`` finds components without all pairs of near copies.
 Tokens come in the order of their document frequency as far as it stands out: documents are counted in 2**21 hashed cells of
 tokens, and what exceeds the mean cell by a power of two goes behind the rest; among equals a token is as rare as its rarest word,
 counted in 2**20 cells. So a passage that many documents share stands behind what only copies share. The order decides only
-how many candidates there are; the result is exact for any order (up to equal 64-bit hashes of different n-grams). Two sets
-that share several prefix tokens meet at the first of them only, as far as the first ``EARLIER`` shared tokens of each tell.
+how many candidates there are; the result is exact for any order (up to equal 64-bit hashes of different n-grams).
 Candidates are compared by 512 parities of their sets, whose difference is at most that of the sets (the first 256
 already where they meet); only for those that pass are the texts read again and the sets intersected.
 
@@ -41,7 +40,6 @@ CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 TOKEN_BITS = 21
 TOKEN_CELLS = 1 << TOKEN_BITS
-EARLIER = 32
 WORDS64 = 8
 EARLY64 = 4
 CHUNKS = 256
@@ -79,20 +77,21 @@ def parities(tokens: np.ndarray) -> bytes:
 
 
 def _count_cells(batches, size: int):
-    """How often words of each cell occur, and behind that in how many documents the tokens of each cell do."""
-    total = np.zeros(CELLS + TOKEN_CELLS, np.int32)
+    """How often words of each cell occur (32 bits), and in how many documents the tokens of each cell do (16 bits; a cell
+    that is full in one task is frequent whatever it would have reached)."""
+    of_words, of_tokens = np.zeros(CELLS, np.int32), np.zeros(TOKEN_CELLS, np.int32)
     for batch in batches:
         for text in utf8(batch["text"]):
             hashes = word_hashes(words(text.lower()))
             cells, n = np.unique(_cells(hashes), return_counts=True)
-            total[cells] += n.astype(np.int32)
+            of_words[cells] += n.astype(np.int32)
             tokens = np.unique(shingle_hashes(hashes, size))
             cells, n = np.unique(_cells(tokens, TOKEN_BITS), return_counts=True)
-            total[CELLS + cells] += n.astype(np.int32)
-    if total.any():
-        parts = total.reshape(CHUNKS, -1)
+            of_tokens[cells] += n.astype(np.int32)
+    if of_words.any():
+        parts = [*of_words.reshape(CHUNKS, -1), *of_tokens.clip(max=0xFFFF).astype(np.uint16).reshape(CHUNKS, -1)]
         yield pa.record_batch(
-            [pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"]
+            [pa.array(range(2 * CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"]
         )
 
 
@@ -101,23 +100,36 @@ def _sum_cells(batches):
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist()):
-            totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+            totals[chunk] = totals.get(chunk, 0) + np.frombuffer(counts, np.int32 if chunk < CHUNKS else np.uint16).astype(np.int64)
     yield pa.record_batch(
-        [pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())],
+        [pa.array(list(totals), pa.int32()), pa.array([_short(c, x).tobytes() for c, x in totals.items()], pa.binary())],
         names=["chunk", "counts"],
     )
 
 
+def _short(chunk: int, counts: np.ndarray) -> np.ndarray:
+    """What the driver gets: counts of words, and eighths of powers of two for tokens."""
+    return _int32(counts) if chunk < CHUNKS else np.round(8 * np.log2(1 + counts)).clip(max=255).astype(np.uint8)
+
+
+def _int32(counts: np.ndarray) -> np.ndarray:
+    """Counts for an order: those beyond 32 bits are equally frequent."""
+    return counts.clip(max=np.iinfo(np.int32).max).astype(np.int32)
+
+
 def cell_counts(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words of each cell in all texts, and documents with tokens of each cell; 24 MB whatever the corpus."""
+    """Words of each cell in all texts, and documents with tokens of each cell; 6 MB whatever the corpus."""
     bounded_batches(docs.sparkSession)
     schema = "chunk int, counts binary"
     parts = docs.select("text").mapInArrow(functools.partial(_count_cells, size=size), schema)
     rows = parts.repartition("chunk").mapInArrow(_sum_cells, schema).toArrow()
-    out = np.zeros((CHUNKS, (CELLS + TOKEN_CELLS) // CHUNKS), np.int64)
+    of_words, of_tokens = (np.zeros((CHUNKS, n // CHUNKS)) for n in (CELLS, TOKEN_CELLS))
     for chunk, counts in zip(rows["chunk"].to_pylist(), rows["counts"].to_pylist()):
-        out[chunk] += np.frombuffer(counts, np.int64)
-    return out.reshape(-1)[:CELLS], out.reshape(-1)[CELLS:]
+        if chunk < CHUNKS:
+            of_words[chunk] += np.frombuffer(counts, np.int32)
+        else:
+            of_tokens[chunk - CHUNKS] += 2 ** (np.frombuffer(counts, np.uint8) / 8) - 1
+    return of_words.reshape(-1), of_tokens.reshape(-1)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -199,7 +211,7 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     counts, cells = cell_counts(docs, size)
-    shared = spark.sparkContext.broadcast((counts.clip(max=np.iinfo(np.int32).max).astype(np.int32), levels_of(cells)))
+    shared = spark.sparkContext.broadcast((_int32(counts), levels_of(cells)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = stage(
         docs.withColumn("text_hash", F.xxhash64("text"))
@@ -220,15 +232,8 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     heads = sets.join(grouped.select("grp", "id"), ["grp", "id"], "left_semi")
     tokens = heads.select("grp", F.posexplode("prefix").alias("pos", "bucket"))
     common = tokens.groupBy("bucket").agg(F.count("*").alias("groups")).where("groups > 1").select("bucket")
-    shared_tokens = tokens.join(common, "bucket", "left_semi").groupBy("grp").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "bucket"))).alias("ts")
-    )
-    # With each token the shared ones before it, which tell where two sets have met already.
-    live = shared_tokens.select("grp", F.posexplode("ts").alias("i", "t"), F.slice("ts.bucket", 1, EARLIER).alias("head"))
-    live = live.select("grp", "t.pos", "t.bucket", F.slice("head", F.lit(1), F.least("i", F.lit(EARLIER))).alias("earlier"))
-    live = stage(live, "shared-tokens")
-    nothing = F.array().cast("array<bigint>").alias("earlier")
-    own = grouped.where("size > 1").select("grp", F.lit(0).alias("pos"), F.col("grp").alias("bucket"), nothing)
+    live = stage(tokens.join(common, "bucket", "left_semi"), "shared-tokens")
+    own = grouped.where("size > 1").select("grp", F.lit(0).alias("pos"), F.col("grp").alias("bucket"))
     expanded = stage(live.union(own.select(*live.columns)).join(members, "grp").drop("grp"), "members")
 
     def compatible(x, y):
@@ -239,12 +244,8 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
         close = (100 + percent) * functools.reduce(lambda a, b: a + b, differ) <= (100 - percent) * (nx + ny)
         return sizes & ((100 + percent) * most >= percent * (nx + ny)) & close
 
-    def first(x, y):
-        return ~F.arrays_overlap(F.col(f"{x}.earlier"), F.col(f"{y}.earlier"))
-
     verify = jaccard_filter(docs, sets, size, percent)
-    payload = ["n", "pos", *early, "earlier"]
-    links, found = link_groups(expanded, ["bucket"], payload, F.col("pos"), compatible, verify, first)
+    links, found = link_groups(expanded, ["bucket"], ["n", "pos", *early], F.col("pos"), compatible, verify)
     return rows.select("doc_id", "text_hash", "n", "id"), links, found
 
 

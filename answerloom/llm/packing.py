@@ -31,7 +31,7 @@ from answerloom.session import stage
 
 CAPACITY = 2048
 END = array("I", [0]).tobytes()
-WORDS_HELD = 300_000
+WORDS_HELD = 240_000
 LONG_WORD = 64
 # Marks that are a part of their own behind letters.
 MARKS = ".,;:!?"
@@ -120,6 +120,7 @@ remembers(word_ids.cache_clear)
 
 
 def _pieces(batches, path: str | None, capacity: int, keep_ids: bool):
+    pa.default_memory_pool().release_unused()
     encoder = word_ids(path or public_tokenizer())
     for batch in batches:
         doc, piece, start, length, crc, ids = [], [], [], [], [], []

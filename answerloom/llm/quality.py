@@ -1,9 +1,10 @@
 r"""Quality rules by cross-document line frequency; DataFrame functions only.
 
 Lines are normalised (lower case, runs of white space as one space, trimmed) and hashed. For each host the number
-of distinct documents per line is counted; lines in more documents than the limits allow are taken out of the
-documents of that host, and a document is rejected when too little of it is left. Words are
-``[^\x20\x09-\x0D]+``; lines end at \n.
+of distinct documents per line is counted. A line is frequent by its share of the host (over ``host_percent`` of its
+documents, and at least ``min_documents`` of them, so that small hosts keep their lines) or by number alone
+(``max_documents``, however large the host); either suffices. Frequent lines are taken out of the documents of that
+host, and a document is rejected when too little of it is left. Words are ``[^\x20\x09-\x0D]+``; lines end at \n.
 
 Defined cases: null and empty texts have no words and are rejected by the base rule; a null host is a host of its
 own; rows with a null doc_id count as one document; equal rows count as one document and share their verdict; lines
@@ -27,6 +28,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MIN_DOCUMENTS = 10
 MAX_HOST_PERCENT = 10
+MAX_DOCUMENTS = 1000
 MIN_LEFT_PERCENT = 30
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -126,19 +128,26 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return lines.select("row", "id", "host", "pos", F.xxhash64("normal").alias("line"), size.alias("words"))
 
 
-def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, host_percent: int = MAX_HOST_PERCENT) -> DataFrame:
-    """(host, line) above the limits: in at least ``min_documents`` documents of the host and in more than
-    ``host_percent`` of those that have a line.
+def frequent_lines(
+    lines: DataFrame,
+    min_documents: int = MIN_DOCUMENTS,
+    host_percent: int = MAX_HOST_PERCENT,
+    max_documents: int = MAX_DOCUMENTS,
+) -> DataFrame:
+    """(host, line) above a limit: in more than ``host_percent`` of the host's documents that have a line, and at least
+    ``min_documents`` of them, or in ``max_documents`` of them or more.
 
     Counting distinct documents merges rows in each task first and shuffles by (host, line, document), so
     neither a host nor a line is hot.
     """
     per_line = lines.groupBy("host", "line").agg(F.count_distinct("id").alias("n"))
     per_host = stage(lines.groupBy("host").agg(F.count_distinct("id").alias("n_host")), "hosts")
-    candidates = per_line.where(F.col("n") >= min_documents)
+    candidates = per_line.where(F.col("n") >= min(min_documents, max_documents))
     if fits_broadcast(per_host, BROADCAST_ROWS):
         per_host = F.broadcast(per_host)
-    return candidates.join(per_host, "host").where(100 * F.col("n") > host_percent * F.col("n_host")).select("host", "line")
+    n = F.col("n")
+    by_share = (n >= min_documents) & (100 * n > host_percent * F.col("n_host"))
+    return candidates.join(per_host, "host").where(by_share | (n >= max_documents)).select("host", "line")
 
 
 def frequent_hits(docs: DataFrame, **limits) -> DataFrame:
@@ -170,7 +179,9 @@ def without_lines(docs: DataFrame, hits: DataFrame) -> DataFrame:
     joined = docs.join(gone, row_hash() == gone["row"], "left").drop(gone["row"])
     kept = _let(
         F.split("text", "\n"),
-        lambda lines: F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(name, k)), "\n"),
+        lambda lines: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), name), lambda k: F.get(lines, k)), "\n"
+        ),
     )
     text = F.when(F.col(name).isNull(), F.col("text")).otherwise(kept)
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
@@ -224,7 +235,7 @@ lw as (select doc_id, host, line, trim(regexp_replace(lower(line), '[\x20\x09-\x
 du as (select doc_id, count(*) - count(distinct line) as n_dup_lines from lw group by doc_id),
 hosts as (select host, count(distinct doc_id) as n_host from lw group by host),
 freq as (select host, normal from (select host, normal, count(distinct doc_id) as n from lw group by all) join hosts using (host)
-  where n >= {MIN_DOCUMENTS} and 100 * n > {MAX_HOST_PERCENT} * n_host),
+  where n >= {MIN_DOCUMENTS} and 100 * n > {MAX_HOST_PERCENT} * n_host or n >= {MAX_DOCUMENTS}),
 lost as (select doc_id, sum(len(string_split(normal, ' '))) as removed from lw join freq using (host, normal) group by doc_id),
 c as (select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars,
   (length(text) - length(regexp_replace(text, '{SYMBOLS}', '', 'g')))::bigint as n_symbols,

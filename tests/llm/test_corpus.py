@@ -258,6 +258,57 @@ def test_html_corner_cases(spark):
     assert html_text.main_text(pages.limit(0), html_text.fit(pages.limit(0))).count() == 0
 
 
+def test_html_names_of_wrappers_drop_nothing(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    weights = html_text.fit(pages)
+    for r in pages.collect():
+        plain = html_text.extract(r.html, weights)
+        assert plain
+        for old, new in (
+            ("<body", '<body class="has-sidebar"'),
+            ("<article", '<article class="post no-comments"'),
+            ("<article", '<article data-id="ad-1"'),
+            ("<article", '<article class="sidebar"'),
+            ("<article>", '<div class="hidden"><article>'),
+            ("<article>", "<form><article>"),
+            ("<article>", '<article><svg width="1" /><iframe src="x"/>'),
+        ):
+            assert old in r.html
+            assert html_text.extract(r.html.replace(old, new, 1), weights) == plain
+        left, inner = r.html.split("<article>", 1)
+        inner, right = inner.split("</article>", 1)
+        legal = inner.replace("<p>", '<p class="legal-text">')
+        assert html_text.extract(f"{left}<article>{legal}</article>{right}", weights) == plain
+
+
+def test_html_words_of_classes():
+    w = html_text.Weights({})
+    text = "one two three four five six seven eight nine ten"
+    side = '<div class="sidebar">links to other pages</div>'
+    assert html_text.extract(f"{side}<div><p>{text}</p></div>{side}", w) == text
+    assert html_text.extract(f'<div class="sidebar"><p>{text}</p></div>', w) == text
+    assert html_text.extract(f'<form><p>{text}</p></form><aside>{text} {text} {text}</aside>', w) == text
+    legal = f'<p class="legal">{text}</p>'
+    assert html_text.extract(legal * 3, w) == "\n".join([text] * 3)
+    assert html_text.extract(legal + f"<p>{text}</p>" * 3, w) == "\n".join([text] * 3)
+    seen = html_text.Weights({".legal": (20, 0), ".extra": (0, 200)})
+    assert html_text.extract(legal + f"<p>{text}</p>" * 3, seen) == "\n".join([text] * 4)
+    assert html_text.extract(f'<p>{text}</p><div class="extra"><p>{text} {text}</p></div>', seen) == text
+    assert html_text.extract(f'<div class="extra"><p>{text}</p></div>', seen) == text
+
+
+def test_html_weights_count_places():
+    import collections
+
+    totals = {"in": collections.Counter(), "out": collections.Counter()}
+    page = '<body class=b><nav><i class=x>m</i></nav><div id=w><article class=a><p class=t>k</p></article></div><p class=t>z</p>'
+    html_text.count_features(page, totals)
+    assert totals["in"] == {".b": 1, ".w": 1, ".a": 1, ".t": 1, "<p": 1}
+    assert totals["out"] == {"<body": 1, "<nav": 1, "nav": 1, "<div": 1, "<article": 1, "<p": 1, ".t": 1}
+    html_text.count_features(page + "<main>", totals)
+    assert totals["in"][".a"] == 1
+
+
 def test_best_region_is_the_best():
     rng = random.Random(4)
     for _ in range(300):

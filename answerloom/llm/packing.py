@@ -4,9 +4,11 @@ A document is its token ids and a closing id 0, cut into pieces of at most ``cap
 piece lengths (at most ``capacity`` numbers, whatever the corpus) reaches the driver. The linear program chooses how
 often each configuration (how many pieces of each length share a sequence) is used; it is solved by multiplicative
 weights: lengths that are covered get cheaper, a knapsack dynamic program prices configurations, and all those near
-the best price are taken by a step. Counts are rounded down, and the few pieces left over (bounded by the
-number of configurations) are packed best fit decreasing. Spark then gives each piece its place: its rank among
-the pieces of its length points into the list of configurations.
+the best price are taken by a step. The configurations of best fit decreasing are the first columns. Every round of prices
+bounds the optimum from below; once the columns at hand meet that bound no configuration can better them and the
+rounds end. Otherwise counts are rounded down, the few pieces left over (bounded by the number of configurations) are
+packed best fit decreasing, and the first columns stay if rounding is no better. Spark then gives each
+piece its place: its rank among the pieces of its length points into the list of configurations.
 
 Defined cases: null text is empty, an empty document is the single id 0; documents longer than ``capacity`` are cut
 and no other is; ties in rank go by doc_id, piece and hash of the ids, and equal rows are packed each; an empty table gives an
@@ -40,6 +42,7 @@ STEP = 0.05
 NEAR = 0.001
 RATE = 10.0
 LOOSE = (0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001, 0.0)
+HELD = (0.0, 0.005, 0.02)
 ROWS_PER_BUCKET = 20_000
 
 
@@ -179,27 +182,52 @@ def _traced(size: int, best: np.ndarray, lengths: np.ndarray, prices: np.ndarray
     return taken
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[tuple[int, int], ...], float]:
-    """Fractional use of configurations, each a sorted tuple of (length, copies), that covers every length."""
+Uses = dict[tuple[tuple[int, int], ...], float]
+
+
+def threshold_bound(histogram: dict[int, int], capacity: int) -> float:
+    """Sequences that any packing needs: for every t up to half the capacity, pieces of more than capacity - t fill a
+    sequence each, pieces below t are left out, and the others count by their length."""
+    n = np.zeros(capacity + 1)
+    for length, k in histogram.items():
+        n[length] = k
+    size = np.arange(capacity + 1)
+    upto, mass = np.cumsum(n), np.cumsum(n * size)
+    t = np.arange(capacity // 2 + 1)
+    whole = upto[capacity] - upto[capacity - t]
+    below = mass[np.maximum(t - 1, 0)]
+    return float((whole + (mass[capacity - t] - below) / capacity).max())
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, first: Uses | None = None) -> tuple[Uses, float]:
+    """(use, bound): fractional use of configurations, each a sorted tuple of (length, copies), that covers every length,
+    and a lower bound of the number of sequences. ``first`` are whole columns to begin with; they are the result once
+    the bound shows that they are the optimum.
+
+    Prices over the best price of a configuration are a feasible dual, so their sum over all pieces is a bound."""
     total = np.zeros(capacity + 1)
     for length, n in histogram.items():
         total[length] = n
     left, use = total.copy(), {}
+    bound = threshold_bound(histogram, capacity)
     for _ in range(ROUNDS):
         lengths = np.flatnonzero(left > 1e-6)
         if not len(lengths):
             break
         prices = lengths * np.exp(-RATE * (1 - left[lengths] / total[lengths]))
         best = knapsack(lengths, prices, capacity)
+        bound = max(bound, float(prices @ total[lengths] / best[capacity]))
+        if first is not None and sum(first.values()) <= np.ceil(bound - 1e-6):
+            return first, bound
         value = prices + best[capacity - lengths]
         for k in np.argsort(-value, kind="stable"):
             if value[k] < (1 - NEAR) * best[capacity]:
                 break
-            first = int(lengths[k])
-            if left[first] <= 1e-6:
+            longest = int(lengths[k])
+            if left[longest] <= 1e-6:
                 continue
-            taken = _traced(capacity - first, best, lengths, prices, left)
-            taken[first] = taken.get(first, 0) + 1
+            taken = _traced(capacity - longest, best, lengths, prices, left)
+            taken[longest] = taken.get(longest, 0) + 1
             step = min(min(left[x] / a, max(1.0, STEP * total[x] / a)) for x, a in taken.items())
             if step <= 1e-6:
                 continue
@@ -207,7 +235,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[tup
                 left[x] -= step * a
             key = tuple(sorted(taken.items(), reverse=True))
             use[key] = use.get(key, 0.0) + step
-    return use
+    return use, bound
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
@@ -254,9 +282,35 @@ def _moved(rooms, key, room, length, copies, bins, n) -> int:
 
 
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[tuple[tuple[int, int], ...], int]:
-    """Whole numbers of each configuration that hold every piece exactly once."""
+    """Whole numbers of each configuration that hold every piece exactly once; never more than best fit decreasing.
+
+    Where the first columns are not proven optimal, those that are nearly full are held and the program is solved for
+    what the others contain, from all of them down to the loosest."""
+    first = best_fit(histogram, capacity)
+    found, bound = solve(histogram, capacity, first)
+    if found is first:
+        return first
+    packed = [first, _rounded(histogram, found, capacity)]
+    for share in HELD:
+        tight = {k: n for k, n in first.items() if capacity - sum(x * a for x, a in k) <= share * capacity}
+        rest = dict(histogram)
+        for key, n in tight.items():
+            for length, a in key:
+                rest[length] -= n * a
+        rest = {k: n for k, n in rest.items() if n}
+        if sum(packed[-1].values()) <= np.ceil(bound - 1e-6) or not rest:
+            break
+        use = _rounded(rest, solve(rest, capacity)[0], capacity)
+        for key, n in tight.items():
+            use[key] = use.get(key, 0) + n
+        packed.append(use)
+    return min(packed, key=lambda x: sum(x.values()))
+
+
+def _rounded(histogram: dict[int, int], found: Uses, capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
+    """Whole uses from fractional ones: rounded down, the rest packed best fit, loose ones packed again."""
     use, left = {}, dict(histogram)
-    for key, x in sorted(solve(histogram, capacity).items(), key=lambda kv: -kv[1]):
+    for key, x in sorted(found.items(), key=lambda kv: -kv[1]):
         n = min(int(x + 1e-6), *(left[length] // a for length, a in key))
         if n > 0:
             use[key] = n

@@ -152,6 +152,56 @@ def test_configurations_hold_each_piece_once():
         assert sum(use.values()) <= len(bins) * 1.03 + 1
 
 
+def test_configurations_never_above_best_fit():
+    rng = random.Random(6)
+    spread = [(300, 1400, 300), (600, 1500, 150), (10, 2048, 400), (400, 900, 600), (1, 2048, 50), (1025, 2048, 60)]
+    for low, high, n in spread:
+        histogram = dict(collections.Counter(rng.randint(low, high) for _ in range(n)))
+        plain = packing.best_fit(histogram, 2048)
+        use = packing.configurations(histogram)
+        _, bound = packing.solve(histogram, first=plain)
+        assert packing.threshold_bound(histogram, 2048) <= bound + 1e-9
+        assert bound - 1e-6 <= sum(use.values()) <= sum(plain.values())
+        held = collections.Counter()
+        for key, k in use.items():
+            assert sum(x * a for x, a in key) <= 2048
+            for x, a in key:
+                held[x] += a * k
+        assert held == histogram
+    assert packing.configurations({}) == {}
+
+
+def fewest_sequences(sizes, capacity):
+    """Fewest sequences by trying every place for every piece."""
+    best = len(sizes)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= sizes[k]}:
+            at = rooms.index(r)
+            put(k + 1, [*rooms[:at], r - sizes[k], *rooms[at + 1 :]])
+        put(k + 1, [*rooms, capacity - sizes[k]])
+
+    put(0, [])
+    return best
+
+
+def test_bound_is_below_the_optimum():
+    rng = random.Random(7)
+    for _ in range(60):
+        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        histogram = dict(collections.Counter(sizes))
+        fewest = fewest_sequences(sizes, 20)
+        _, bound = packing.solve(histogram, 20)
+        assert bound <= fewest + 1e-6
+        assert fewest <= sum(packing.configurations(histogram, 20).values())
+
+
 # 2 language ID
 
 

@@ -8,7 +8,7 @@ pair is rare, the word's own share counts.
 Words are ``[^\x20\x09-\x0D]+``, lower-cased; words and pairs are told apart by their whole 64-bit hashes and counted
 exactly over every document. Loss of word w after v:
 -ln((c(v, w) + STRENGTH * p(w)) / (c(v) + STRENGTH)), p(w) = (c(w) + 1) / (N + V). V is the number of different words,
-estimated from the smallest hashes, and WORD_CELLS at least.
+counted up to SKETCH and estimated from the SKETCH smallest hashes beyond.
 
 Every token travels once, to the task of its word, which sees all pairs that end in the word and so counts and scores
 them; what is shuffled grows with the input. Words with a share of HOT in a sample are counted beforehand and their tokens
@@ -34,13 +34,13 @@ from answerloom.functions.skew import fits_broadcast, salted_join
 from answerloom.llm.texts import M1, bounded_batches, keep_share, mixed, table, utf8, word_hashes, words
 from answerloom.session import stage
 
-WORD_CELLS = 1 << 18
 STRENGTH = 4.0
 START = np.uint64(0x5851F42D4C957F2D)
 BROADCAST_ROWS = 500_000
 SAMPLE_ROWS = 4000
 HOT = 2e-4
 SKETCH = 4096
+LEAST = 5
 PER_PARTITION = 4
 SALTS = 32
 SUMS = ("n", "docs", "a", "b")
@@ -81,7 +81,7 @@ class Counts:
     pair: np.ndarray = None
     start: np.ndarray = None
     total: np.ndarray = None
-    vocabulary: float = WORD_CELLS
+    vocabulary: float = 0.0
 
     def pair_loss(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
         return -np.log(pair + STRENGTH * (word + 1.0) / (self.total + self.vocabulary))
@@ -124,8 +124,15 @@ def _count(batches, counts: Counts):
         _added(total, np.zeros(len(w), np.int64), target)
         low = w[w <= least[-1]] if len(least) == SKETCH else w
         least = np.unique(np.concatenate([least, low]))[:SKETCH]
-    arrays = [word, context, pair, start, total, least]
-    yield pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in arrays], names=[*"abcdef"])
+    made = []
+    for kind, sums in enumerate((word, context, pair, start, total)):
+        at = np.flatnonzero(sums[:, 1])
+        made.append((np.full(len(at), kind), at, sums[at, 0], sums[at, 1]))
+    # Hashes in the order of unsigned numbers, as signed ones.
+    signed = (least ^ np.uint64(1 << 63)).view(np.int64)
+    made.append((np.full(len(least), LEAST), signed, np.zeros(len(least), np.int64), np.zeros(len(least), np.int64)))
+    columns = [pa.array(np.concatenate(x), t) for x, t in zip(zip(*made), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+    yield pa.record_batch(columns, names=["kind", "place", "target", "whole"])
 
 
 def fit(docs: DataFrame) -> Models:
@@ -134,7 +141,9 @@ def fit(docs: DataFrame) -> Models:
     bounded_batches(spark)
     n = docs.count()
     share = min(1.0, SAMPLE_ROWS / n) if n else 0.0
-    sample = docs.where(keep_share(F.xxhash64("text"), F.lit(share))).select("text")
+    # By row where rows have ids: else all copies of a text would be drawn together.
+    drawn = F.xxhash64("doc_id", "text") if "doc_id" in docs.columns else F.xxhash64("text")
+    sample = docs.where(keep_share(drawn, F.lit(share))).select("text")
     found = sample.mapInArrow(_candidates, "word binary, pair binary").toArrow()
     hot = []
     for name in ("word", "pair"):
@@ -142,16 +151,19 @@ def fit(docs: DataFrame) -> Models:
         keys, times = np.unique(seen, return_counts=True)
         hot.append(keys[times >= max(HOT * len(seen), 2)])
     counts = Counts(*hot)
-    schema = ", ".join(f"{x} binary" for x in "abcdef")
-    rows = docs.select("text", "target").mapInArrow(functools.partial(_count, counts=counts), schema)
+    rows = docs.select("text", "target").mapInArrow(
+        functools.partial(_count, counts=counts), "kind int, place long, target long, whole long"
+    )
+    # Both results are bounded: sums by the frequent words and pairs, hashes by SKETCH. Tasks send as many at most.
+    rows = stage(rows, "frequent-counts")
     sums = [np.zeros((k, 2), np.int64) for k in (len(hot[0]), len(hot[0]), len(hot[1]), 1, 1)]
-    least = np.zeros(0, np.uint64)
-    for row in rows.toLocalIterator():
-        for total, name in zip(sums, "abcde"):
-            total += np.frombuffer(row[name], np.int64).reshape(-1, 2)
-        least = np.unique(np.concatenate([least, np.frombuffer(row["f"], np.uint64)]))[:SKETCH]
-    different = (SKETCH - 1) * 2.0**64 / float(least[-1]) if len(least) == SKETCH else len(least)
-    return Models(docs, Counts(*hot, *sums, max(float(WORD_CELLS), different)))
+    added = rows.where(F.col("kind") < LEAST).groupBy("kind", "place")
+    for r in added.agg(F.sum("target").alias("target"), F.sum("whole").alias("whole")).collect():
+        sums[r["kind"]][r["place"]] = r["target"], r["whole"]
+    least = rows.where(F.col("kind") == LEAST).select("place").distinct().orderBy("place").limit(SKETCH).collect()
+    greatest = (least[-1]["place"] + (1 << 63)) if least else 0
+    different = (SKETCH - 1) * 2.0**64 / greatest if len(least) == SKETCH else len(least)
+    return Models(docs, Counts(*hot, *sums, max(float(different), 1.0)))
 
 
 def _packed(bucket: int, keys: np.ndarray, target: np.ndarray, part, sums) -> tuple:

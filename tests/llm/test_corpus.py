@@ -530,7 +530,7 @@ def test_lm_scores_match_counts(spark):
         for doc_id, text, _ in rows:
             w = (text or "").split()
             loss = [
-                -np.log((pair[v, x] + 4 * (word[x] + 1) / (total + lm_score.WORD_CELLS)) / (context[v] + 4))
+                -np.log((pair[v, x] + 4 * (word[x] + 1) / (total + 4)) / (context[v] + 4))
                 for v, x in zip(["^", *w[:-1]], w)
             ]
             losses[name, doc_id] = np.mean(loss) if loss else None

@@ -55,7 +55,7 @@ def test_lm_counts_are_exact_however_many_pairs(spark):
             pairs[k].update(zip(["^", *w[:-1]], w))
     assert len(pairs[1]) > 1 << 18
     different = len(words[1])
-    assert models.counts.vocabulary == pytest.approx(max(different, lm_score.WORD_CELLS), rel=0.06)
+    assert models.counts.vocabulary == pytest.approx(different, rel=0.06)
     plain = {r.doc_id: r for r in lm_score.score(docs, models).collect()}
     apart = {r.doc_id: r for r in lm_score.score(docs.select("doc_id", "text"), models).collect()}
     assert len(plain) == len(apart) == len(rows)

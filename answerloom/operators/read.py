@@ -38,11 +38,13 @@ def query_idf(queries: DataFrame, documents: DataFrame, text: str = "text") -> D
 def candidate_spans(retrieved: DataFrame, idf: DataFrame) -> DataFrame:
     """(q, uid, sent, answer, start, score): every sentence of the retrieved texts that shares a term."""
     spans = each(retrieved, ["q", "uid", "content"], sentences(F.col("content")), "answer", "sent")
-    own = aligned_terms(words(F.col("answer")))
+    # A sentence is placed where its text is at hand, so the text of a passage is not sent with each of its sentences.
+    start = F.instr(F.col("content"), F.col("answer")) - 1
+    spans = spans.select("q", "uid", "sent", "answer", start.alias("start"), aligned_terms(words(F.col("answer"))).alias("own"))
     shared = F.filter("terms", lambda x: F.array_contains(F.col("own"), x["t"]))
     # A query may be given any number of passages: its spans are dealt over salts, and cut to the best before they meet.
     scored = (
-        salted_join(spans.withColumn("own", own), idf, ["q"], ["uid", "sent"])
+        salted_join(spans, idf, ["q"], ["uid", "sent"])
         .withColumn(
             "score",
             round6(
@@ -51,9 +53,7 @@ def candidate_spans(retrieved: DataFrame, idf: DataFrame) -> DataFrame:
             ),
         )
     )
-    return scored.where(F.col("score") > 0).select(
-        "q", "uid", "sent", "answer", (F.instr(F.col("content"), F.col("answer")) - 1).alias("start"), "score"
-    )
+    return scored.where(F.col("score") > 0).select("q", "uid", "sent", "answer", "start", "score")
 
 
 def extract_answers(retrieved: DataFrame, idf: DataFrame, top_n: int = 4) -> DataFrame:

@@ -170,10 +170,12 @@ def _packed(bucket: int, keys: np.ndarray, target: np.ndarray, part, sums) -> tu
     """One row: hashes of texts, whether each is a target, their tokens (word, before, text, follows), sums per text."""
     word, before, doc, follows = part
     names, local = np.unique(doc, return_inverse=True) if sums is None else (np.arange(len(keys)), doc)
-    place_ = (local.astype(np.uint32) << np.uint32(1)) | follows.astype(np.uint32)
+    # Two bytes a token where the texts of a batch are few enough, as they are in bounded batches.
+    narrow = np.uint16 if len(names) <= 1 << 15 else np.uint32
+    place_ = (local.astype(narrow) << narrow(1)) | follows.astype(narrow)
     return (
         bucket, keys[names].tobytes(), np.packbits(target[names]).tobytes(), word.tobytes(), before.tobytes(),
-        place_.astype(np.uint32).tobytes(), b"" if sums is None else sums.tobytes(),
+        place_.tobytes(), b"" if sums is None else sums.tobytes(),
     )
 
 
@@ -233,12 +235,13 @@ def _bucket_sums(rows: list[dict], counts: Counts) -> tuple[np.ndarray, np.ndarr
             keys.append(texts)
             sums.append(np.frombuffer(row["sums"], np.float64).reshape(-1, 4))
             continue
-        at = np.frombuffer(row["place"], np.uint32)
-        doc = (at >> np.uint32(1)).astype(np.int64)
+        narrow = np.uint16 if len(row["place"]) * 4 == len(row["word"]) else np.uint32
+        at = np.frombuffer(row["place"], narrow)
+        doc = (at >> narrow(1)).astype(np.int64)
         target = np.unpackbits(np.frombuffer(row["target"], np.uint8), count=len(texts)).astype(bool)[doc]
         flags = np.full(len(doc), row["counted"]), np.full(len(doc), row["scored"])
         word, before = np.frombuffer(row["word"], np.uint64), np.frombuffer(row["before"], np.uint64)
-        parts.append((word, before, texts[doc], (at & np.uint32(1)).astype(bool), target, *flags))
+        parts.append((word, before, texts[doc], (at & narrow(1)).astype(bool), target, *flags))
     if parts:
         w, v, text, follows, target, counted, scored = (np.concatenate(x) for x in zip(*parts))
         hot = place(counts.words, w)

@@ -104,3 +104,19 @@ def test_one_of_each_drops_copies_and_repeated_rows_only(spark):
     kept = ngram_join.one_of_each(docs, 5, 80).collect()
     want = [(1, a), (2, b), (None, None), (4, None), (4, ""), (4, "")]
     assert collections.Counter(map(tuple, kept)) == collections.Counter(want)
+
+
+def test_places_of_tokens_take_two_bytes_in_bounded_batches():
+    """op7: four bytes a token were shuffled for a number below a thousand."""
+    import numpy as np
+
+    from answerloom.llm import lm_score
+
+    for texts, width in ((500, 2), (40_000, 4)):
+        word = np.arange(texts, dtype=np.uint64)
+        part = word, word + np.uint64(7), np.arange(texts), np.arange(texts) % 2 == 0
+        made = lm_score._packed(0, np.arange(texts), np.zeros(texts, bool), part, None)
+        assert len(made[5]) == width * texts
+        row = dict(zip(("bucket", "texts", "target", "word", "before", "place", "sums"), made), counted=True, scored=True)
+        none = lm_score.Counts(*[np.zeros(0, np.uint64)] * 2, word=np.zeros((0, 2)), total=np.ones(2), vocabulary=1.0)
+        assert list(lm_score._bucket_sums([row], none)[0]) == list(range(texts))

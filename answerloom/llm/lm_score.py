@@ -11,8 +11,9 @@ exactly over every document. Loss of word w after v:
 counted up to SKETCH and estimated from the SKETCH smallest hashes beyond.
 
 Every token travels once, to the task of its word, which sees all pairs that end in the word and so counts and scores
-them; what is shuffled grows with the input. Words with a share of HOT in a sample are counted beforehand and their tokens
-dealt by pair; pairs with such a share are not sent at all. Both are at most 1 / HOT in number whatever the input.
+them. Texts travel as row numbers, and what a task has for TEXTS of them goes back as one row of packed sums, at most one
+sum a token; what is shuffled grows with the input. Words with a share of HOT in a sample are counted beforehand and their
+tokens dealt by pair; pairs with such a share are not sent at all. Both are at most 1 / HOT in number whatever the input.
 
 Defined cases: null and empty texts have no tokens and null scores; a text's first word follows a start mark; without
 target documents the target gives every word the same loss; rows without a label are background only; documents that
@@ -44,6 +45,15 @@ LEAST = 5
 PER_PARTITION = 4
 SALTS = 32
 SUMS = ("n", "docs", "a", "b")
+# Rows, numbered one after another, whose sums go back together.
+TEXTS = 2048
+# Batches are sent as one until a bucket has some tokens of them, or they have as many tokens or texts as a worker should hold.
+PER_BUCKET = 256
+MOST_TOKENS = 1 << 20
+MOST_TEXTS = 1 << 14
+# Sums of losses travel as whole multiples of 1 / UNIT: fewer bytes, and the same in whatever order they are added.
+UNIT = 2.0**32
+CODEC = "zstd"
 
 
 def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -180,22 +190,61 @@ def _packed(bucket: int, keys: np.ndarray, target: np.ndarray, part, sums) -> tu
 
 
 SENT = "bucket int, texts binary, target binary, word binary, before binary, place binary, sums binary"
+KINDS = {"texts": np.int64, "word": np.uint64, "before": np.uint64}
+
+
+def _shrunk(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers without their likeness: first bytes, second bytes and so on, compressed; of ascending ones the differences."""
+    if not len(values):
+        return b""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(values).to_bytes(4, "little") + pa.Codec(CODEC).compress(planes, asbytes=True)
+
+
+def _grown(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
+    n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec(CODEC).decompress(data[4:], n * size, asbytes=True), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if ascending else values
+
+
+def _gathered(batches, buckets: int):
+    """(row numbers, hashes of texts, targets, tokens) of batches, several as one where they have few tokens for a bucket."""
+    held, n_tokens, n_texts = [], 0, 0
+
+    def joined():
+        ids, hashes, target, w, v, doc, follows = zip(*held)
+        first = np.cumsum([0, *map(len, ids)])
+        doc = [x + k for x, k in zip(doc, first)]
+        return *map(np.concatenate, (ids, hashes, target)), tuple(map(np.concatenate, (w, v, doc, follows)))
+
+    for batch in batches:
+        part = tokens(utf8(batch["text"]))
+        ids, hashes = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("row", "text_hash"))
+        held.append((ids, hashes, np.array([bool(x) for x in batch["target"].to_pylist()], bool), *part))
+        n_tokens, n_texts = n_tokens + len(part[0]), n_texts + len(ids)
+        if n_tokens >= min(PER_BUCKET * buckets, MOST_TOKENS) or n_texts >= MOST_TEXTS:
+            yield joined()
+            held, n_tokens, n_texts = [], 0, 0
+    if held:
+        yield joined()
 
 
 def _send(batches, shared, buckets: int, counted: bool, scored: bool):
     """Tokens by bucket, and per text what the frequent words and pairs give."""
     counts: Counts = shared.value
-    for batch in batches:
-        w, v, doc, follows = tokens(utf8(batch["text"]))
-        keys = batch["text_hash"].to_numpy(zero_copy_only=False).astype(np.int64)
-        target = np.array([bool(x) for x in batch["target"].to_pylist()], bool)
+    for keys, hashes, target, (w, v, doc, follows) in _gathered(batches, buckets):
         pair = pair_hashes(v, w)
         at_w, at_p, at_v = place(counts.words, w), place(counts.pairs, pair), place(counts.words, v)
         out = []
-        if scored:
-            sums = np.zeros((len(keys), 4))
-            sums[:, 0] = np.bincount(doc, minlength=len(keys))
-            sums[:, 1] = 1
+        if scored and len(keys):
+            sums = np.zeros((len(keys), 4), np.int64)
+            sums[:, 0] = hashes
+            sums[:, 1] = np.bincount(doc, minlength=len(keys))
             both = (at_p >= 0) & (at_w >= 0)
             started = v == START
             for k in (0, 1):
@@ -203,22 +252,43 @@ def _send(batches, shared, buckets: int, counted: bool, scored: bool):
                 loss[both] = counts.pair_loss(counts.pair[at_p[both]], counts.word[at_w[both]])[:, k]
                 context = np.where(started, counts.start[0, k], counts.context[at_v, k] if len(counts.words) else 0)
                 loss += np.where(started | (at_v >= 0), np.log(context + STRENGTH), 0.0)
-                sums[:, 2 + k] = np.bincount(doc, loss, minlength=len(keys))
+                sums[:, 2 + k] = np.rint(np.bincount(doc, loss, minlength=len(keys)) * UNIT)
             nothing = [x[:0] for x in (w, v, doc, follows)]
-            out.append(_packed(int(keys[0] % buckets) if len(keys) else 0, keys, target, nothing, sums))
+            out.append(_packed(int(keys[0] % buckets), keys, target, nothing, sums))
         bucket = (np.where(at_w >= 0, pair, mixed(w)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((w, bucket))
+        order = np.lexsort((v, w, bucket))
         order = order[~((at_p >= 0) & (at_w >= 0))[order]]
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for rows in np.split(order, cuts):
             if len(rows):
                 out.append(_packed(int(bucket[rows[0]]), keys, target, [x[rows] for x in (w, v, doc, follows)], None))
+        out = [_sent_row(x) for x in out]
         made = [pa.array(x, pa.int32() if k == 0 else pa.binary()) for k, x in enumerate(zip(*out))]
         if made:
             flags = [pa.array([x] * len(out), pa.bool_()) for x in (counted, scored)]
             yield pa.record_batch([*made, *flags], names=[x.split()[0] for x in SENT.split(", ")] + ["counted", "scored"])
 
 
+def _sent_row(made: tuple) -> tuple:
+    """A row of ``_packed`` as it travels. The width of a place shows in the number of bytes."""
+    row = dict(zip((x.split()[0] for x in SENT.split(", ")), made))
+    row |= {c: _shrunk(np.frombuffer(row[c], kind), True) for c, kind in KINDS.items()}
+    narrow = _place_kind(row["place"], made[3])
+    return tuple((row | {"place": _shrunk(np.frombuffer(row["place"], narrow))}).values())
+
+
+def _place_kind(data: bytes, word: bytes) -> type:
+    return np.uint16 if len(data) * 4 == len(word) else np.uint32
+
+
+def _received(row: dict) -> dict:
+    """The row of ``_packed`` again."""
+    made = {c: _grown(row[c], kind, True).tobytes() for c, kind in KINDS.items()}
+    # Texts are few enough for two bytes where their numbers in the row are.
+    narrow = np.uint16 if len(made["texts"]) // 8 <= 1 << 15 else np.uint32
+    return row | made | {"place": _grown(row["place"], narrow).tobytes()}
+
+
 def _numbers(keys: np.ndarray, counted: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of each key, counts (target, whole) by number)."""
     _, number = np.unique(keys, return_inverse=True)
@@ -227,43 +297,49 @@ def _numbers(keys: np.ndarray, counted: np.ndarray, target: np.ndarray) -> tuple
 
 
 def _bucket_sums(rows: list[dict], counts: Counts) -> tuple[np.ndarray, np.ndarray]:
-    """(text hashes, sums) of the scored tokens of one bucket."""
-    keys, sums, parts = [], [], []
+    """(numbers of texts, sums of both losses) of the scored tokens of one bucket."""
+    parts = []
     for row in rows:
         texts = np.frombuffer(row["texts"], np.int64)
-        if row["sums"]:
-            keys.append(texts)
-            sums.append(np.frombuffer(row["sums"], np.float64).reshape(-1, 4))
-            continue
-        narrow = np.uint16 if len(row["place"]) * 4 == len(row["word"]) else np.uint32
+        narrow = _place_kind(row["place"], row["word"])
         at = np.frombuffer(row["place"], narrow)
         doc = (at >> narrow(1)).astype(np.int64)
         target = np.unpackbits(np.frombuffer(row["target"], np.uint8), count=len(texts)).astype(bool)[doc]
         flags = np.full(len(doc), row["counted"]), np.full(len(doc), row["scored"])
         word, before = np.frombuffer(row["word"], np.uint64), np.frombuffer(row["before"], np.uint64)
         parts.append((word, before, texts[doc], (at & narrow(1)).astype(bool), target, *flags))
-    if parts:
-        w, v, text, follows, target, counted, scored = (np.concatenate(x) for x in zip(*parts))
-        hot = place(counts.words, w)
-        pair, of_pair = _numbers(pair_hashes(v, w), counted, target)
-        word, of_word = _numbers(w, counted, target)
-        _, of_context = _numbers(w, counted & follows, target)
-        c_word = of_word[word]
-        c_word[hot >= 0] = counts.word[hot[hot >= 0]]
-        loss = counts.pair_loss(of_pair[pair], c_word)
-        loss += np.where((follows & (hot < 0))[:, None], np.log(of_context[word] + STRENGTH), 0.0)
-        names, number = np.unique(text[scored], return_inverse=True)
-        made = np.zeros((len(names), 4))
-        for k in (0, 1):
-            made[:, 2 + k] = np.bincount(number, loss[scored, k], minlength=len(names))
-        keys.append(names)
-        sums.append(made)
-    return np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros((0, 4)), *sums])
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros((0, 2))
+    w, v, text, follows, target, counted, scored = (np.concatenate(x) for x in zip(*parts))
+    hot = place(counts.words, w)
+    pair, of_pair = _numbers(pair_hashes(v, w), counted, target)
+    word, of_word = _numbers(w, counted, target)
+    _, of_context = _numbers(w, counted & follows, target)
+    c_word = of_word[word]
+    c_word[hot >= 0] = counts.word[hot[hot >= 0]]
+    loss = counts.pair_loss(of_pair[pair], c_word)
+    loss += np.where((follows & (hot < 0))[:, None], np.log(of_context[word] + STRENGTH), 0.0)
+    names, number = np.unique(text[scored], return_inverse=True)
+    return names, np.stack([np.bincount(number, loss[scored, k], minlength=len(names)) for k in (0, 1)], 1)
+
+
+RETURNED = "block long, texts binary, hashes binary, sums binary"
+
+
+def _returned(texts: np.ndarray, hashes: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+    """Sums (whole numbers) of ascending texts, one row per block of texts."""
+    block = texts // TEXTS
+    rows = []
+    for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
+        if len(at):
+            rows.append((int(block[at[0]]), _shrunk(texts[at], True), _shrunk(hashes[at]) if len(hashes) else b"", _shrunk(sums[at].T.ravel())))
+    made = [pa.array([x[k] for x in rows], pa.int64() if k == 0 else pa.binary()) for k in range(4)]
+    return pa.record_batch(made, names=[x.split()[0] for x in RETURNED.split(", ")])
 
 
 def _add_up(batches, shared):
     """Sums per text within a task; a bucket's rows all lie in it, one after another."""
-    keys, sums, rows = [], [], []
+    keys, sums, rows = [np.zeros(0, np.int64)], [np.zeros((0, 2))], []
 
     def close():
         made = _bucket_sums(rows, shared.value)
@@ -273,15 +349,46 @@ def _add_up(batches, shared):
 
     for batch in batches:
         for row in batch.to_pylist():
+            row = _received(row)
+            if row["sums"]:
+                given = np.frombuffer(row["sums"], np.int64).reshape(-1, 4)
+                yield _returned(np.frombuffer(row["texts"], np.int64), given[:, 0], given[:, 1:])
+                continue
             if rows and rows[-1]["bucket"] != row["bucket"]:
                 close()
             rows.append(row)
     if rows:
         close()
-    names, number = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_inverse=True)
-    total = np.concatenate([np.zeros((0, 4)), *sums])
-    columns = [np.bincount(number, total[:, k], minlength=len(names)) for k in range(4)]
-    yield pa.record_batch([pa.array(names), *map(pa.array, columns)], names=["text_hash", *SUMS])
+    names, number = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.concatenate(sums)
+    total = np.stack([np.bincount(number, total[:, k], minlength=len(names)) for k in (0, 1)], 1)
+    yield _returned(names, names[:0], np.rint(total * UNIT).astype(np.int64))
+
+
+def _whole(batches):
+    """(text_hash, n, docs, a, b) of every text; the rows of a block lie in one task, one after another."""
+    block, total, hashes, there = None, None, None, None
+
+    def made():
+        n, a, b = total[there].T.astype(float)
+        columns = [hashes[there], n, np.ones(len(n)), a / UNIT, b / UNIT]
+        return pa.record_batch([pa.array(x) for x in columns], names=["text_hash", *SUMS])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["block"] != block:
+                if block is not None:
+                    yield made()
+                block = row["block"]
+                total, hashes, there = np.zeros((TEXTS, 3), np.int64), np.zeros(TEXTS, np.int64), np.zeros(TEXTS, bool)
+            at = _grown(row["texts"], np.int64, True) - block * TEXTS
+            given = _grown(row["hashes"], np.int64)
+            sums = _grown(row["sums"], np.int64).reshape(-1, len(at)).T
+            total[at, 3 - sums.shape[1] :] += sums
+            if len(given):
+                hashes[at], there[at] = given, True
+    if block is not None:
+        yield made()
 
 
 def score(docs: DataFrame, models: Models) -> DataFrame:
@@ -294,13 +401,16 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
     def sent(rows: DataFrame, counted: bool, scored: bool) -> DataFrame:
         send = functools.partial(_send, shared=shared, buckets=PER_PARTITION * partitions, counted=counted, scored=scored)
         target = F.col("target") if "target" in rows.columns else F.lit(False)
-        rows = rows.select(F.xxhash64("text").alias("text_hash"), "text", target.alias("target"))
+        number = F.monotonically_increasing_id().alias("row")
+        rows = rows.select(number, F.xxhash64("text").alias("text_hash"), "text", target.alias("target"))
         return rows.mapInArrow(send, SENT + ", counted boolean, scored boolean")
 
     same = docs is models.docs
     tokens_ = sent(docs, True, True) if same else sent(models.docs, True, False).union(sent(docs, False, True))
     dealt = tokens_.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    added = dealt.mapInArrow(functools.partial(_add_up, shared=shared), "text_hash long, n double, docs double, a double, b double")
+    added = dealt.mapInArrow(functools.partial(_add_up, shared=shared), RETURNED)
+    added = added.repartition(partitions, "block").sortWithinPartitions("block")
+    added = added.mapInArrow(_whole, "text_hash long, n double, docs double, a double, b double")
     added = added.groupBy("text_hash").agg(*[F.sum(c).alias(c) for c in SUMS])
     # Equal texts are one row: n and the losses are sums over all of them.
     some = F.col("n") > 0

@@ -120,3 +120,33 @@ def test_places_of_tokens_take_two_bytes_in_bounded_batches():
         row = dict(zip(("bucket", "texts", "target", "word", "before", "place", "sums"), made), counted=True, scored=True)
         none = lm_score.Counts(*[np.zeros(0, np.uint64)] * 2, word=np.zeros((0, 2)), total=np.ones(2), vocabulary=1.0)
         assert list(lm_score._bucket_sums([row], none)[0]) == list(range(texts))
+
+
+def test_lm_sums_go_back_by_blocks_of_texts():
+    """op7: each task sent one row per text back, texts times tasks in all, and every token took some 13 bytes."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    pool = [x for x in vocabulary_text(rng, 3000)]
+    texts = [" ".join(rng.choice(pool) for _ in range(200)) for _ in range(500)]
+    counts = lm_score.Counts(
+        *[np.zeros(0, np.uint64)] * 2, *[np.zeros((0, 2))] * 3, start=np.ones((1, 2)), total=np.ones(2), vocabulary=1.0
+    )
+    shared = SimpleNamespace(value=counts)
+    ids = pa.array(np.arange(len(texts)))
+    columns = {"row": ids, "text_hash": ids, "text": pa.array(texts), "target": pa.array([False] * len(texts))}
+    sent = list(lm_score._send([pa.record_batch(columns)], shared, 20, True, True))
+    assert sum(x.nbytes for x in sent) < 10.5 * 200 * len(texts)
+    rows = [[y for y in pa.Table.from_batches(sent).to_pylist() if y["bucket"] % 5 == task] for task in range(5)]
+    back = []
+    for part in rows:
+        batch = pa.RecordBatch.from_pylist(sorted(part, key=lambda y: y["bucket"]), sent[0].schema)
+        made = list(lm_score._add_up([batch], shared))
+        assert sum(x.num_rows for x in made) <= 2
+        back += made
+    whole = pa.Table.from_batches(lm_score._whole(back))
+    assert sorted(whole["text_hash"].to_pylist()) == list(range(len(texts)))
+    assert set(whole["n"].to_pylist()) == {200.0}

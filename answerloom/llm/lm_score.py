@@ -332,7 +332,8 @@ def _returned(texts: np.ndarray, hashes: np.ndarray, sums: np.ndarray) -> pa.Rec
     rows = []
     for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(block)) + 1):
         if len(at):
-            rows.append((int(block[at[0]]), _shrunk(texts[at], True), _shrunk(hashes[at]) if len(hashes) else b"", _shrunk(sums[at].T.ravel())))
+            named = _shrunk(hashes[at]) if len(hashes) else b""
+            rows.append((int(block[at[0]]), _shrunk(texts[at], True), named, _shrunk(sums[at].T.ravel())))
     made = [pa.array([x[k] for x in rows], pa.int64() if k == 0 else pa.binary()) for k in range(4)]
     return pa.record_batch(made, names=[x.split()[0] for x in RETURNED.split(", ")])
 

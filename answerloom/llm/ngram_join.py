@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.skew import fits_broadcast, salted_join
+from answerloom.functions.skew import dealt, fits_broadcast, salted_join
 from answerloom.llm.linking import link_groups
 from answerloom.llm.texts import bounded_batches, free_name, shingle_hashes, table, utf8, word_hashes, words
 from answerloom.session import stage
@@ -200,7 +200,7 @@ def jaccard_filter(docs: DataFrame, sets: DataFrame, size: int, percent: int):
         b = content.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
         both = F.size(F.array_intersect("ta", "tb")).cast("long")
         union = F.size("ta") + F.size("tb") - both
-        return close.join(a, "a").join(b, "b").where(100 * both >= percent * union).select("a", "b")
+        return close.join(dealt(a), "a").join(dealt(b), "b").where(100 * both >= percent * union).select("a", "b")
 
     return verify
 
@@ -232,7 +232,7 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
     heads = sets.join(grouped.select("grp", "id"), ["grp", "id"], "left_semi")
     tokens = heads.select("grp", F.posexplode("prefix").alias("pos", "bucket"))
     common = tokens.groupBy("bucket").agg(F.count("*").alias("groups")).where("groups > 1").select("bucket")
-    live = stage(tokens.join(common, "bucket", "left_semi"), "shared-tokens")
+    live = stage(tokens.join(dealt(common), "bucket", "left_semi"), "shared-tokens")
     own = grouped.where("size > 1").select("grp", F.lit(0).alias("pos"), F.col("grp").alias("bucket"))
     expanded = stage(live.union(own.select(*live.columns)).join(members, "grp").drop("grp"), "members")
 
@@ -252,11 +252,12 @@ def linked_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT)
 def components_of(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row; component_id is the smallest doc_id that links reach."""
     rows, _, found = linked_components(docs, size, percent)
-    least = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"))
+    least = rows.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     least = least.join(stage(found, "components"), "id", "left")
     least = least.withColumn("component", F.coalesce("component", "id"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stage(least.join(names, "component").select("id", "component_id"), "names")
+    other = (F.col("n") > 1) | ~F.col("component_id").eqNullSafe(F.col("least"))
+    named = stage(least.join(names, "component").where(other).select("id", "component_id"), "names")
     # Only sets with another name than their one document travel; copies of one set may hold a third of the rows.
     joined = salted_join(rows, named, ["id"], ["doc_id"], SALTS, how="left", fits=fits_broadcast(named, BROADCAST_ROWS))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

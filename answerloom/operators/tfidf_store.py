@@ -1,6 +1,6 @@
 """TF-IDF search from stored counts.
 
-What is stored of a unit are its raw counts; they never change. Document frequencies are kept apart as increments, one
+What is stored of a unit are its raw counts, one row per unit, terms as hashes of 64 bits; they never change. Document frequencies are kept apart as increments, one
 folder per addition, and the lengths of the vectors, which follow the frequencies, as one small row per unit that is
 computed anew. So adding units writes their counts, and reads but does not rewrite those of the others. Everything an
 addition wrote counts from the commit of its manifest on.
@@ -11,10 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions.ranking import round6, top_k
-from answerloom.functions.skew import fits_broadcast, lookup_document_frequency, salted_join
-from answerloom.operators.sparse import query_terms, query_tfidf
-from answerloom.operators.terms import smooth_idf, term_counts
+from answerloom.functions.ranking import round6
+from answerloom.functions.skew import fits_broadcast, salted_join
+from answerloom.operators.sparse import (
+    counted_frequency,
+    counted_topk,
+    postings_of,
+    query_terms,
+    tfidf_query_weights,
+    unit_counts,
+    vector_lengths,
+)
 from answerloom.sources.manifest import Versioned
 
 
@@ -31,18 +38,15 @@ class TfidfStore(Versioned):
         self._grow(manifest, version, units)
 
     def _grow(self, manifest: dict, version: int, units: DataFrame) -> None:
-        counts = term_counts(units, ["uid"], "content").select("uid", "t", "tf")
-        folder = self._write(counts.repartitionByRange("t", "uid").sortWithinPartitions("t", "uid"))
+        folder = self._write(unit_counts(units))
         written = self.spark.read.parquet(f"{self.path}/{folder}")
-        increments = self._write(written.groupBy("t").agg(F.count("*").alias("df")))
+        increments = self._write(counted_frequency(written))
         manifest = {
             "n": manifest["n"] + units.count(),
             "counts": [*manifest["counts"], folder],
             "frequencies": [*manifest["frequencies"], increments],
         }
-        raw = lookup_document_frequency(self._read(manifest, "counts"), self._frequencies(manifest), manifest["n"])
-        raw = raw.withColumn("raw", F.col("tf") * (smooth_idf(F.lit(manifest["n"]), F.col("df")) + 1))
-        norms = raw.groupBy("uid").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+        norms = vector_lengths(self._read(manifest, "counts"), self._frequencies(manifest), manifest["n"])
         self._commit(manifest | {"norms": self._write(norms)}, version)
 
     def _read(self, manifest: dict, name: str) -> DataFrame:
@@ -51,21 +55,26 @@ class TfidfStore(Versioned):
     def _frequencies(self, manifest: dict) -> DataFrame:
         return self._read(manifest, "frequencies").groupBy("t").agg(F.sum("df").alias("df"))
 
-    def scores(self, queries: DataFrame, version: int | None = None) -> DataFrame:
-        """(q, uid, score): cosines; only counts of terms that are asked for are joined."""
+    def scores(self, queries: DataFrame, version: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
+        """(q, uid, score): cosines of units with a common term, of ``pairs`` (q, uid) only if given; only counts of terms that are
+        asked for are joined."""
         manifest = self.manifest(version)
         n, frequencies = manifest["n"], self._frequencies(manifest)
         fits = fits_broadcast(query_terms(queries))
-        asked = query_tfidf(queries, n, frequencies, fits)
-        df = frequencies.join(F.broadcast(asked.select("t").distinct()) if fits else asked.select("t").distinct(), "t", "left_semi")
-        weighted = asked.join(df, "t").select("q", "t", (F.col("wq") * (smooth_idf(F.lit(n), F.col("df")) + 1)).alias("by"))
-        dots = (
-            salted_join(self._read(manifest, "counts"), weighted, ["t"], ["uid"], fits=fits)
-            .groupBy("q", "uid")
-            .agg(F.sum(F.col("tf") * F.col("by")).alias("dot"))
-        )
+        weighted = tfidf_query_weights(queries, n, frequencies, fits)
+        counts = self._read(manifest, "counts")
+        if pairs is None:
+            met = salted_join(postings_of(counts), weighted, ["t"], ["uid"], fits=fits)
+        else:
+            wanted = pairs.select("uid").distinct()
+            held = postings_of(counts.join(F.broadcast(wanted) if fits_broadcast(wanted) else wanted, "uid", "left_semi"))
+            met = salted_join(held, pairs.select("q", "uid").distinct(), ["uid"], ["t"]).join(weighted, ["q", "t"])
+        dots = met.groupBy("q", "uid").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
         norms = self.spark.read.parquet(f"{self.path}/{manifest['norms']}")
         return dots.join(norms, "uid").select("q", "uid", round6(F.col("dot") / F.col("norm")).alias("score"))
 
     def topk(self, queries: DataFrame, k: int = 5, version: int | None = None) -> DataFrame:
-        return top_k(self.scores(queries, version), ["q"], [F.desc("score"), F.asc("uid")], k)
+        manifest = self.manifest(version)
+        counts = self._read(manifest, "counts").where(F.col("uid").isNotNull())
+        norms = self.spark.read.parquet(f"{self.path}/{manifest['norms']}")
+        return counted_topk(queries, counts, norms, self._frequencies(manifest), manifest["n"], k)
